@@ -15,13 +15,14 @@ from selroute.functions.text import answer_tokens, mteval_tokens
 _SIDES = ("pred", "ref")
 
 
-def _counted(tokens: dict[str, Column], extra=lambda token: token) -> Column:
+def _counted(tokens: dict[str, Column]) -> Column:
     """One array of (in_pred, in_ref, token) entries for both sides."""
-    parts = []
-    for side, array in tokens.items():
+
+    def flagged(side: str, array: Column) -> Column:
         flags = [F.lit(1 if side == s else 0).alias(f"in_{s}") for s in _SIDES]
-        parts.append(F.transform(array, lambda t, flags=flags: F.struct(*flags, t.alias("token"))))
-    return F.concat(*parts)
+        return F.transform(array, lambda t: F.struct(*flags, t.alias("token")))
+
+    return F.concat(*[flagged(side, array) for side, array in tokens.items()])
 
 
 def score_token_f1(df: DataFrame, row_id: str, pred: str = "pred", ref: str = "ref", out: str = "f1_complete") -> DataFrame:
