@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 STAMP = r"20\d{2}-\d{2}-\d{2}T\d{2}-\d{2}-\d{2}(?:\.\d+)?"
 
 
+def decoded(file_path: Column) -> Column:
+    """Plain path of a ``_metadata.file_path`` URI; a plus sign in it is literal."""
+    return F.url_decode(F.replace(file_path, F.lit("+"), F.lit("%2B")))
+
+
 def stamp(path: Column) -> Column:
     """First time stamp in the path, NULL when there is none."""
     return F.nullif(F.regexp_extract(path, STAMP, 0), F.lit(""))

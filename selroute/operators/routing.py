@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from selroute.operators.reshape import normalise_model_name
 from selroute.operators.selection import coverage_edges_grid, elbow_keep, greedy_coverage, usage_curve
 from selroute.operators.transfer import fill_missing
+from selroute.session import durable
 
 TAU_STEPS = 100
 SEARCH_ROUNDS = 20
@@ -63,11 +64,17 @@ def _picked_models(picks: DataFrame, group: Sequence[str]) -> DataFrame:
     return picks.select(*group, normalise_model_name(F.col("source")).alias("model"), F.col("step").alias("pick_order"))
 
 
-def coverage_picks(matrix: DataFrame, group: Sequence[str], tau: Column, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """Greedy picks of each group of a transfer matrix at its own ``tau``; see ``greedy_coverage``."""
-    filled = fill_missing(matrix, group)
+def coverage_picks(
+    matrix: DataFrame, group: Sequence[str], tau: float | DataFrame, rounds: int
+) -> tuple[DataFrame, DataFrame]:
+    """Greedy picks of each group of a transfer matrix; see ``greedy_coverage``.
+
+    ``tau`` is one number or a table (group, tau) with a value per group.
+    """
+    filled = durable(fill_missing(matrix, group))
     universe = filled.select(*group, "target").distinct()
-    edges = filled.where(F.col("auroc") >= tau).select(*group, "source", "target")
+    cut = filled.join(tau, list(group)) if isinstance(tau, DataFrame) else filled.withColumn("tau", F.lit(float(tau)))
+    edges = cut.where(F.col("auroc") >= F.col("tau")).select(*group, "source", "target")
     return greedy_coverage(edges, universe, group, rounds)
 
 
@@ -92,7 +99,7 @@ def tau_search(
     touched.
     """
     group = list(group)
-    filled = fill_missing(matrix, group)
+    filled = durable(fill_missing(matrix, group))
     grid = [*group, "tau"]
     edges = coverage_edges_grid(filled, steps)
     taus = F.transform(F.sequence(F.lit(1), F.lit(steps)), lambda i: i / F.lit(float(steps)))

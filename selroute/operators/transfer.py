@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from selroute.operators.metrics import eval_metrics
 from selroute.operators.ordering import exact_quantiles
+from selroute.session import durable
 
 
 def aligned(scores: DataFrame, labels: DataFrame, row_keys: Sequence[str], label: str = "label") -> DataFrame:
@@ -50,7 +51,9 @@ def fill_missing(
     if impute not in ("target", "source"):
         raise ValueError("impute must be 'target' or 'source'")
     keys = list(group) or ["__all"]
-    cells = matrix if group else matrix.withColumn("__all", F.lit(0))
+    # The matrix is small (models squared) but its rows cost a pass over all scores, and it is read four times.
+    cells = durable(matrix.select(*group, "source", "target", value))
+    cells = cells if group else cells.withColumn("__all", F.lit(0))
     # Model names per group: as long as the catalogue of models, never as long as the data.
     targets = cells.groupBy(*keys).agg(F.array_sort(F.collect_set("target")).alias("__targets"))
     sources = cells.select(*keys, "source").distinct()

@@ -256,13 +256,15 @@ class RoutingData:
 
     def __init__(self, views: Views):
         from selroute.operators.splits import bank_split, fraction_split
+        from selroute.session import durable
 
         correct = views.correct
         samples = views.table("documents").select(F.col("doc_id").alias("sample_id"))
-        split = fraction_split(samples, 42, ["sample_id"], 0.3)
+        # The splits are read many times; they hold one id per prompt and are written once.
+        split = durable(fraction_split(samples, 42, ["sample_id"], 0.3))
         self.test_ids = split.where("part = 'test'").select("sample_id")
         train = correct.join(split.where("part = 'train'").select("sample_id"), "sample_id", "left_semi")
-        parts = bank_split(train, 0.05)
+        parts = durable(bank_split(train, 0.05))
         self.bank_ids = parts.where("part = 'bank'").select("sample_id")
         self.test_correct = correct.join(self.test_ids, "sample_id", "left_semi")
         self.bank_correct = correct.join(self.bank_ids, "sample_id", "left_semi")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from selroute.functions.paths import parent_folder, sample_file_stamp, sample_file_task, stamp, stampless
+from selroute.functions.paths import decoded, parent_folder, sample_file_stamp, sample_file_task, stamp, stampless
 from selroute.schemas import SAMPLES
 
 
@@ -51,7 +51,7 @@ def catalogue_gate(catalogue: DataFrame, listing: DataFrame, prefix: str = "") -
 def read_samples(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Scan JSON Lines sample files; task, time stamp and model come from the path."""
     raw = spark.read.schema(SAMPLES).json(paths)
-    path = F.url_decode(F.col("_metadata.file_path"))
+    path = decoded(F.col("_metadata.file_path"))
     return raw.withColumns(
         {"task": sample_file_task(path), "timestamp": sample_file_stamp(path), "model": parent_folder(path)}
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from selroute.functions.paths import run_folder_task
+from selroute.functions.paths import decoded, run_folder_task
 from selroute.operators.reshape import flatten_struct
 from selroute.schemas import INSTANCES, PREDICTIONS, REQUESTS
 
@@ -14,8 +14,7 @@ from selroute.schemas import INSTANCES, PREDICTIONS, REQUESTS
 def read_array_files(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Scan files that each hold one JSON array; the folder of the file becomes a column."""
     raw = spark.read.schema(schema).option("multiLine", True).json(path)
-    folder = F.regexp_replace(F.col("_metadata.file_path"), r"/[^/]*$", "")
-    return raw.withColumn("folder", F.url_decode(folder))
+    return raw.withColumn("folder", F.regexp_replace(decoded(F.col("_metadata.file_path")), r"/[^/]*$", ""))
 
 
 def join_run_tables(predictions: DataFrame, requests: DataFrame, instances: DataFrame) -> DataFrame:
