@@ -55,9 +55,11 @@ def position_split(df: DataFrame, seed: int | str, ids: Sequence[str], train: in
     return ranked.where(F.col("__rank") <= train + test).withColumn("part", part).drop("__rank")
 
 
-def fraction_split(df: DataFrame, seed: int | str, ids: Sequence[str], test_share: float) -> DataFrame:
-    """Exactly ``ceil(test_share * n)`` rows become 'test', the others 'train'."""
-    ranked = seeded_rank(df, (), seed, ids, rank="__rank", size="__n")
+def fraction_split(
+    df: DataFrame, seed: int | str, ids: Sequence[str], test_share: float, keys: Sequence[str] = ()
+) -> DataFrame:
+    """Exactly ``ceil(test_share * n)`` rows (of each group) become 'test', the others 'train'."""
+    ranked = seeded_rank(df, keys, seed, ids, rank="__rank", size="__n")
     wanted = F.ceil(F.col("__n") * F.lit(float(test_share)))
     return ranked.withColumn("part", F.when(F.col("__rank") <= wanted, "test").otherwise("train")).drop("__rank", "__n")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("metric_queries", "label_queries", "source_queries", "split_queries", "routing_queries")
+MODULES = ("metric_queries", "label_queries", "source_queries", "split_queries", "routing_queries", "learn_queries")
 
 
 def load() -> None:

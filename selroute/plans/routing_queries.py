@@ -329,8 +329,9 @@ def _(v):
 # --- calibration -------------------------------------------------------------------------------------
 
 # Isotonic regression by the max-min formula over pooled scores, then linear interpolation with clipping.
-_CALIBRATED = """pooled AS (SELECT s.model, s.logit AS x, avg(CAST(c.correct AS DOUBLE)) AS y, count(*) AS w, row_number() OVER (PARTITION BY s.model ORDER BY s.logit) AS i
-      FROM bank_scores s JOIN bank_correct c USING (sample_id, model) WHERE s.run = 0 AND c.correct IS NOT NULL GROUP BY ALL),
+_CALIBRATED = """pooled AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY x) AS i FROM (SELECT s.model, s.logit AS x,
+      avg(CAST(c.correct AS DOUBLE)) AS y, count(*) AS w FROM bank_scores s JOIN bank_correct c USING (sample_id, model)
+      WHERE s.run = 0 AND c.correct IS NOT NULL GROUP BY ALL)),
     cum AS (SELECT *, sum(y * w) OVER o AS sy, sum(w) OVER o AS sw FROM pooled WINDOW o AS (PARTITION BY model ORDER BY i)),
     seg AS (SELECT a.model, a.i AS lo, b.i AS hi, (b.sy - a.sy + a.y * a.w) / (b.sw - a.sw + a.w) AS m FROM cum a JOIN cum b ON b.model = a.model AND b.i >= a.i),
     mins AS (SELECT p.model, p.i, s.lo, min(s.m) AS m FROM pooled p JOIN seg s ON s.model = p.model AND s.lo <= p.i AND s.hi >= p.i GROUP BY ALL),
