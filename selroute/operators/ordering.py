@@ -48,12 +48,10 @@ def running_totals(
         return df.withColumns(added)
 
     cell_keys = [*keys, bucket]
-    # One exchange serves the windows, the cell totals and the join that brings them together.
-    placed = df.withColumns({f"__m_{n}": c for n, c in measures.items()}).repartition(*cell_keys)
     within = Window.partitionBy(*cell_keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = placed.withColumns({f"__upto_{n}": F.sum(f"__m_{n}").over(within) for n in measures})
-
-    cells = placed.groupBy(*cell_keys).agg(*[F.sum(f"__m_{n}").alias(f"__cell_{n}") for n in measures])
+    local = df.withColumns({f"__upto_{n}": F.sum(c).over(within) for n, c in measures.items()})
+    # The cell totals combine before their shuffle, so the rows themselves are moved once, for the windows.
+    cells = df.groupBy(*cell_keys).agg(*[F.sum(c).alias(f"__cell_{n}") for n, c in measures.items()])
     earlier = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     group = Window.partitionBy(*keys)
     starts = cells.select(
@@ -63,7 +61,7 @@ def running_totals(
     )
     joined = local.join(starts, cell_keys)
     return joined.withColumns({f"{n}_upto": F.col(f"__start_{n}") + F.col(f"__upto_{n}") for n in measures}).drop(
-        *[f"__{part}_{n}" for part in ("m", "upto", "start") for n in measures]
+        *[f"__{part}_{n}" for part in ("upto", "start") for n in measures]
     )
 
 
