@@ -63,7 +63,7 @@ def _write_array_files(df, root: str, name: str) -> None:
 def _array_scan(v, df, schema, name):
     root = scratch_path(v.spark, "runs")
     _write_array_files(df, root, name)
-    scanned = S.read_array_files(v.spark, f"{root}/{name}/*/*.txt", schema)
+    scanned = S.read_array_files(v.spark, f"{root}/{name}", "*.txt", schema)
     return scanned.withColumn("folder", F.concat(F.lit("suite/"), P.decoded(F.regexp_extract("folder", r"run=(.*)$", 1))))
 
 

@@ -11,9 +11,13 @@ from selroute.operators.reshape import flatten_struct
 from selroute.schemas import INSTANCES, PREDICTIONS, REQUESTS
 
 
-def read_array_files(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Scan files that each hold one JSON array; the folder of the file becomes a column."""
-    raw = spark.read.schema(schema).option("multiLine", True).json(path)
+def read_array_files(spark: SparkSession, root: str, name: str, schema: T.StructType) -> DataFrame:
+    """Scan the files called ``name`` below ``root``, each one JSON array; the file's folder becomes a column.
+
+    Run folders have colons in their names, which path globs cannot expand, so the folders are listed.
+    """
+    reader = spark.read.schema(schema).option("multiLine", True)
+    raw = reader.option("recursiveFileLookup", True).option("pathGlobFilter", name).json(root)
     return raw.withColumn("folder", F.regexp_replace(decoded(F.col("_metadata.file_path")), r"/[^/]*$", ""))
 
 
@@ -31,11 +35,12 @@ def join_run_tables(predictions: DataFrame, requests: DataFrame, instances: Data
 
 
 def read_runs(spark: SparkSession, root: str) -> DataFrame:
-    """All runs below ``root/<suite>/<run>/``."""
-    predictions = read_array_files(spark, f"{root}/*/*/display_predictions.json", PREDICTIONS)
-    requests = read_array_files(spark, f"{root}/*/*/display_requests.json", REQUESTS)
-    instances = read_array_files(spark, f"{root}/*/*/instances.json", INSTANCES)
-    return join_run_tables(predictions, requests, instances)
+    """All run folders below ``root``."""
+    return join_run_tables(
+        read_array_files(spark, root, "display_predictions.json", PREDICTIONS),
+        read_array_files(spark, root, "display_requests.json", REQUESTS),
+        read_array_files(spark, root, "instances.json", INSTANCES),
+    )
 
 
 def fan_out(side: DataFrame, instance: str = "instance_id") -> DataFrame:
