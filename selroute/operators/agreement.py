@@ -11,6 +11,7 @@ from selroute.functions.scores import histogram_slot
 from selroute.operators.metrics import best_threshold, ranking_pair, threshold_sweep
 from selroute.operators.ordering import ROWS_PER_BUCKET, exact_quantiles, first_per_group, seeded_rank, value_running
 from selroute.operators.splits import balanced_samples
+from selroute.session import durable
 
 
 def metric_rows(df: DataFrame, ids: Sequence[str], metrics: Sequence[str]) -> DataFrame:
@@ -70,7 +71,8 @@ def balanced_sweeps(
     rows: DataFrame, keys: Sequence[str], ids: Sequence[str], seeds: Sequence[int], value: str = "value", label: str = "label", **kw
 ) -> DataFrame:
     """Best threshold and accuracy on the balanced sample of every seed."""
-    drawn = balanced_samples(rows, keys, ids, seeds, label, **kw)
+    # Drawing repeats the rows per seed, and the sweep reads its input three times: draw once.
+    drawn = durable(balanced_samples(rows, keys, ids, seeds, label).select(*keys, "seed", value, label))
     per_seed = [*keys, "seed"]
     return best_threshold(threshold_sweep(drawn, per_seed, value, label, **kw), per_seed)
 

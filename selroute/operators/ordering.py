@@ -21,6 +21,8 @@ ROWS_PER_BUCKET = 1 << 20
 # Value buckets are equi-width, so cut them finer than the row count alone asks for.
 VALUE_OVERSPLIT = 8
 MAX_BUCKETS = 1 << 16
+# Finer buckets for taking the first rows of a shuffle: only one bucket per group is ever moved.
+TAKE_BUCKET_ROWS = 1 << 12
 
 _BUCKET = "__bucket"
 
@@ -161,6 +163,42 @@ def seeded_rank(
     return ranked.drop("__digest", "__n_upto", "__n_total", "__all")
 
 
+def seeded_take(
+    df: DataFrame,
+    keys: Sequence[str],
+    seed: Column | int | str,
+    ids: Sequence[str],
+    k: str,
+    size: str,
+    rows_per_bucket: int = TAKE_BUCKET_ROWS,
+) -> DataFrame:
+    """The first ``k`` rows of each group's seeded shuffle; all rows of a group that has fewer.
+
+    ``k`` and ``size`` (rows of the group) are columns that are constant per group; ``ids`` are unique in it.
+    Counts per digest bucket tell in which bucket the k-th row lies. Only that bucket is shuffled and ranked to
+    find the k-th digest; every row is then kept or dropped inside its own task by comparing with it.
+    """
+    spot = F.struct("__digest", *ids)
+    prefix = F.conv(F.substring("__digest", 1, 8), 16, 10).cast("long")
+    slot = F.shiftrightunsigned(prefix * bucket_total(F.col(size), rows_per_bucket), 32)
+    placed = df.withColumn("__digest", seeded_digest(seed, *ids)).withColumn(_BUCKET, slot)
+    cells = placed.groupBy(*keys, _BUCKET).agg(F.count(F.lit(1)).alias("__n"), F.max(k).alias("__k"))
+    upto = Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, 0)
+    room = F.col("__k") - (F.col("__upto") - F.col("__n"))
+    edge = cells.withColumn("__upto", F.sum("__n").over(upto)).select(*keys, _BUCKET, "__n", room.alias("__room"))
+    edge = edge.where((F.col("__room") > 0) & (F.col("__room") <= F.col("__n"))).drop("__n")
+    within = Window.partitionBy(*keys, _BUCKET).orderBy("__digest", *ids)
+    last = (
+        placed.select(*dict.fromkeys([*keys, _BUCKET, "__digest", *ids]))
+        .join(edge, [*keys, _BUCKET])
+        .withColumn("__rank", F.row_number().over(within))
+        .where(F.col("__rank") == F.col("__room"))
+        .select(*keys, spot.alias("__last"))
+    )
+    kept = placed.join(last, list(keys), "left").where(F.col("__last").isNull() | (spot <= F.col("__last")))
+    return kept.select(*df.columns)
+
+
 def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Keep the first row of every group in ``order``, by an aggregate that combines before the shuffle.
 

@@ -109,17 +109,18 @@ def tau_search(
     lists = picks.groupBy(*grid).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("step", "source"))), lambda p: p["source"]).alias("__list")
     )
-    shapes = lists.select(*group, "__list").distinct()
-    shaped = shapes.select(*group, "__list", F.posexplode("__list").alias("step", "source"))
-    kept = _picked_models(shaped, [*group, "__list"])
+    shapes = lists.groupBy(*group, "__list").agg(F.min("tau").alias("__shape"))  # the lowest tau stands for its list
+    shaped = shapes.select(*group, "__shape", F.posexplode("__list").alias("step", "source"))
+    kept = _picked_models(shaped, [*group, "__shape"])
     routed = best_scored(
-        bank_scores.join(kept, [*group, "model"]), [*group, "__list", *sample], tie=F.col("pick_order")
+        bank_scores.join(kept, [*group, "model"]), [*group, "__shape", *sample], tie=F.col("pick_order")
     )
-    scored = chosen_accuracy(routed, bank_correct, [*sample], [*group, "__list"])
+    scored = chosen_accuracy(routed, bank_correct, [*sample], [*group, "__shape"])
     every = universe.select(*grid).distinct()
     return (
         every.join(lists, grid, "left")
-        .join(scored, [*group, "__list"], "left")
+        .join(shapes, [*group, "__list"], "left")
+        .join(scored, [*group, "__shape"], "left")
         .select(*grid, F.coalesce("accuracy", F.lit(0.0)).alias("accuracy"))
     )
 

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from selroute.functions.text import reference_texts
 from selroute.operators.ordering import (
     ROWS_PER_BUCKET,
+    TAKE_BUCKET_ROWS,
     digest_running,
     first_per_group,
     seeded_digest,
     seeded_rank,
+    seeded_take,
 )
 
 # The tasks that are annotated by hand.
@@ -66,7 +68,9 @@ def fraction_split(
 
 def sample_per_group(df: DataFrame, keys: Sequence[str], seed: int | str, ids: Sequence[str], k: int) -> DataFrame:
     """``k`` rows per group in the seeded order (all of them when the group is smaller)."""
-    return seeded_rank(df, keys, seed, ids, rank="__rank").where(F.col("__rank") <= k).drop("__rank")
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
+    sized = df.join(sizes, list(keys)).withColumn("__take", F.lit(k))
+    return seeded_take(sized, keys, seed, ids, "__take", "__size").drop("__take", "__size")
 
 
 def class_counts(df: DataFrame, keys: Sequence[str], label: str = "label") -> DataFrame:
@@ -83,19 +87,21 @@ def balanced_samples(
     ids: Sequence[str],
     seeds: Sequence[int],
     label: str = "label",
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    rows_per_bucket: int = TAKE_BUCKET_ROWS,
 ) -> DataFrame:
     """For every seed, as many rows of each class as the smallest class of the group has.
 
     The seed is a column, so all repeats are one job.
     """
-    smallest = class_counts(df, keys, label)
     base = df.where(F.col(label).isNotNull())
-    seeded = base.withColumn("seed", F.explode(F.sequence(F.lit(min(seeds)), F.lit(max(seeds)))))
+    # Class sizes do not depend on the seed, so they are counted before the rows are repeated per seed.
+    per_class = base.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("__size"))
+    sizes = per_class.withColumn("__take", F.min("__size").over(Window.partitionBy(*keys)))  # one row per class
+    seeded = base.join(sizes, [*keys, label]).withColumn("seed", F.explode(F.sequence(F.lit(min(seeds)), F.lit(max(seeds)))))
     if len(seeds) != max(seeds) - min(seeds) + 1:
         seeded = seeded.where(F.col("seed").isin(list(seeds)))
-    ranked = seeded_rank(seeded, [*keys, "seed", label], F.col("seed"), ids, rank="__rank", rows_per_bucket=rows_per_bucket)
-    return ranked.join(smallest, list(keys)).where(F.col("__rank") <= F.col("min_count")).drop("__rank", "min_count")
+    drawn = seeded_take(seeded, [*keys, "seed", label], F.col("seed"), ids, "__take", "__size", rows_per_bucket)
+    return drawn.drop("__take", "__size")
 
 
 def missing_rates(df: DataFrame, item: str = "sample_id", model: str = "model", value: str = "correct") -> DataFrame:

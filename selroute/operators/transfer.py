@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from selroute.operators.metrics import eval_metrics
-from selroute.operators.ordering import exact_quantiles
 from selroute.session import durable
 
 
@@ -58,7 +57,8 @@ def fill_missing(
     targets = cells.groupBy(*keys).agg(F.array_sort(F.collect_set("target")).alias("__targets"))
     sources = cells.select(*keys, "source").distinct()
     grid = sources.join(targets, keys).select(*keys, "source", F.explode("__targets").alias("target"))
-    medians = exact_quantiles(cells, [*keys, "source"], value, {"__median": 0.5}).withColumnRenamed("source", impute)
+    # A matrix row has one value per model, so the exact built-in median holds no more than that.
+    medians = cells.groupBy(*keys, F.col("source").alias(impute)).agg(F.median(value).alias("__median"))
     filled = (
         grid.join(cells.select(*keys, "source", "target", value), [*keys, "source", "target"], "left")
         .join(medians, [*keys, impute], "left")

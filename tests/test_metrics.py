@@ -168,6 +168,18 @@ def test_balanced_samples_keep_whole_classes(spark):
     assert sizes == {(s, y): 5 for s in range(3) for y in (0, 1)}
 
 
+@pytest.mark.parametrize("per_bucket", [3, 1 << 12])
+def test_seeded_take_is_the_head_of_the_shuffle(spark, per_bucket):
+    from selroute.operators.ordering import seeded_take
+
+    sizes, wanted = {"a": 40, "b": 7, "c": 3}, {"a": 11, "b": 7, "c": 5}
+    rows = [(g, i, wanted[g], n) for g, n in sizes.items() for i in range(n)]
+    df = frame(spark, rows, "g string, id long, k int, n long")
+    got = {(r.g, r.id) for r in seeded_take(df, ["g"], 7, ["id"], "k", "n", per_bucket).collect()}
+    ranked = seeded_rank(df, ["g"], 7, ["id"]).where("rank <= k").collect()
+    assert got == {(r.g, r.id) for r in ranked} and len(got) == 21
+
+
 def test_best_epoch_and_missing_keys(spark):
     rows = [("m", 0.1, "r", 1, 0.7), ("m", 0.1, "r", 2, 0.7), ("m", None, "r", 1, 0.9)]
     df = frame(spark, rows, "model string, f1 double, run string, epoch int, auroc double")
