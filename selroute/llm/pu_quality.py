@@ -109,7 +109,7 @@ def _descend(z, gradient, steps: int, rate: float) -> tuple[np.ndarray, float]:
 
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     """Share of positives among the unlabelled: the lowest ratio of the two upper score distributions, over the thresholds that
-    keep at least a tenth of the positives (a ratio of densities is at least the prior everywhere and reaches it at the top)."""
+    keep at least a tenth of the positives (the ratio of densities is at least the prior everywhere and reaches it at the top)."""
     cuts = np.quantile(positive, np.linspace(0.02, 0.9, 45))
     p = np.array([(positive >= c).mean() for c in cuts])
     u = np.array([(unlabelled >= c).mean() for c in cuts])
@@ -117,18 +117,30 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip(np.min((u + error) / p), 0.05, 0.98))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400, rate: float = 0.05, decay: float = 1e-3) -> Model:
-    """Minimise the non-negative risk with the logistic loss."""
+def _with_ones(x: np.ndarray) -> np.ndarray:
+    return np.c_[x, np.ones(len(x))]
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400, rate: float = 0.05) -> Model:
+    """Minimise the non-negative risk with the logistic loss. The prior comes from scores of rows that a first fit has not seen."""
     both = np.concatenate([positive, unlabelled])
     mean, scale = both.mean(axis=0), both.std(axis=0) + 1e-3
-    p, u = (_expand((x - mean) / scale) for x in (positive, unlabelled))
-    pb, ub = (np.c_[x, np.ones(len(x))] for x in (p, u))
+    pb, ub = (_with_ones(_expand((x - mean) / scale)) for x in (positive, unlabelled))
+    width, decay = pb.shape[1] - 1, 1e-3 + 2 / min(len(pb), len(ub))
+
+    def against_unlabelled(p, u):
+        def gradient(theta):
+            return p.T @ (_sigmoid(p @ theta) - 1) / len(p) + u.T @ _sigmoid(u @ theta) / len(u) + decay * theta
 
-    def against_unlabelled(theta):
-        return pb.T @ (_sigmoid(pb @ theta) - 1) / len(pb) + ub.T @ _sigmoid(ub @ theta) / len(ub) + decay * theta
+        return np.append(*_descend(width, gradient, steps, rate))
 
-    w, b = _descend(p.shape[1], against_unlabelled, steps, rate)
-    prior = estimate_prior(p @ w + b, u @ w + b)
+    seen = []
+    for k in (0, 1):  # each half is scored by the other half's fit; ranks make the two fits comparable
+        theta = against_unlabelled(pb[k::2], ub[k::2])
+        p, u = pb[1 - k :: 2] @ theta, ub[1 - k :: 2] @ theta
+        place = np.sort(u)
+        seen.append((np.searchsorted(place, p) / len(u), np.searchsorted(place, u) / len(u)))
+    prior = estimate_prior(*(np.concatenate(x) for x in zip(*seen, strict=True)))
 
     def non_negative(theta):
         sp, su = _sigmoid(pb @ theta), _sigmoid(ub @ theta)
@@ -137,7 +149,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 400, rate: fl
         sure = prior * (pb.T @ (sp - 1)) / len(pb)
         return (sure + rest if negative >= 0 else -rest) + decay * theta
 
-    weights, bias = _descend(p.shape[1], non_negative, 2 * steps, rate)
+    weights, bias = _descend(width, non_negative, 2 * steps, rate)
     return Model(mean, scale, weights, float(bias), prior)
 
 
@@ -147,19 +159,17 @@ def fit_model(
 ) -> Model | None:
     """Fit on at most ``fit_rows`` positives and as many unlabelled rows among those that are ``usable`` (an expression over the id).
 
-    The sample is taken among labelled rows: labels of 1 give the positives; of the other part of the sample the label is not
-    looked at (it stands for the unlabelled text, positives included)."""
+    The unlabelled rows are documents whatever their label, which is not looked at; both are those with the smallest hash of the id."""
     order = F.xxhash64(F.col("id"), F.lit(5))
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).filter(usable).groupBy("id").agg(F.max("label").alias("label"))
-    known = known.withColumn("role", F.pmod(F.xxhash64("id"), F.lit(2)))
-    positives = known.filter("role = 0 and label = 1").orderBy(order).limit(fit_rows)
-    others = known.filter("role = 1").orderBy(order).limit(fit_rows)
-    chosen = positives.select("id", F.lit(True).alias("positive")).unionByName(others.select("id", F.lit(False).alias("positive")))
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).filter(usable & (F.col("label") == 1))
+    positives = known.select("id").distinct().orderBy(order).limit(fit_rows)
+    others = docs.select(F.col(id_col).alias("id")).filter(usable).distinct().orderBy(order).limit(fit_rows)
+    chosen = positives.withColumn("positive", F.lit(True)).unionByName(others.withColumn("positive", F.lit(False)))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
     rows = texts.select("positive", feature_column(F.col("text")).alias("x")).toPandas()  # at most 2 * fit_rows short vectors
     x = np.stack(rows["x"].to_numpy()) if len(rows) else np.zeros((0, WIDTH))
     is_positive = rows["positive"].to_numpy(dtype=bool)
-    if not is_positive.any() or is_positive.all():
+    if is_positive.sum() < 2 or (~is_positive).sum() < 2:
         return None
     return fit(x[is_positive], x[~is_positive])
 

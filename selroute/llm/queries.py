@@ -11,6 +11,8 @@ from selroute.llm import (
     bpe_chunks,
     decontaminate,
     exact_dedup,
+    ngram_trie,
+    packing,
     pii,
     pu_quality,
     simhash_dedup,
@@ -132,6 +134,17 @@ def _op6(spark, sf_dir):
     return bpe_chunks.token_digests(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+@_register("op7_ngram_trie")
+def _op7(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return ngram_trie.score_texts(docs, held_out("doc_id", 7, 2)).withColumnRenamed("id", "doc_id")
+
+
+@_register("op8_packed_rows")
+def _op8(spark, sf_dir):
+    return packing.digests(packing.pack_texts(table(spark, sf_dir, "documents")))
+
+
 @_register("op9_pu_quality")
 def _op9(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
