@@ -40,9 +40,9 @@ from pyspark.sql import functions as F
 from selroute.llm.common import blocks, find_words, hash_words, mix, raw_texts
 
 
-BLOCK_BYTES = 10 << 20
+BLOCK_BYTES = 8 << 20
 BLOCK_DOCS = 60_000
-SHARD_TOKENS = 3_000_000
+SHARD_TOKENS = 2_000_000
 MU = 100.0
 CONTEXT_BITS = 32
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
@@ -85,11 +85,15 @@ class EliasFano:
         bits = np.zeros((size + 63) // 64 * 64, np.uint8)
         bits[ones] = 1
         np.packbits(bits, bitorder="little").tofile(os.path.join(folder, name + ".high"))
-        lows = np.zeros((n, low_bits), np.uint8)
-        for b in range(low_bits):
-            lows[:, b] = (values >> np.uint64(b)) & np.uint64(1)
-        packed = np.packbits(lows.ravel(), bitorder="little")
-        np.concatenate([packed, np.zeros(16, np.uint8)]).tofile(os.path.join(folder, name + ".low"))
+        del bits, ones
+        with open(os.path.join(folder, name + ".low"), "wb") as f:
+            for i in range(0, n, 1 << 16):  # a multiple of eight values fills whole bytes
+                part = values[i : i + (1 << 16)]
+                lows = np.empty((len(part), low_bits), np.uint8)
+                for b in range(low_bits):
+                    lows[:, b] = (part >> np.uint64(b)) & np.uint64(1)
+                f.write(np.packbits(lows.ravel(), bitorder="little").tobytes())
+            f.write(bytes(16))
         low, high = (np.memmap(os.path.join(folder, f"{name}.{k}"), dtype=t, mode="r") for k, t in (("low", np.uint8), ("high", "<u8")))
         return EliasFano(low, high, low_bits, n)
 
@@ -205,7 +209,7 @@ def _shard_of(h: np.ndarray, shards: int) -> np.ndarray:
 
 # --- step 1: totals and frequent words ------------------------------------------------------------------------------------
 
-_COUNTS = pa.schema([("shard", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()), ("tokens", pa.int64())])
+_COUNTS = pa.schema([("shard", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())])
 
 
 def _send_counts(shards: int):
@@ -220,7 +224,7 @@ def _send_counts(shards: int):
                 rows = []
                 for s in range(shards):
                     mine = order[bounds[s] : bounds[s + 1]]
-                    rows.append((s, words[mine].tobytes(), counts[mine].astype("<u4").tobytes(), len(token) if s == 0 else 0))
+                    rows.append((s, words[mine].tobytes(), counts[mine].astype("<u4").tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _COUNTS, strict=True)], schema=_COUNTS)
 
     return run
@@ -327,7 +331,7 @@ def _score_shard(n: int, v: int, frequent: np.ndarray, frequent_counts: np.ndarr
             base_of = np.concatenate(([0], np.cumsum([len(x) for x in flags])))
             train = np.concatenate(flags).astype(bool)
             refs_per_row = [len(x) // 2 for x in sent["docs"].to_pylist()]
-            doc = _joined(sent["docs"], "<u2").astype(np.int64) + np.repeat(base_of[:-1], refs_per_row)
+            doc = _joined(sent["docs"], "<u2").astype(np.int32) + np.repeat(base_of[:-1].astype(np.int32), refs_per_row)
             sizes = _joined(sent["docs_of"], "<u4").astype(np.int64)
             word = np.repeat(_joined(sent["words"], "<u8"), _joined(sent["contexts_of"], "<u4"))
             context = _joined(sent["contexts"], "<u4")
@@ -336,7 +340,10 @@ def _score_shard(n: int, v: int, frequent: np.ndarray, frequent_counts: np.ndarr
             # Distinct words and distinct pairs of the shard.
             words, rank = np.unique(word, return_inverse=True)
             key = (rank.astype(np.uint64) << np.uint64(CONTEXT_BITS)) | context
+            del word, context
             pairs, pair_of = np.unique(key, return_inverse=True)
+            del key
+            pair_of = pair_of.astype(np.int32)
             pair_count = np.bincount(pair_of, weights=in_train, minlength=len(pairs))
             count = np.bincount(rank, weights=in_train, minlength=len(words))
             hot = np.searchsorted(frequent, words)
@@ -363,6 +370,7 @@ def _score_shard(n: int, v: int, frequent: np.ndarray, frequent_counts: np.ndarr
                 shutil.rmtree(folder, ignore_errors=True)
             value = np.where(found >= 0, restore(found.astype(np.float64)), np.log10(MU) + unigram[pair_rank])
             value -= np.log10(count + MU)[pair_rank]  # this word as the context of the next token
+            del found, numerator, seen, pair_context, pairs, pair_count, in_train
             of_pair = np.repeat(pair_of, sizes)
             m = len(train)
             score = np.bincount(doc, weights=value[of_pair], minlength=m)
@@ -413,7 +421,7 @@ def score_texts(
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), held_out_col.alias("held_out"))
     size = docs.select(F.sum(F.octet_length(text_col))).first()[0] or 0
     shards = max(2, min(60_000, round(size / 6.4 / shard_tokens)))  # about one token in 6.4 bytes; any number is right
-    sent = rows.mapInArrow(_send_counts(shards), "shard int, words binary, counts binary, tokens long")
+    sent = rows.mapInArrow(_send_counts(shards), "shard int, words binary, counts binary")
     totals = sent.groupBy("shard").applyInArrow(_count_shard, "n long, v long, words binary, counts binary").collect()
     n, v = sum(r["n"] for r in totals), sum(r["v"] for r in totals)
     words = np.frombuffer(b"".join(r["words"] for r in totals), "<u8")
