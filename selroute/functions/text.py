@@ -26,9 +26,6 @@ MTEVAL_ENTITIES = (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")
 # Fixed value: a boxed answer whose content may hold one nested level of braces.
 BOXED = r"\\boxed\{((?:[^{}]|\{[^{}]*\})*)\}"
 
-# Option letters by position.
-OPTION_LETTERS = ("A", "B", "C", "D", "E", "F")
-
 REFERENCE_SEPARATOR = "\n---\n"
 
 
@@ -81,8 +78,7 @@ def first_reference(references: Column) -> Column:
 
 
 def correct_option(references: Column) -> Column:
-    """Letter of the last reference tagged exactly 'correct'; '' when none is."""
+    """Letter (A for the first) of the last reference tagged exactly 'correct'; '' when none is."""
     flags = F.transform(references, lambda r, i: F.when(r["tags"] == F.array(F.lit("correct")), i).otherwise(-1))
     last = F.array_max(flags)
-    letters = F.array(*[F.lit(x) for x in OPTION_LETTERS])
-    return F.when(last >= 0, F.get(letters, last)).otherwise(F.lit(""))
+    return F.when(last >= 0, F.chr(last + ord("A"))).otherwise(F.lit(""))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from selroute.functions.scores import histogram_slot
 from selroute.operators.metrics import best_threshold, ranking_pair, threshold_sweep
-from selroute.operators.ordering import ROWS_PER_BUCKET, exact_quantiles, first_per_group, seeded_rank, value_running
+from selroute.operators.ordering import ROWS_PER_BUCKET, attach, exact_quantiles, first_per_group, seeded_rank, value_running
 from selroute.operators.splits import balanced_samples
 from selroute.session import durable
 
@@ -45,7 +45,7 @@ def spearman(rows: DataFrame, keys: Sequence[str], value: str = "value", label:
     pairs = both.groupBy(*keys, value, label).agg(F.count(F.lit(1)).alias("__w"))
     x = average_ranks(both, keys, value, "__rx", **kw)
     y = average_ranks(both, keys, label, "__ry", **kw)
-    joined = pairs.join(x, [*keys, value]).join(y.drop("__ry_n"), [*keys, label])
+    joined = attach(pairs.join(x, [*keys, value]), y.drop("__ry_n"), [*keys, label], [value])
     dx = F.col("__rx") - (F.col("__rx_n") + 1) / 2
     dy = F.col("__ry") - (F.col("__rx_n") + 1) / 2
     w = F.col("__w")

@@ -1,9 +1,13 @@
 """Running totals and ranks whose groups may be far larger than one task.
 
-Every operator here splits a group into *order-preserving* buckets: all rows of bucket ``b`` come before
-all rows of bucket ``b + 1``. A window then only ever sees one bucket, and the bucket totals (a small
-table) supply the offset at which each bucket starts. The bucket number is a pure function of exact
-aggregates (row count, minimum, maximum) or of a digest, so a recomputed task assigns the same bucket.
+A group of more than ``ROWS_PER_BUCKET`` rows is split into *order-preserving* buckets: all rows of bucket ``b`` come before
+all rows of bucket ``b + 1``. The rows are exchanged by (keys, bucket), a window sees one bucket, and the bucket totals (a small
+table) supply the offset at which each bucket starts. Which groups are large is counted first, in a job of its own; where none is,
+plain windows over the groups do. Statistics of large groups are attached by a salted join (or a broadcast of that
+small table), never by an exchange on the group keys alone, which the window above would reuse.
+
+Buckets of values follow a quantile sketch of the group's distinct values, written once as a small table, so a recomputed task
+sees the same edges and outliers or packed values do not fill one bucket. Buckets of digests are even by themselves.
 
 Key columns must not be NULL: rows with a NULL key belong to no group and disappear, as they do in the
 grouped reports this library reproduces.
@@ -12,21 +16,50 @@ grouped reports this library reproduces.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from selroute.session import durable
+
 # Rows one window task is meant to handle; groups beyond it are split.
 ROWS_PER_BUCKET = 1 << 20
-# Value buckets are equi-width, so cut them finer than the row count alone asks for.
-VALUE_OVERSPLIT = 8
-MAX_BUCKETS = 1 << 16
+# Edges between value buckets come in two levels of this many, so finding a row's bucket takes two short scans.
+EDGE_FAN = 64
 # Finer buckets for taking the first rows of a shuffle: only one bucket per group is ever moved.
 TAKE_BUCKET_ROWS = 1 << 12
+# A small table is repeated this often to meet rows that are spread over as many salts.
+SALTS = 64
 
 _BUCKET = "__bucket"
 
 
+def attach(
+    df: DataFrame, small: DataFrame, keys: Sequence[str], spread: Sequence[str], how: str = "inner", salts: int = SALTS
+) -> DataFrame:
+    """Join a table with at most one row per ``keys`` without sending a key's rows to one task.
+
+    The rows are spread over salts by a hash of ``spread``. Without keys, ``small`` has a single row and is broadcast.
+    """
+    if not keys:
+        return df.crossJoin(F.broadcast(small))
+    salted = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
+    return df.withColumn("__salt", salt).join(salted, [*keys, "__salt"], how).drop("__salt")
+
+
+def _with_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.where(reduce(Column.__and__, (F.col(k).isNotNull() for k in keys))) if keys else df
+
+
+def large_groups(df: DataFrame, keys: Sequence[str], rows_per_bucket: int) -> DataFrame | None:
+    """(keys, __rows) of the groups that one window task should not take, or nothing if there is none."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    large = durable(sizes.where(F.col("__rows") > rows_per_bucket))
+    return None if large.isEmpty() else large
+
+
 def running_totals(
     df: DataFrame,
     keys: Sequence[str],
@@ -67,35 +100,30 @@ def running_totals(
     )
 
 
-def bucket_total(rows: Column, rows_per_bucket: int, oversplit: int = 1) -> Column:
+def bucket_total(rows: Column, rows_per_bucket: int) -> Column:
     """How many buckets a group of ``rows`` rows gets; small groups stay whole."""
-    wanted = F.ceil(rows / F.lit(rows_per_bucket)) * oversplit
-    return F.when(rows <= rows_per_bucket, F.lit(1)).otherwise(F.least(wanted, F.lit(MAX_BUCKETS))).cast("long")
+    return F.when(rows <= rows_per_bucket, F.lit(1)).otherwise(F.ceil(rows / F.lit(rows_per_bucket))).cast("long")
 
 
 def with_value_bucket(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    weight: Column,
-    descending: bool,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    df: DataFrame, keys: Sequence[str], value: str, descending: bool, large: DataFrame, rows_per_bucket: int
 ) -> DataFrame:
-    """Number the rows by equi-width slices of ``value`` between the group's exact minimum and maximum."""
-    stats = df.groupBy(*keys).agg(
-        F.sum(weight).alias("__rows"),
-        F.min(value).cast("double").alias("__lo"),
-        F.max(value).cast("double").alias("__hi"),
-    )
+    """Number the rows of large groups (one row per distinct value) by the edges of a quantile sketch."""
     x = F.col(value).cast("double")
-    ahead = (F.col("__hi") - x) if descending else (x - F.col("__lo"))
-    width = F.col("__hi") - F.col("__lo")
-    cut = bucket_total(F.col("__rows"), rows_per_bucket, VALUE_OVERSPLIT)
-    slot = F.least(F.floor(ahead / width * cut), cut - 1)
-    usable = (width > 0) & (width < F.lit(float("inf")))
-    return df.join(stats, list(keys)).withColumn(
-        _BUCKET, F.when(usable, slot).otherwise(F.lit(0)).cast("long")
-    ).drop("__rows", "__lo", "__hi")
+    probabilities = [i / EDGE_FAN**2 for i in range(1, EDGE_FAN**2)]
+    theirs = attach(df, large, keys, [value])
+    sketch = theirs.groupBy(*keys).agg(F.percentile_approx(x, probabilities, 10 * EDGE_FAN**2).alias("__edges"))
+    coarse = F.transform(F.sequence(F.lit(1), F.lit(EDGE_FAN - 1)), lambda k: F.get("__edges", k * EDGE_FAN - 1))
+    edges = durable(sketch.withColumn("__coarse", coarse))
+
+    def below(array: Column) -> Column:
+        return F.size(F.filter(array, lambda edge: edge < x))
+
+    first = below(F.col("__coarse"))
+    place = first * EDGE_FAN + below(F.slice("__edges", first * EDGE_FAN + 1, F.lit(EDGE_FAN - 1)))
+    placed = attach(df, edges, keys, [value], "left")
+    bucket = F.when(F.col("__edges").isNull(), F.lit(0)).otherwise(-place if descending else place).cast("long")
+    return placed.withColumn(_BUCKET, bucket).drop("__edges", "__coarse")
 
 
 def value_running(
@@ -109,14 +137,17 @@ def value_running(
     """One row per distinct (keys, value): each measure summed, its running sum and its group total.
 
     The first step collapses equal values before anything is shuffled, so tied scores cost one row.
-    Measures must be non-negative counts; the first one sizes the buckets.
+    Groups are sized by their distinct values.
     """
     names = list(measures)
-    counted = df.groupBy(*keys, value).agg(*[F.sum(c).alias(n) for n, c in measures.items()])
-    weight = sum((F.col(n) for n in names[1:]), F.col(names[0]))
-    cut = with_value_bucket(counted, keys, value, weight, descending, rows_per_bucket)
+    counted = _with_keys(df, keys).groupBy(*keys, value).agg(*[F.sum(c).alias(n) for n, c in measures.items()])
     direction = F.col(value).desc() if descending else F.col(value).asc()
-    return running_totals(cut, keys, [direction], {n: F.col(n) for n in names}, bucket=_BUCKET).drop(_BUCKET)
+    totals = {n: F.col(n) for n in names}
+    large = large_groups(counted, keys, rows_per_bucket)
+    if large is None:
+        return running_totals(counted, keys, [direction], totals)
+    cut = with_value_bucket(counted, keys, value, descending, large, rows_per_bucket)
+    return running_totals(cut, keys, [direction], totals, bucket=_BUCKET).drop(_BUCKET)
 
 
 def seeded_digest(seed: Column | int | str, *ids: str) -> Column:
@@ -135,11 +166,14 @@ def digest_running(
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Running totals in digest order; a digest is uniform, so its prefix cuts even buckets."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-    prefix = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
-    cut = bucket_total(F.col("__rows"), rows_per_bucket)
-    placed = df.join(sizes, list(keys)).withColumn(_BUCKET, F.shiftrightunsigned(prefix * cut, 32)).drop("__rows")
+    df = _with_keys(df, keys)
     order = [F.col(digest), *[F.col(t) for t in tie]]
+    large = large_groups(df, keys, rows_per_bucket)
+    if large is None:
+        return running_totals(df, keys, order, measures)
+    prefix = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+    cut = bucket_total(F.coalesce("__rows", F.lit(1)), rows_per_bucket)
+    placed = attach(df, large, keys, [digest], "left").withColumn(_BUCKET, F.shiftrightunsigned(prefix * cut, 32)).drop("__rows")
     return running_totals(placed, keys, order, measures, bucket=_BUCKET).drop(_BUCKET)
 
 
@@ -153,14 +187,12 @@ def seeded_rank(
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Position of each row in the seeded shuffle of its group, starting at 1."""
-    groups = list(keys) or ["__all"]
-    base = df if keys else df.withColumn("__all", F.lit(0))
-    base = base.withColumn("__digest", seeded_digest(seed, *ids))
-    ranked = digest_running(base, groups, "__digest", list(ids), {"__n": F.lit(1)}, rows_per_bucket)
+    base = df.withColumn("__digest", seeded_digest(seed, *ids))
+    ranked = digest_running(base, list(keys), "__digest", list(ids), {"__n": F.lit(1)}, rows_per_bucket)
     ranked = ranked.withColumn(rank, F.col("__n_upto").cast("long"))
     if size:
         ranked = ranked.withColumn(size, F.col("__n_total").cast("long"))
-    return ranked.drop("__digest", "__n_upto", "__n_total", "__all")
+    return ranked.drop("__digest", "__n_upto", "__n_total")
 
 
 def seeded_take(
@@ -195,7 +227,7 @@ def seeded_take(
         .where(F.col("__rank") == F.col("__room"))
         .select(*keys, spot.alias("__last"))
     )
-    kept = placed.join(last, list(keys), "left").where(F.col("__last").isNull() | (spot <= F.col("__last")))
+    kept = attach(placed, last, list(keys), list(ids), "left").where(F.col("__last").isNull() | (spot <= F.col("__last")))
     return kept.select(*df.columns)
 
 

@@ -1,28 +1,43 @@
 """Corpus scoring of (prediction, reference) pairs: token-F1 and sentence BLEU-4.
 
-Both place each pair by its id once (whole texts, the smallest form of the data), explode tokens or n-grams
-inside the task and count them there: the later group-bys are already partitioned by the id, so the much
-larger token stream is never shuffled.
+A score depends on its own row only, so nothing is shuffled: tokens come from column expressions, an Arrow function counts what
+both sides share, and the formulas are expressions again. A repeated id is scored once per row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections import Counter
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from selroute.functions.text import answer_tokens, mteval_tokens
 
-_SIDES = ("pred", "ref")
+ORDERS = (1, 2, 3, 4)
+
+
+def _shared(pred: list, ref: list) -> int:
+    return (Counter(pred) & Counter(ref)).total()
 
 
-def _counted(tokens: dict[str, Column]) -> Column:
-    """One array of (in_pred, in_ref, token) entries for both sides."""
+def _token_counts(pred: pa.Array, ref: pa.Array) -> pa.Array:
+    rows = [(_shared(p, r), len(p), len(r)) for p, r in zip(pred.to_pylist(), ref.to_pylist(), strict=True)]
+    columns = zip(*rows, strict=True) if rows else [[]] * 3
+    return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], ["same", "n_pred", "n_ref"])
 
-    def flagged(side: str, array: Column) -> Column:
-        flags = [F.lit(1 if side == s else 0).alias(f"in_{s}") for s in _SIDES]
-        return F.transform(array, lambda t: F.struct(*flags, t.alias("token")))
 
-    return F.concat(*[flagged(side, array) for side, array in tokens.items()])
+def _gram_counts(pred: pa.Array, ref: pa.Array) -> pa.Array:
+    def grams(tokens: list, n: int) -> list:
+        return [tuple(tokens[i : i + n]) for i in range(len(tokens) - n + 1)]
+
+    rows = []
+    for p, r in zip(pred.to_pylist(), ref.to_pylist(), strict=True):
+        same = [_shared(grams(p, n), grams(r, n)) for n in ORDERS]
+        rows.append((*same, *(max(0, len(p) - n + 1) for n in ORDERS), len(r)))
+    names = [*(f"same_{n}" for n in ORDERS), *(f"total_{n}" for n in ORDERS), "n_ref"]
+    columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+    return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
 
 def score_token_f1(df: DataFrame, row_id: str, pred: str = "pred", ref: str = "ref", out: str = "f1_complete") -> DataFrame:
@@ -30,16 +45,9 @@ def score_token_f1(df: DataFrame, row_id: str, pred: str = "pred", ref: str = "r
 
     Pairs without a prediction or reference are left out; join back on the id to keep them as NULL.
     """
-    known = df.where(F.col(pred).isNotNull() & F.col(ref).isNotNull()).select(row_id, pred, ref).repartition(row_id)
-    tokens = known.select(
-        row_id, F.inline_outer(_counted({"pred": answer_tokens(F.col(pred)), "ref": answer_tokens(F.col(ref))}))
-    )
-    per_token = tokens.groupBy(row_id, "token").agg(F.sum("in_pred").alias("p"), F.sum("in_ref").alias("r"))
-    totals = per_token.groupBy(row_id).agg(
-        F.coalesce(F.sum(F.least("p", "r")), F.lit(0)).alias("same"),
-        F.coalesce(F.sum("p"), F.lit(0)).alias("n_pred"),
-        F.coalesce(F.sum("r"), F.lit(0)).alias("n_ref"),
-    )
+    known = df.where(F.col(pred).isNotNull() & F.col(ref).isNotNull())
+    count = F.arrow_udf(_token_counts, "struct<same:bigint,n_pred:bigint,n_ref:bigint>")
+    totals = known.select(row_id, count(answer_tokens(F.col(pred)), answer_tokens(F.col(ref))).alias("__c")).select(row_id, "__c.*")
     precision, recall = F.col("same") / F.col("n_pred"), F.col("same") / F.col("n_ref")
     score = (
         F.when((F.col("n_pred") == 0) & (F.col("n_ref") == 0), 1.0)
@@ -49,37 +57,19 @@ def score_token_f1(df: DataFrame, row_id: str, pred: str = "pred", ref: str = "r
     return totals.select(row_id, score.alias(out))
 
 
-def _grams(tokens: Column, n: int) -> Column:
-    last = F.size(tokens) - (n - 1)
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(
-        starts, lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(tokens, i, F.lit(n)), " ").alias("gram"))
-    )
-
-
 def score_bleu4(df: DataFrame, row_id: str, pred: str = "pred", ref: str = "ref", out: str = "bleu_complete") -> DataFrame:
     """Sentence BLEU up to 4-grams in 0..1: mteval-13a tokens, exponential smoothing, effective order.
 
     An order without any match counts as 1 / (2^k * total) for the k-th such order, orders longer than the
     prediction are left out of the mean, and a pair with no match at all scores 0.
     """
-    known = df.where(F.col(pred).isNotNull() & F.col(ref).isNotNull()).select(row_id, pred, ref).repartition(row_id)
-    split = known.select(row_id, mteval_tokens(F.col(pred)).alias("__p"), mteval_tokens(F.col(ref)).alias("__r"))
-    sides = {
-        side: F.concat(*[_grams(F.col(c), n) for n in (1, 2, 3, 4)]) for side, c in (("pred", "__p"), ("ref", "__r"))
-    }
-    grams = split.select(row_id, F.inline_outer(_counted(sides)))
-    per_gram = grams.groupBy(row_id, "token").agg(F.sum("in_pred").alias("p"), F.sum("in_ref").alias("r"))
-    order = F.col("token.n")
-    aggs = []
-    for n in (1, 2, 3, 4):
-        aggs.append(F.coalesce(F.sum(F.when(order == n, F.least("p", "r"))), F.lit(0)).alias(f"same_{n}"))
-        aggs.append(F.coalesce(F.sum(F.when(order == n, F.col("p"))), F.lit(0)).alias(f"total_{n}"))
-    aggs.append(F.coalesce(F.sum(F.when(order == 1, F.col("r"))), F.lit(0)).alias("n_ref"))
-    totals = per_gram.groupBy(row_id).agg(*aggs)
+    known = df.where(F.col(pred).isNotNull() & F.col(ref).isNotNull())
+    fields = [*(f"same_{n}" for n in ORDERS), *(f"total_{n}" for n in ORDERS), "n_ref"]
+    count = F.arrow_udf(_gram_counts, "struct<" + ",".join(f"{f}:bigint" for f in fields) + ">")
+    totals = known.select(row_id, count(mteval_tokens(F.col(pred)), mteval_tokens(F.col(ref))).alias("__c")).select(row_id, "__c.*")
 
     log_sum, orders, misses = F.lit(0.0), F.lit(0), F.lit(0)
-    for n in (1, 2, 3, 4):
+    for n in ORDERS:
         same, total = F.col(f"same_{n}").cast("double"), F.col(f"total_{n}").cast("double")
         misses = misses + F.when((total > 0) & (same == 0), 1).otherwise(0)
         share = F.when(same > 0, same / F.nullif(total, F.lit(0.0))).otherwise(

@@ -11,6 +11,7 @@ from selroute.functions.text import reference_texts
 from selroute.operators.ordering import (
     ROWS_PER_BUCKET,
     TAKE_BUCKET_ROWS,
+    attach,
     digest_running,
     first_per_group,
     seeded_digest,
@@ -31,12 +32,10 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> D
 def shared_by_all(df: DataFrame, item: Sequence[str] | str, model: str = "model", among: Sequence[str] = ()) -> DataFrame:
     """Items that every model has, by one distinct count instead of a chain of intersections."""
     items = [item] if isinstance(item, str) else list(item)
-    keys = list(among) or ["__all"]
-    base = df if among else df.withColumn("__all", F.lit(0))
-    seen = base.select(*keys, *items, model).distinct()
-    wanted = seen.groupBy(*keys).agg(F.count_distinct(model).alias("__models"))
-    counts = seen.groupBy(*keys, *items).agg(F.count(F.lit(1)).alias("__n"))
-    return counts.join(wanted, keys).where("__n = __models").select(*among, *items)
+    seen = df.select(*among, *items, model).distinct()
+    wanted = seen.groupBy(*among).agg(F.count_distinct(model).alias("__models"))
+    counts = seen.groupBy(*among, *items).agg(F.count(F.lit(1)).alias("__n"))
+    return attach(counts, wanted, list(among), items).where("__n = __models").select(*among, *items)
 
 
 def shared_split(df: DataFrame, item: str = "sample_id", model: str = "model") -> tuple[DataFrame, DataFrame]:
@@ -69,7 +68,7 @@ def fraction_split(
 def sample_per_group(df: DataFrame, keys: Sequence[str], seed: int | str, ids: Sequence[str], k: int) -> DataFrame:
     """``k`` rows per group in the seeded order (all of them when the group is smaller)."""
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
-    sized = df.join(sizes, list(keys)).withColumn("__take", F.lit(k))
+    sized = attach(df, sizes, list(keys), list(ids)).withColumn("__take", F.lit(k))
     return seeded_take(sized, keys, seed, ids, "__take", "__size").drop("__take", "__size")
 
 
@@ -97,7 +96,8 @@ def balanced_samples(
     # Class sizes do not depend on the seed, so they are counted before the rows are repeated per seed.
     per_class = base.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("__size"))
     sizes = per_class.withColumn("__take", F.min("__size").over(Window.partitionBy(*keys)))  # one row per class
-    seeded = base.join(sizes, [*keys, label]).withColumn("seed", F.explode(F.sequence(F.lit(min(seeds)), F.lit(max(seeds)))))
+    sized = attach(base, sizes, [*keys, label], list(ids))
+    seeded = sized.withColumn("seed", F.explode(F.sequence(F.lit(min(seeds)), F.lit(max(seeds)))))
     if len(seeds) != max(seeds) - min(seeds) + 1:
         seeded = seeded.where(F.col("seed").isin(list(seeds)))
     drawn = seeded_take(seeded, [*keys, "seed", label], F.col("seed"), ids, "__take", "__size", rows_per_bucket)
@@ -111,15 +111,10 @@ def missing_rates(df: DataFrame, item: str = "sample_id", model: str = "model",
     """
     models = df.where(F.col(model).isNotNull()).agg(F.count_distinct(model).alias("__models"))
     per_item = df.groupBy(item).agg(F.count_distinct(F.when(F.col(value).isNotNull(), F.col(model))).alias("n_present"))
-    width = models.select("__models", F.lit(0).alias("__all"))  # a single row
-    return (
-        per_item.withColumn("__all", F.lit(0))
-        .join(F.broadcast(width), "__all")
-        .select(
-            item,
-            (F.col("__models") - F.col("n_present")).alias("n_missing"),
-            (F.lit(1.0) - F.col("n_present") / F.col("__models")).alias("missing_rate"),
-        )
+    return attach(per_item, models, [], [item]).select(
+        item,
+        (F.col("__models") - F.col("n_present")).alias("n_missing"),
+        (F.lit(1.0) - F.col("n_present") / F.col("__models")).alias("missing_rate"),
     )
 
 
@@ -149,7 +144,7 @@ def bank_split(
     )
     position = F.col("__ahead") + F.col("__r_upto")
     cut = F.floor(F.col("__all_items") * F.lit(float(share)))
-    return ranked.join(offsets, "n_missing").select(
+    return attach(ranked, offsets, ["n_missing"], [item]).select(
         item, F.when(position <= cut, "bank").otherwise("train").alias("part")
     )
 
