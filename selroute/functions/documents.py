@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LIST_SEPARATOR = " | "
-MAX_DEPTH = 4
 
 # Which document keys identify a task, which of them make up the prompt, and which metric
 # tells whether the answer was right.
@@ -88,7 +87,24 @@ def _entries(value: Column) -> Column:
     return F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
 
 
-def leaf_keys(value: Column, depth: int = MAX_DEPTH) -> Column:
+def document_depth(doc_json: Column) -> Column:
+    """An upper bound of the object levels of a JSON text: its deepest nesting of braces outside strings."""
+    braces = F.regexp_replace(F.regexp_replace(doc_json, r'"(?:\\\\.|[^"\\\\])*"', ""), r"[^{}]", "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(acc: Column, brace: Column) -> Column:
+        now = acc["now"] + F.when(brace == "{", 1).when(brace == "}", -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    return F.aggregate(F.split(braces, ""), start, step, lambda acc: acc["most"])
+
+
+def deepest(df: DataFrame, doc: str = "doc") -> int:
+    """Levels that ``leaf_keys`` has to walk for every document of a table: one aggregate over the column."""
+    return max(1, df.agg(F.max(document_depth(F.col(doc)))).first()[0] or 1)
+
+
+def leaf_keys(value: Column, depth: int) -> Column:
     """Sorted dotted names of the leaves of a parsed document; lists are leaves, empty objects have none."""
 
     def walk(node: Column, levels: int) -> Column:
@@ -105,7 +121,7 @@ def leaf_keys(value: Column, depth: int = MAX_DEPTH) -> Column:
     return F.coalesce(F.array_sort(walk(value, depth)), F.array().cast("array<string>"))
 
 
-def key_signature(doc_json: Column, depth: int = MAX_DEPTH) -> Column:
+def key_signature(doc_json: Column, depth: int) -> Column:
     return F.array_join(leaf_keys(F.try_parse_json(doc_json), depth), "\x1f")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from selroute.functions.documents import key_signature, prompt_text, rule_table
+from selroute.functions.documents import deepest, key_signature, prompt_text, rule_table
 from selroute.functions.scores import at_least, blend, nan_to_null, to_binary
 
 # The metric that decides each task, and the cut-off of each metric.
@@ -135,7 +135,7 @@ def composite_label(df: DataFrame, ids: Sequence[str], bleu: str = "bleu_complet
 def dispatch_documents(df: DataFrame, doc: str = "doc") -> DataFrame:
     """Attach (fields, metric) by the key signature of each document; NULL where no rule knows it."""
     rules = F.broadcast(rule_table(df.sparkSession))  # a constant table of nine rows
-    return df.withColumn("signature", key_signature(F.col(doc))).join(rules, "signature", "left")
+    return df.withColumn("signature", key_signature(F.col(doc), deepest(df, doc))).join(rules, "signature", "left")
 
 
 def prepare_prompts(df: DataFrame, doc: str = "doc") -> tuple[DataFrame, DataFrame]:

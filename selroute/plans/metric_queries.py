@@ -57,21 +57,27 @@ def _(v):
     return rounded(M.pointwise_metrics(p, ["model"], "p").select("model", "accuracy"), "accuracy")
 
 
-@query(
-    "i5_eval_bundle",
-    f"""WITH {_OWN}, rk AS (SELECT *, rank() OVER (PARTITION BY model ORDER BY p) + (count(*) OVER (PARTITION BY model, p) - 1) / 2.0 AS rk FROM own),
+_BUNDLE_SQL = f"""WITH {_OWN}, rk AS (SELECT *, rank() OVER (PARTITION BY model ORDER BY p) + (count(*) OVER (PARTITION BY model, p) - 1) / 2.0 AS rk FROM own),
     a AS (SELECT model, {_BUNDLE}, round(avg((p - label) ** 2), 6) AS brier,
           round(avg(CAST(CAST(p >= 0.5 AS INT) = label AS INT)), 6) AS accuracy FROM rk GROUP BY 1),
     c AS (SELECT model, p, sum(label) AS pos, count(*) AS n FROM own GROUP BY ALL),
     s AS (SELECT model, pos, sum(pos) OVER w AS tp, sum(n) OVER w AS seen, sum(pos) OVER (PARTITION BY model) AS np
           FROM c WINDOW w AS (PARTITION BY model ORDER BY p DESC)),
     ap AS (SELECT model, round(sum(pos / np * tp / seen), 6) AS aupr FROM s GROUP BY 1)
-    SELECT a.*, aupr FROM a JOIN ap USING (model)""",
-)
+    SELECT a.*, aupr FROM a JOIN ap USING (model)"""
+
+
+@query("i5_eval_bundle", _BUNDLE_SQL)
 def _(v):
     return rounded(M.eval_metrics(_scored(v), ["model"]), "auroc", "aupr", "brier", "accuracy")
 
 
+@query("i5_eval_bundle_split", _BUNDLE_SQL)
+def _(v):
+    """The same with groups cut into buckets: no window sees more than a part of a model's scores."""
+    return rounded(M.eval_metrics(_scored(v), ["model"], rows_per_bucket=100), "auroc", "aupr", "brier", "accuracy")
+
+
 @query(
     "i6_roc_points",
     f"""WITH {_OWN}, c AS (SELECT model, logit, sum(label) AS pos, sum(1 - label) AS neg FROM own GROUP BY ALL)

@@ -55,15 +55,24 @@ def _(v):
     return X.misaligned_rows(scores, v.table("labels").select(F.col("doc_id").alias("row_id")), ["row_id"])
 
 
-@query("k1_transfer_bundle", f"WITH {_RK.format(k='source, target', t='transfer_pairs')} {_PAIR_BUNDLE.format(k='')}")
+def _pair_sql(keys: str, table: str) -> str:
+    """The bundle with average precision for every (keys) group of score and label pairs."""
+    return f"""WITH {_RK.format(k=keys, t=table)}, b AS ({_PAIR_BUNDLE.format(k=keys.removesuffix('source, target'))}),
+    c AS (SELECT {keys}, p, sum(label) AS pos, count(*) AS n FROM rk GROUP BY ALL),
+    s AS (SELECT {keys}, pos, sum(pos) OVER w AS tp, sum(n) OVER w AS seen, sum(pos) OVER (PARTITION BY {keys}) AS np
+      FROM c WINDOW w AS (PARTITION BY {keys} ORDER BY p DESC)),
+    ap AS (SELECT {keys}, round(sum(pos / np * tp / seen), 6) AS aupr FROM s GROUP BY ALL)
+    SELECT b.*, CASE WHEN n_pos > 0 AND n_neg > 0 THEN aupr END AS aupr FROM b JOIN ap USING ({keys})"""
+
+
+@query("k1_transfer_bundle", _pair_sql("source, target", "transfer_pairs"))
 def _(v):
-    out = X.transfer_metrics(v.scores, v.truth, ["row_id"]).drop("aupr")
-    return rounded(out, "auroc", "brier", "accuracy")
+    return rounded(X.transfer_metrics(v.scores, v.truth, ["row_id"]), "auroc", "aupr", "brier", "accuracy")
 
 
-@query("k2_bank_matrix", f"WITH {_RK.format(k='run, source, target', t='bank_pairs')} {_PAIR_BUNDLE.format(k='run,')}")
+@query("k2_bank_matrix", _pair_sql("run, source, target", "bank_pairs"))
 def _(v):
-    return rounded(v.routing.bank_matrix.drop("aupr"), "auroc", "brier", "accuracy")
+    return rounded(v.routing.bank_matrix, "auroc", "aupr", "brier", "accuracy")
 
 
 @query("b16_median_fill", "SELECT source, target, round(auroc, 6) AS auroc FROM filled")
@@ -328,37 +337,40 @@ def _(v):
 # --- calibration -------------------------------------------------------------------------------------
 
 # Isotonic regression by the max-min formula over pooled scores, then linear interpolation with clipping.
-_CALIBRATED = """pooled AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY x) AS i FROM (SELECT s.model, s.logit AS x,
+_CALIBRATED = """pooled AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY x) AS i FROM (SELECT s.run || ':' || s.model AS model, s.logit AS x,
       avg(CAST(c.correct AS DOUBLE)) AS y, count(*) AS w FROM bank_scores s JOIN bank_correct c USING (sample_id, model)
-      WHERE s.run = 0 AND c.correct IS NOT NULL GROUP BY ALL)),
+      WHERE c.correct IS NOT NULL GROUP BY ALL)),
     cum AS (SELECT *, sum(y * w) OVER o AS sy, sum(w) OVER o AS sw FROM pooled WINDOW o AS (PARTITION BY model ORDER BY i)),
     seg AS (SELECT a.model, a.i AS lo, b.i AS hi, (b.sy - a.sy + a.y * a.w) / (b.sw - a.sw + a.w) AS m FROM cum a JOIN cum b ON b.model = a.model AND b.i >= a.i),
     mins AS (SELECT p.model, p.i, s.lo, min(s.m) AS m FROM pooled p JOIN seg s ON s.model = p.model AND s.lo <= p.i AND s.hi >= p.i GROUP BY ALL),
     iso AS (SELECT p.model, p.x, max(m.m) AS f FROM pooled p JOIN mins m USING (model, i) GROUP BY ALL),
-    near AS (SELECT t.sample_id, t.model, t.logit, max(i.x) FILTER (i.x <= t.logit) AS x0, min(i.x) FILTER (i.x >= t.logit) AS x1
-      FROM test_scores t LEFT JOIN iso i ON i.model = t.model WHERE t.run = 0 GROUP BY ALL),
-    cal AS (SELECT n.sample_id, n.model, round(CASE WHEN x0 IS NULL THEN b.f WHEN x1 IS NULL OR x0 = x1 THEN a.f ELSE a.f + (b.f - a.f) * (n.logit - x0) / (x1 - x0) END, 9) AS logit
-      FROM near n LEFT JOIN iso a ON a.model = n.model AND a.x = n.x0 LEFT JOIN iso b ON b.model = n.model AND b.x = n.x1)"""
+    near AS (SELECT t.run, t.sample_id, t.model, t.logit, max(i.x) FILTER (i.x <= t.logit) AS x0, min(i.x) FILTER (i.x >= t.logit) AS x1
+      FROM test_scores t LEFT JOIN iso i ON i.model = t.run || ':' || t.model GROUP BY ALL),
+    cal AS (SELECT n.run, n.sample_id, n.model, round(CASE WHEN x0 IS NULL THEN b.f WHEN x1 IS NULL OR x0 = x1 THEN a.f ELSE a.f + (b.f - a.f) * (n.logit - x0) / (x1 - x0) END, 9) AS logit
+      FROM near n LEFT JOIN iso a ON a.model = n.run || ':' || n.model AND a.x = n.x0 LEFT JOIN iso b ON b.model = n.run || ':' || n.model AND b.x = n.x1)"""
 
 
 def _calibrated(v):
     data = v.routing
-    scores = data.test_scores.where("run = 0").select("sample_id", "model", "logit")
-    bank = data.bank_scores.where("run = 0").join(data.bank_correct, ["sample_id", "model"])
-    return R.calibrated_scores(scores, bank, MODELS).withColumn("logit", F.round("logit", 9))
+    keyed = F.concat_ws(":", "run", "model")
+    scores = data.test_scores.select("sample_id", keyed.alias("model"), "logit")
+    bank = data.bank_scores.join(data.bank_correct, ["sample_id", "model"]).withColumn("model", keyed)
+    fitted = R.calibrated_scores(scores, bank, [f"{run}:{m}" for run in range(3) for m in MODELS])
+    parts = F.split("model", ":")
+    return fitted.select("sample_id", F.get(parts, 0).cast("int").alias("run"), F.get(parts, 1).alias("model"), F.round("logit", 9).alias("logit"))
 
 
-@query("l9_isotonic_calibration", f"WITH {_CALIBRATED} SELECT sample_id, model, round(logit, 6) AS score FROM cal")
+@query("l9_isotonic_calibration", f"WITH {_CALIBRATED} SELECT run, sample_id, model, round(logit, 6) AS score FROM cal")
 def _(v):
-    return _calibrated(v).select("sample_id", "model", r6("logit").alias("score"))
+    return _calibrated(v).select("run", "sample_id", "model", r6("logit").alias("score"))
 
 
 @query(
     "m3_calibrated_router",
-    f"WITH {_CALIBRATED} SELECT sample_id, model FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY logit DESC, model) AS r FROM cal) WHERE r = 1",
+    f"WITH {_CALIBRATED} SELECT run, sample_id, model FROM (SELECT *, row_number() OVER (PARTITION BY run, sample_id ORDER BY logit DESC, model) AS r FROM cal) WHERE r = 1",
 )
 def _(v):
-    return R.best_scored(_calibrated(v), ["sample_id"])
+    return R.best_scored(_calibrated(v), ["run", "sample_id"])
 
 
 # --- neighbours --------------------------------------------------------------------------------------

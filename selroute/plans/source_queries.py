@@ -34,13 +34,15 @@ def _predictions(v):
     stats = ", ".join(f"'{s}', {x}" for s, x in (
         ("exact_match", "CAST(turn % 2 AS DOUBLE)"), ("quasi_exact_match", "CAST(NULL AS DOUBLE)"),
         ("f1_score", "CAST(conv_id % 10 AS DOUBLE) / 10"), ("bleu_4", "CAST(NULL AS DOUBLE)"),
-        ("final_number_exact_match", "CAST(NULL AS DOUBLE)"), ("math_equiv_chain_of_thought", "CAST(NULL AS DOUBLE)")))
+        ("final_number_exact_match", "CAST(NULL AS DOUBLE)"), ("math_equiv_chain_of_thought", "CAST(NULL AS DOUBLE)"),
+        ("rouge_l", "CAST(turn % 4 AS DOUBLE) / 4")))  # one statistic that no rule knows
     return _turns(v).selectExpr("folder", "instance_id", "text AS predicted_text", f"named_struct({stats}) AS stats")
 
 
 def _requests(v):
     return _turns(v).where("role <> 'system'").selectExpr(
-        "folder", "instance_id", "named_struct('model', concat('org/', role), 'prompt', concat('Q', CAST(turn AS STRING))) AS request"
+        "folder", "instance_id",
+        "named_struct('model', concat('org/', role), 'prompt', concat('Q', CAST(turn AS STRING)), 'max_tokens', turn + 16) AS request",
     )
 
 
@@ -69,18 +71,18 @@ def _array_scan(v, df, schema, name):
 
 @query(
     "a1_json_array_scan",
-    f"WITH {_RUN_SQL} SELECT folder, instance_id, text AS predicted_text, CAST(turn % 2 AS DOUBLE) AS exact_match, conv_id % 10 / 10 AS f1_score FROM turns",
+    f"WITH {_RUN_SQL} SELECT folder, instance_id, text AS predicted_text, CAST(turn % 2 AS DOUBLE) AS exact_match, conv_id % 10 / 10 AS f1_score, turn % 4 / 4 AS rouge_l FROM turns",
 )
 def _(v):
     scanned = _array_scan(v, _predictions(v), PREDICTIONS, "display_predictions")
-    return scanned.select("folder", "instance_id", "predicted_text", "stats.exact_match", "stats.f1_score")
+    return scanned.select("folder", "instance_id", "predicted_text", "stats.exact_match", "stats.f1_score", "stats.rouge_l")
 
 
 @query(
     "n1_run_table",
     f"""WITH {_RUN_SQL} SELECT folder, split_part(split_part(folder, '/', 2), ':', 1) AS task, instance_id, text AS predicted_text,
       CASE WHEN role <> 'system' THEN 'org_' || role END AS model, CASE WHEN role <> 'system' THEN 'Q' || turn END AS request_prompt,
-      CASE WHEN role = 'user' THEN role END AS input_text, conv_id % 10 / 10 AS stats_f1_score FROM turns WHERE role <> 'system'""",
+      CASE WHEN role = 'user' THEN role END AS input_text, conv_id % 10 / 10 AS stats_f1_score, turn % 4 / 4 AS stats_rouge_l, turn + 16 AS request_max_tokens FROM turns WHERE role <> 'system'""",
 )
 def _(v):
     joined = S.join_run_tables(
@@ -91,7 +93,7 @@ def _(v):
     path = scratch_path(v.spark, "per_model")
     S.write_per_model(joined, path)
     return v.spark.read.parquet(path).select(
-        "folder", "task", "instance_id", "predicted_text", "model", "request_prompt", "input_text", "stats_f1_score"
+        "folder", "task", "instance_id", "predicted_text", "model", "request_prompt", "input_text", "stats_f1_score", "stats_rouge_l", "request_max_tokens"
     )
 
 

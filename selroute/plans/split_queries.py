@@ -79,22 +79,28 @@ def _(v):
 
 @query(
     "e6_position_split",
-    """SELECT doc_id, CASE WHEN r <= 10000 THEN 'train' ELSE 'test' END AS part FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('42-' || doc_id), doc_id) AS r FROM documents) WHERE r <= 12000""",
+    """SELECT doc_id, CASE WHEN r <= 600 THEN 'train' ELSE 'test' END AS part FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('42-' || doc_id), doc_id) AS r FROM documents) WHERE r <= 800""",
 )
 def _(v):
-    return S.position_split(v.table("documents").select("doc_id"), 42, ["doc_id"], 10_000, 2_000)
+    return S.position_split(v.table("documents").select("doc_id"), 42, ["doc_id"], 600, 200)
 
 
-@query(
-    "e7_bank_split",
-    """SELECT sample_id, CASE WHEN r <= floor(n * 0.05) THEN 'bank' ELSE 'train' END AS part FROM (
+_BANK_SQL = """SELECT sample_id, CASE WHEN r <= floor(n * 0.05) THEN 'bank' ELSE 'train' END AS part FROM (
       SELECT sample_id, row_number() OVER (ORDER BY gaps, md5('bank-' || sample_id), sample_id) AS r, count(*) OVER () AS n
-      FROM (SELECT sample_id, count(*) FILTER (correct IS NULL) AS gaps FROM correct GROUP BY 1))""",
-)
+      FROM (SELECT sample_id, count(*) FILTER (correct IS NULL) AS gaps FROM correct GROUP BY 1))"""
+
+
+@query("e7_bank_split", _BANK_SQL)
 def _(v):
     return S.bank_split(v.correct)
 
 
+@query("e7_bank_split_cut", _BANK_SQL)
+def _(v):
+    """The same with items of equally many gaps cut into buckets."""
+    return S.bank_split(v.correct, rows_per_bucket=50)
+
+
 @query("f3_seeded_shuffle", "SELECT doc_id, CAST(row_number() OVER (ORDER BY md5('42-' || doc_id), doc_id) AS BIGINT) AS place FROM documents")
 def _(v):
     return seeded_rank(v.table("documents").select("doc_id"), (), 42, ["doc_id"], rank="place")

@@ -34,7 +34,7 @@ _DOC = f"""CASE event_id % 10
  WHEN 6 THEN concat('{{"section_id":"s","passage":"', {_P}, '","question":"how many?","query_id":"z","id":"i","answers":["1"],"answer":{{"number":"","date":{{"day":"","month":"","year":""}},"spans":[],"worker_id":"","hit_id":""}},"validated_answers":{{"number":[],"date":[],"spans":[],"worker_id":[],"hit_id":[]}}}}')
  WHEN 7 THEN concat('{{"id":"i","question":"', {_P}, '","answerKey":"A","choices":{{"text":["left","right"],"label":["A","B"]}}}}')
  WHEN 8 THEN '{{"question":null,"answer":"x"}}'
- ELSE '{{"zzz":1}}' END"""
+ ELSE CASE WHEN event_id % 20 = 9 THEN '{{"zzz":1}}' ELSE '{{"a":{{"b":{{"c":{{"d":{{"e":{{"f":1,"g":"}}"}}}}}}}}}}}}' END END"""
 _METRIC_TEXT = "CASE (event_id + {k}) % 5 WHEN 0 THEN 'True' WHEN 1 THEN 'False' WHEN 2 THEN '1.0' WHEN 3 THEN '0.0' ELSE NULL END"
 
 _STAT = "(d * 31 + m * 17 + d * m * 7) % 101"

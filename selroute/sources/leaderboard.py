@@ -49,8 +49,13 @@ def catalogue_gate(catalogue: DataFrame, listing: DataFrame, prefix: str = "") -
 
 
 def read_samples(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Scan JSON Lines sample files; task, time stamp and model come from the path."""
-    raw = spark.read.schema(SAMPLES).json(paths)
+    """Scan JSON Lines sample files; task, time stamp and model come from the path.
+
+    The fields that the rules use become columns; ``sample`` holds the whole line, so that no field of a file is lost.
+    """
+    lines = spark.read.text(paths)
+    fields = F.from_json("value", SAMPLES.simpleString())
+    raw = lines.select(fields.alias("__s"), F.col("value").alias("sample"), "_metadata").select("__s.*", "sample", "_metadata")
     path = decoded(F.col("_metadata.file_path"))
     return raw.withColumns(
         {"task": sample_file_task(path), "timestamp": sample_file_stamp(path), "model": parent_folder(path)}

@@ -11,13 +11,27 @@ from selroute.operators.reshape import flatten_struct
 from selroute.schemas import INSTANCES, PREDICTIONS, REQUESTS
 
 
-def read_array_files(spark: SparkSession, root: str, name: str, schema: T.StructType) -> DataFrame:
+def with_required(found: T.StructType, required: T.StructType) -> T.StructType:
+    """``found`` with the fields of ``required`` in their required types, nested structs merged, everything else kept."""
+    fields = {f.name: f for f in found.fields}
+    for f in required.fields:
+        have = fields.get(f.name)
+        if have and isinstance(have.dataType, T.StructType) and isinstance(f.dataType, T.StructType):
+            fields[f.name] = T.StructField(f.name, with_required(have.dataType, f.dataType))
+        else:
+            fields[f.name] = f
+    return T.StructType(list(fields.values()))
+
+
+def read_array_files(spark: SparkSession, root: str, name: str, required: T.StructType, schema: T.StructType | None = None) -> DataFrame:
     """Scan the files called ``name`` below ``root``, each one JSON array; the file's folder becomes a column.
 
-    Run folders have colons in their names, which path globs cannot expand, so the folders are listed.
+    All fields are kept: without a ``schema`` it is inferred in one pass over the files, and the ``required`` fields, which the rules
+    use, are there in any case. Run folders have colons in their names, which path globs cannot expand, so the folders are listed.
     """
-    reader = spark.read.schema(schema).option("multiLine", True)
-    raw = reader.option("recursiveFileLookup", True).option("pathGlobFilter", name).json(root)
+    reader = spark.read.option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", name)
+    found = schema or reader.json(root).schema
+    raw = reader.schema(with_required(found, required)).json(root)
     return raw.withColumn("folder", F.regexp_replace(decoded(F.col("_metadata.file_path")), r"/[^/]*$", ""))
 
 
