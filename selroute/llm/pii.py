@@ -198,16 +198,22 @@ def read_digits(text: str) -> list[tuple[int, int, str]]:
 
 
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
-_STRONG_AT = rf"[ \t]*{_OPEN}[ \t]*(?:at|@)[ \t]*{_CLOSE}[ \t]*|[ \t]+@[ \t]*|@[ \t]+|&#64;|&commat;|[ \t]*[_-]at[_-][ \t]*"
+# Fixed values: "at" in the other languages of the texts, and endings of domains that a bare English "at" may lead to.
+_FOREIGN_AT = "arobase|arroba|klammeraffe"
+_ENDINGS = frozenset("com org net edu gov mil int info biz name dev app test example invalid".split())
+_STRONG_AT = rf"[ \t]*{_OPEN}[ \t]*(?:at|@|{_FOREIGN_AT})[ \t]*{_CLOSE}[ \t]*|[ \t]+(?:{_FOREIGN_AT})[ \t]+|[ \t]+@[ \t]*|@[ \t]+|&#64;|&commat;|[ \t]*[_-]at[_-][ \t]*"
 _AT = re.compile(rf"(?P<strong>{_STRONG_AT})|(?P<weak>[ \t]+at[ \t]+)|(?P<plain>@)", re.IGNORECASE)
 _SPELLED_DOT = rf"[ \t]*{_OPEN}[ \t]*(?:dot|point|punkt|punto|\.)[ \t]*{_CLOSE}[ \t]*|[ \t]+dot[ \t]+|[ \t]+\.[ \t]+|&#46;|[_-]dot[_-]"
 _DOT = re.compile(_SPELLED_DOT, re.IGNORECASE)
+_ANY_DOT = re.compile(_SPELLED_DOT + r"|[ \t]+(?:point|punkt|punto)[ \t]+", re.IGNORECASE)
 _LABEL = re.compile(r"[A-Za-z0-9-]+")
 _LAST_LABEL = re.compile(r"[A-Za-z]{2,}$")
 _DIGIT_DOT = re.compile(rf"(?<=[0-9])(?:{_SPELLED_DOT}|[ \t]+(?:punkt|punto|point)[ \t]+)(?=[0-9])", re.IGNORECASE)
 # What a disguised address shows at least: a sign, a bracketed "at", or a bare one before a domain with a plain dot.
 _HINT = re.compile(r"[\[({<_-][ \t]*at[ \t]*[\])}>_-]|[ \t]at[ \t]+[a-z0-9-]+\.[a-z0-9]", re.IGNORECASE)
+_FOREIGN = frozenset(w.encode() for w in _FOREIGN_AT.split("|"))
 _DOT_BEFORE = re.compile(rf"(?:{_SPELLED_DOT})$", re.IGNORECASE)
+_ANY_DOT_BEFORE = re.compile(rf"(?:{_ANY_DOT.pattern})$", re.IGNORECASE)
 
 
 def read_addresses(text: str) -> list[tuple[int, int, str]]:
@@ -215,15 +221,17 @@ def read_addresses(text: str) -> list[tuple[int, int, str]]:
     word "at" counts only with a written dot, or with a name that no ordinary word looks like."""
     edits: list[tuple[int, int, str]] = []
     done = 0
-    hinted = "@" in text or "&#64;" in text or "&commat;" in text or b"dot" in _words(text) or _HINT.search(text)
+    words = set(_words(text))
+    hinted = "@" in text or "&#64;" in text or "&commat;" in text or b"dot" in words or words & _FOREIGN or _HINT.search(text)
     for m in _AT.finditer(text) if hinted else ():
         if m.start() < done:
             continue
         at, labels, dots = m.end(), [], []
+        sure = m.lastgroup == "strong"
         while label := _LABEL.match(text, at):
             labels.append(label.group())
             at = label.end()
-            dot = _DOT.match(text, at)
+            dot = (_ANY_DOT if sure else _DOT).match(text, at)
             if dot and _LABEL.match(text, dot.end()):
                 dots.append((dot.start(), dot.end(), "."))
                 at = dot.end()
@@ -243,7 +251,7 @@ def read_addresses(text: str) -> list[tuple[int, int, str]]:
                     start = before.pop()[1]
                 break
             start = name
-            dot = _DOT_BEFORE.search(text, max(done, start - 16), start)
+            dot = (_ANY_DOT_BEFORE if sure else _DOT_BEFORE).search(text, max(done, start - 16), start)
             if dot is None or dot.start() == done or text[dot.start() - 1] not in _LOCAL:
                 break
             before.append((dot.start(), dot.end(), "."))
@@ -251,8 +259,10 @@ def read_addresses(text: str) -> list[tuple[int, int, str]]:
         if start == m.start():
             continue
         local = text[start : m.start()]
-        if m.lastgroup == "weak" and not dots and not re.search(r"[0-9]|[A-Za-z][._%+-][A-Za-z]", local):
-            continue
+        if m.lastgroup == "weak":
+            ending = labels[-1].lower()
+            if len(ending) > 2 and ending not in _ENDINGS or not dots and not re.search(r"[0-9]|[A-Za-z][._%+-][A-Za-z]", local):
+                continue
         if m.lastgroup == "plain" and not dots and not before:
             continue
         edits += [*reversed(before), (m.start(), m.end(), "@"), *dots]
