@@ -9,6 +9,7 @@ from selroute.functions import text as T
 from selroute.functions.scores import arg_max_name, to_binary
 from selroute.operators import entailment as N
 from selroute.operators import labels as L
+from selroute.operators import metrics as M
 from selroute.operators import overlap as O
 from selroute.plans.registry import query, r6, rounded
 
@@ -292,6 +293,30 @@ def _(v):
     return labels.groupBy("rule", "model").agg(F.sum("correct").alias("n_correct"), F.count("correct").alias("n_known"))
 
 
+_CUTS = [str(b) for b in L.BLEU_GRID]
+
+
+@query(
+    "i22_composite_grid_report",
+    f"""WITH {_CLEAN}, {_GRID}, lab AS (SELECT op, b, f, rule, model, row_id, CASE WHEN task IN ('narrative_qa', 'wmt_14', 'natural_qa') THEN {_RULE}
+      ELSE CAST(stats_exact_match AS INT) END AS label FROM clean, grid),
+    rk AS (SELECT op, b, f, rule, model, label, rank() OVER (PARTITION BY model, rule ORDER BY logit)
+      + (count(*) OVER (PARTITION BY model, rule, logit) - 1) / 2.0 AS rk FROM lab JOIN eval_long USING (row_id, model) WHERE label IS NOT NULL),
+    a AS (SELECT op, b, f, model, (sum(rk * label) - sum(label) * (sum(label) + 1) / 2.0) / nullif(sum(label) * sum(1 - label), 0) AS auroc
+      FROM rk GROUP BY ALL)
+    SELECT op, f AS f1, {', '.join(f'round(avg(auroc) FILTER (b = {c}), 6) AS "{c}"' for c in _CUTS)} FROM a GROUP BY 1, 2""",
+)
+def _(v):
+    labels = L.composite_label(v.answers, ["row_id", "model"], "stats_bleu_4", "stats_f1_score").withColumnRenamed("correct", "label")
+    predictions = labels.where("label IS NOT NULL").join(v.eval_long.select("row_id", "model", "logit"), ["row_id", "model"])
+    parts = F.split("rule", "_")
+    cells = M.eval_metrics(predictions, ["model", "rule"]).select(
+        F.get(parts, 0).alias("op"), F.get(parts, 1).alias("bleu"), F.get(parts, 2).cast("double").alias("f1"), "auroc"
+    )
+    wide = cells.groupBy("op", "f1").pivot("bleu", _CUTS).agg(F.avg("auroc"))
+    return wide.select("op", "f1", *[r6(F.col(f"`{c}`")).alias(c) for c in _CUTS]).orderBy("op", F.desc("f1"))
+
+
 _PAIRS = """ep AS (SELECT row_id, CAST(i - 1 AS INT) AS ref_pos, w.direction, CASE w.direction WHEN 0 THEN predicted_text ELSE refs[i].output.text END AS premise,
       CASE w.direction WHEN 0 THEN refs[i].output.text ELSE predicted_text END AS hypothesis
       FROM (SELECT *, unnest(range(1, len(refs) + 1)) AS i FROM run_rows WHERE stats_f1_score IS NOT NULL OR stats_bleu_4 IS NOT NULL), (VALUES (0), (1)) w(direction))"""

