@@ -299,7 +299,8 @@ def _balanced_sql(seeds: str, keys: str = "metric") -> str:
 
 
 _ONE_SEED = "(VALUES (42)) q(seed)"
-_MANY_SEEDS = "range(100) q(seed)"
+_MANY_SEEDS = "range(1000) q(seed)"
+_HUNDRED_SEEDS = "range(100) q(seed)"
 
 
 @query(
@@ -319,7 +320,7 @@ def _repeated(keys: str, seeds: str) -> str:
 
 @query("i13_repeated_balanced", f"WITH {_repeated('metric', _MANY_SEEDS)} SELECT * FROM bal")
 def _(v):
-    out = A.balanced_accuracy(_human(v), ["metric"], ["doc_id"], 100)
+    out = A.balanced_accuracy(_human(v), ["metric"], ["doc_id"], 1000)
     return rounded(out, "bal_acc", "bal_acc_std", "threshold", "threshold_std")
 
 
@@ -333,15 +334,15 @@ def _(v):
     return rounded(A.label_auroc(_human(v, "task"), ["task", "metric"]), "auroc", "aupr")
 
 
-@query("i14_sliced_balanced", f"WITH {_repeated('task, metric', 'range(20) q(seed)')} SELECT * FROM bal")
+@query("i14_sliced_balanced", f"WITH {_repeated('task, metric', _MANY_SEEDS)} SELECT * FROM bal")
 def _(v):
-    out = A.balanced_accuracy(_human(v, "task"), ["task", "metric"], ["doc_id"], 20)
+    out = A.balanced_accuracy(_human(v, "task"), ["task", "metric"], ["doc_id"], 1000)
     return rounded(out, "bal_acc", "bal_acc_std", "threshold", "threshold_std")
 
 
 @query(
     "i15_agreement_report",
-    f"""WITH {_repeated('metric', _MANY_SEEDS)}, sp AS ({_SPEARMAN.format(k='metric,', p='metric')}),
+    f"""WITH {_repeated('metric', _HUNDRED_SEEDS)}, sp AS ({_SPEARMAN.format(k='metric,', p='metric')}),
     rk2 AS (SELECT metric, label, value, rank() OVER (PARTITION BY metric ORDER BY value) + (count(*) OVER (PARTITION BY metric, value) - 1) / 2.0 AS rk FROM human_long),
     au AS (SELECT metric, round((sum(rk * label) - sum(label) * (sum(label) + 1) / 2.0) / nullif(sum(label) * sum(1 - label), 0), 6) AS auroc FROM rk2 GROUP BY 1),
     un AS (SELECT metric, round(avg(CAST(label = value AS INT)), 6) AS unbal_acc FROM human_long GROUP BY 1)

@@ -407,12 +407,14 @@ def _(v):
 
 # --- all strategies ----------------------------------------------------------------------------------
 
-_ALL = f"""{_KNEE}, {_TAUS},
+_ALL = f"""{_KNEE}, {_TAUS}, {_CALIBRATED},
     final_picks AS (SELECT p.run, p.source, p.step FROM picks p JOIN best b ON b.run = p.run AND b.tau = p.tau),
     croute AS (SELECT run, sample_id, model FROM (SELECT s.run, s.sample_id, s.model, row_number() OVER (PARTITION BY s.run, s.sample_id ORDER BY logit DESC, p.step) AS r
       FROM test_scores s JOIN final_picks p ON p.run = s.run AND p.source = s.model) WHERE r = 1),
     routed AS (SELECT 'raw' AS strategy, run, sample_id, model FROM raw UNION ALL SELECT 'elbow-pruning', run, sample_id, model FROM elbow
-      UNION ALL SELECT 'coverage-pruning', run, sample_id, model FROM croute),
+      UNION ALL SELECT 'coverage-pruning', run, sample_id, model FROM croute
+      UNION ALL SELECT 'calibrated', run, sample_id, model FROM (
+        SELECT *, row_number() OVER (PARTITION BY run, sample_id ORDER BY logit DESC, model) AS r FROM cal) WHERE r = 1),
     accs AS (SELECT strategy, run, avg(CAST(coalesce(correct, 0) AS DOUBLE)) AS accuracy FROM routed LEFT JOIN test_correct USING (sample_id, model) GROUP BY ALL),
     {_BOUNDS}, everything AS (SELECT strategy, accuracy FROM accs UNION ALL FROM bounds)"""
 
@@ -428,6 +430,7 @@ def _all_routes(v):
         "raw": _raw(v),
         "elbow-pruning": R.elbow_routes(data.test_scores, ["sample_id"], ["run"]),
         "coverage-pruning": R.coverage_routes(data.test_scores, picks, ["sample_id"], ["run"]),
+        "calibrated": R.best_scored(_calibrated(v), ["run", "sample_id"]),
     }
     out = None
     for strategy, routes in named.items():
