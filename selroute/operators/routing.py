@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import IsotonicRegression
@@ -16,6 +17,7 @@ from selroute.session import durable
 
 TAU_STEPS = 100
 SEARCH_ROUNDS = 20
+PARALLEL_FITS = 4
 
 
 def best_scored(scores: DataFrame, sample: Sequence[str], score: str = "logit", tie: Column | None = None) -> DataFrame:
@@ -156,16 +158,22 @@ def calibrated_scores(
     ).persist()
     have = {r[0] for r in pooled.select("model").distinct().collect()}  # as many rows as models
     assembler = VectorAssembler(inputCols=["__score"], outputCol="__x")
+
+    def fit(model: str):
+        train = assembler.transform(pooled.where(F.col("model") == model).withColumn("__score", F.col(score).cast("double")))
+        return IsotonicRegression(featuresCol="__x", labelCol="__y", weightCol="__w", predictionCol="__p").fit(train)
+
+    known = [m for m in models if m in have]
+    with ThreadPoolExecutor(max_workers=PARALLEL_FITS) as pool:
+        fits = dict(zip(known, pool.map(fit, known), strict=True))
+    pooled.unpersist()
     out = None
     for model in models:
         part = scores.where(F.col("model") == model)
-        if model in have:
-            train = assembler.transform(pooled.where(F.col("model") == model).withColumn("__score", F.col(score).cast("double")))
-            fit = IsotonicRegression(featuresCol="__x", labelCol="__y", weightCol="__w", predictionCol="__p").fit(train)
+        if model in fits:
             ready = assembler.transform(part.withColumn("__score", F.col(score).cast("double")))
-            part = fit.transform(ready).withColumn(score, F.col("__p")).drop("__p", "__x", "__score")
+            part = fits[model].transform(ready).withColumn(score, F.col("__p")).drop("__p", "__x", "__score")
         out = part if out is None else out.unionByName(part)
-    pooled.unpersist()
     return out
 
 
