@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from selroute.functions.text import answer_tokens, mteval_tokens
@@ -17,12 +17,21 @@ from selroute.functions.text import answer_tokens, mteval_tokens
 ORDERS = (1, 2, 3, 4)
 
 
+def _as_text(tokens: Column) -> Column:
+    return F.array_join(tokens, " ")
+
+
 def _shared(pred: list, ref: list) -> int:
     return (Counter(pred) & Counter(ref)).total()
 
 
+def _split(texts: pa.Array) -> list[list[str]]:
+    """Tokens of each text; they travel as one text with blanks, which no token contains."""
+    return [x.split(" ") if x else [] for x in texts.to_pylist()]
+
+
 def _token_counts(pred: pa.Array, ref: pa.Array) -> pa.Array:
-    rows = [(_shared(p, r), len(p), len(r)) for p, r in zip(pred.to_pylist(), ref.to_pylist(), strict=True)]
+    rows = [(_shared(p, r), len(p), len(r)) for p, r in zip(_split(pred), _split(ref), strict=True)]
     columns = zip(*rows, strict=True) if rows else [[]] * 3
     return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], ["same", "n_pred", "n_ref"])
 
@@ -32,7 +41,7 @@ def _gram_counts(pred: pa.Array, ref: pa.Array) -> pa.Array:
         return [tuple(tokens[i : i + n]) for i in range(len(tokens) - n + 1)]
 
     rows = []
-    for p, r in zip(pred.to_pylist(), ref.to_pylist(), strict=True):
+    for p, r in zip(_split(pred), _split(ref), strict=True):
         same = [_shared(grams(p, n), grams(r, n)) for n in ORDERS]
         rows.append((*same, *(max(0, len(p) - n + 1) for n in ORDERS), len(r)))
     names = [*(f"same_{n}" for n in ORDERS), *(f"total_{n}" for n in ORDERS), "n_ref"]
@@ -47,7 +56,7 @@ def score_token_f1(df: DataFrame, row_id: str, pred: str = "pred", ref: str = "r
     """
     known = df.where(F.col(pred).isNotNull() & F.col(ref).isNotNull())
     count = F.arrow_udf(_token_counts, "struct<same:bigint,n_pred:bigint,n_ref:bigint>")
-    totals = known.select(row_id, count(answer_tokens(F.col(pred)), answer_tokens(F.col(ref))).alias("__c")).select(row_id, "__c.*")
+    totals = known.select(row_id, count(_as_text(answer_tokens(F.col(pred))), _as_text(answer_tokens(F.col(ref)))).alias("__c")).select(row_id, "__c.*")
     precision, recall = F.col("same") / F.col("n_pred"), F.col("same") / F.col("n_ref")
     score = (
         F.when((F.col("n_pred") == 0) & (F.col("n_ref") == 0), 1.0)
@@ -66,7 +75,7 @@ def score_bleu4(df: DataFrame, row_id: str, pred: str = "pred", ref: str = "ref"
     known = df.where(F.col(pred).isNotNull() & F.col(ref).isNotNull())
     fields = [*(f"same_{n}" for n in ORDERS), *(f"total_{n}" for n in ORDERS), "n_ref"]
     count = F.arrow_udf(_gram_counts, "struct<" + ",".join(f"{f}:bigint" for f in fields) + ">")
-    totals = known.select(row_id, count(mteval_tokens(F.col(pred)), mteval_tokens(F.col(ref))).alias("__c")).select(row_id, "__c.*")
+    totals = known.select(row_id, count(_as_text(mteval_tokens(F.col(pred))), _as_text(mteval_tokens(F.col(ref)))).alias("__c")).select(row_id, "__c.*")
 
     log_sum, orders, misses = F.lit(0.0), F.lit(0), F.lit(0)
     for n in ORDERS:
