@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +25,19 @@ def with_required(found: T.StructType, required: T.StructType) -> T.StructType:
     return T.StructType(list(fields.values()))
 
 
+def infer_elements(spark: SparkSession, root: str, name: str) -> T.StructType:
+    """Merged schema of the elements of all array files, by one aggregate over the parsed files.
+
+    Decimal fractions are read as doubles; fields that are always null or of mixed types as text.
+    """
+    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", name)
+    found = reader.text(root).agg(F.schema_of_variant_agg(F.parse_json("value"))).first()[0]
+    found = re.sub(r"DECIMAL\(\d+,\s*\d+\)", "DOUBLE", re.sub(r"\b(VOID|VARIANT)\b", "STRING", found)).replace("OBJECT<", "STRUCT<")
+    elements = T.StructType.fromDDL(f"rows {found}")["rows"].dataType
+    inner = elements.elementType if isinstance(elements, T.ArrayType) else T.StructType()
+    return inner if isinstance(inner, T.StructType) else T.StructType()
+
+
 def read_array_files(spark: SparkSession, root: str, name: str, required: T.StructType, schema: T.StructType | None = None) -> DataFrame:
     """Scan the files called ``name`` below ``root``, each one JSON array; the file's folder becomes a column.
 
@@ -30,7 +45,7 @@ def read_array_files(spark: SparkSession, root: str, name: str, required: T.Stru
     use, are there in any case. Run folders have colons in their names, which path globs cannot expand, so the folders are listed.
     """
     reader = spark.read.option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", name)
-    found = schema or reader.json(root).schema
+    found = schema or infer_elements(spark, root, name)
     raw = reader.schema(with_required(found, required)).json(root)
     return raw.withColumn("folder", F.regexp_replace(decoded(F.col("_metadata.file_path")), r"/[^/]*$", ""))
 
