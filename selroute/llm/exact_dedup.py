@@ -41,16 +41,16 @@ def filter_bits(rows: int, max_bits: int = MAX_BITS) -> int:
     return min(max_bits, 1 << max(16, (BITS_PER_ROW * rows - 1).bit_length()))
 
 
-def repeated_bitmap(digests: DataFrame, bits: int) -> DataFrame:
-    """(bucket, bitmap) of the slots that at least two rows of ``digests`` hit; at most ``bits / 8`` bytes in all."""
+def slot_bitmap(digests: DataFrame, bits: int, hits: int = 2) -> DataFrame:
+    """(bucket, bitmap) of the slots that at least ``hits`` rows of ``digests`` hit; at most ``bits / 8`` bytes in all."""
     slots = digests.select(F.explode(F.array(*_slots(F.col("digest"), bits))).alias("slot"))
-    twice = slots.groupBy("slot").agg(F.count("*").alias("hits")).filter("hits >= 2")
-    return twice.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
+    often = slots.groupBy("slot").agg(F.count("*").alias("hits")).filter(F.col("hits") >= hits)
+    return often.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bitmap")
     )
 
 
-def _with_suspicion(rows: DataFrame, digest: str, bitmap: DataFrame, bits: int, name: str) -> DataFrame:
+def with_suspicion(rows: DataFrame, digest: str, bitmap: DataFrame, bits: int, name: str) -> DataFrame:
     """Add a boolean: both slots of the row's digest are set."""
     table = F.broadcast(durable(bitmap))
     tests = []
@@ -72,7 +72,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         )
     )
     bits = filter_bits(keyed.count(), max_bits)
-    tested = durable(_with_suspicion(keyed, "digest", repeated_bitmap(keyed, bits), bits, "suspect"))
+    tested = durable(with_suspicion(keyed, "digest", slot_bitmap(keyed, bits), bits, "suspect"))
     alone = tested.filter("not suspect").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "digest")
     suspects = tested.filter("suspect").select("id", "points", "digest")
     groups = durable(
@@ -91,7 +91,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     digest, suspect, row = (_free(x, names) for x in ("digest", "suspect", "row"))
     keyed = durable(docs.select(_digest(text_col).alias("digest")))
     bits = filter_bits(keyed.count(), max_bits)
-    rows = _with_suspicion(docs.withColumn(digest, _digest(text_col)), digest, repeated_bitmap(keyed, bits), bits, suspect)
+    rows = with_suspicion(docs.withColumn(digest, _digest(text_col)), digest, slot_bitmap(keyed, bits), bits, suspect)
     whole = F.struct(*[F.col(f"`{c}`") for c in names])
     best = F.struct(F.char_length(_text(text_col)), -F.col(id_col), _text(text_col))
     grouped = rows.filter(F.col(suspect)).groupBy(digest).agg(F.max_by(whole, best).alias(row))

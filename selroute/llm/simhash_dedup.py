@@ -14,7 +14,10 @@ fingerprints are one node, so copies cost nothing. A cell with more than ``CELL_
 of blocks is compared on its own. Links are then closed by ``components``.
 
 For similarity 0.8 on word shingles 64 bits say too little (about 10 of 64 bits differ there, by chance between 4 and 17), so
-``near_duplicates`` uses fingerprints of 512 bits and cells of 16 chosen bits in 48 grids, and verifies the distance on all bits.
+``near_duplicates`` uses fingerprints of 512 bits over the distinct shingles and cells of 16 or more chosen bits; the number of
+grids follows from the recall asked for at the threshold. A pair four standard deviations closer than the threshold is a link by
+its distance. What lies between that and an estimate 0.1 below the threshold is linked only if the shingle sets themselves are
+similar enough: cells return three edge-disjoint spanning forests of such pairs, and only texts that occur in them are moved.
 
 Defined cases: a null text counts as empty; a text without words has fingerprint zero and is linked like any other; fewer words
 than a shingle give one shingle; null ids are ignored when the smallest id of a group is taken; repeated rows share a group.
@@ -33,6 +36,7 @@ from pyspark.sql import functions as F
 
 from selroute.llm.common import blocks, find_words, hash_windows, hash_words, mix, raw_texts
 from selroute.llm.components import components
+from selroute.llm.exact_dedup import filter_bits, slot_bitmap, with_suspicion
 from selroute.session import durable
 
 WORDS, MAX_BITS, SEED = 4, 4, 42
@@ -82,58 +86,89 @@ def fingerprint_column(text: Column, words: int = WORDS) -> Column:
     return F.arrow_udf(compute, "long")(text)
 
 
+def shingle_sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
+    """Sorted distinct 64-bit hashes of every text's shingles; of a shorter text, the hash of all its words."""
+    for _, run in blocks(texts):
+        low = [t.lower() for t in run]
+        buffer, starts, lengths, owner = find_words(low)
+        w = hash_words(buffer, starts, lengths)
+        h, first = hash_windows(w, owner, words)
+        bounds = np.searchsorted(owner[first], np.arange(len(low) + 1))
+        word_bounds = np.searchsorted(owner, np.arange(len(low) + 1))
+        for i in range(len(low)):
+            part = h[bounds[i] : bounds[i + 1]]
+            few = w[word_bounds[i] : word_bounds[i + 1]]
+            if not len(part) and len(few):
+                part = hash_windows(few, np.zeros(len(few), np.int64), len(few))[0]
+            yield np.unique(part)
+
+
 def wide_fingerprint_column(text: Column, words: int, lanes: int) -> Column:
-    """Fingerprint of ``64 * lanes`` bits over word shingles, hashed in bulk."""
+    """Fingerprint of ``64 * lanes`` bits over distinct word shingles, hashed in bulk."""
+
+    def majority(part: np.ndarray) -> bytes:
+        sums = [bit_sums(mix(part + _salt(k + 1))) for k in range(lanes)]
+        return b"".join(np.packbits(x * 2 > len(part), bitorder="little").tobytes() for x in sums)
 
     def compute(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            out = []
-            for _, run in blocks(raw_texts(batch)):
-                low = [t.lower() for t in run]
-                buffer, starts, lengths, owner = find_words(low)
-                w = hash_words(buffer, starts, lengths)
-                h, first = hash_windows(w, owner, words)
-                own = owner[first]
-                bounds = np.searchsorted(own, np.arange(len(low) + 1))
-                word_bounds = np.searchsorted(owner, np.arange(len(low) + 1))
-                for i in range(len(low)):
-                    part = h[bounds[i] : bounds[i + 1]]
-                    if not len(part) and word_bounds[i] < word_bounds[i + 1]:  # fewer words than a shingle: the whole sequence
-                        few = w[word_bounds[i] : word_bounds[i + 1]]
-                        part = hash_windows(few, np.zeros(len(few), np.int64), len(few))[0]
-                    majority = [
-                        np.packbits(bit_sums(mix(part + _salt(k + 1))) * 2 > len(part), bitorder="little")
-                        for k in range(lanes)
-                    ]
-                    out.append(b"".join(m.tobytes() for m in majority))
-            yield pa.array(out, pa.binary())
+            yield pa.array([majority(part) for part in shingle_sets(raw_texts(batch), words)], pa.binary())
 
     return F.arrow_udf(compute, "binary")(text)
 
 
+def shingle_column(text: Column, words: int) -> Column:
+    """The shingle set as the bytes of its sorted hashes."""
+
+    def compute(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([part.astype("<u8").tobytes() for part in shingle_sets(raw_texts(batch), words)], pa.large_binary())
+
+    return F.arrow_udf(compute, "binary")(text)
+
+
+def jaccard_column(left: Column, right: Column) -> Column:
+    """Jaccard similarity of two shingle sets; two empty sets are equal."""
+
+    def similarity(a: bytes, b: bytes) -> float:
+        x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+        shared = len(np.intersect1d(x, y, assume_unique=True))
+        return shared / (len(x) + len(y) - shared) if len(x) + len(y) else 1.0
+
+    def compute(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for a, b in batches:
+            yield pa.array([similarity(x.as_py(), y.as_py()) for x, y in zip(a, b, strict=True)], pa.float64())
+
+    return F.arrow_udf(compute, "double")(left, right)
+
+
 # --- comparison of the members of cells -----------------------------------------------------------------------------------
 
 
 class Forest:
     """Labels of nodes that are joined link by link."""
 
-    def __init__(self, n: int):
-        self.label = np.arange(n)
+    def __init__(self, label: np.ndarray):
+        self.label = label
         self.links: list[tuple[int, int]] = []
 
-    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+    def join(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which of the links (a, b) joined two trees."""
         label = self.label
-        fresh = label[a] != label[b]
-        for x, y in zip(a[fresh].tolist(), b[fresh].tolist(), strict=True):
+        taken = np.zeros(len(a), bool)
+        for i in np.flatnonzero(label[a] != label[b]).tolist():
+            x, y = int(a[i]), int(b[i])
             rx, ry = self._root(x), self._root(y)
             if rx != ry:
                 label[max(rx, ry)] = min(rx, ry)
                 self.links.append((x, y))
-        while fresh.any():
+                taken[i] = True
+        while taken.any():
             up = label[label]
             if (up == label).all():
                 break
             self.label = label = up
+        return taken
 
     def _root(self, x: int) -> int:
         label = self.label
@@ -147,38 +182,60 @@ def segment_counts(bits: np.ndarray) -> np.ndarray:
     return bits[:, 0::2] + bits[:, 1::2]
 
 
-def compare_cells(cell: np.ndarray, prints: np.ndarray, max_bits: int, popcount_width: int | None) -> list[tuple[int, int]]:
-    """Links (positions) of a spanning forest of all pairs in one cell with at most ``max_bits`` differing bits.
-
-    Rows are sorted by cell, then total count. ``prints`` holds 64-bit lanes."""
+def _steps(cell: np.ndarray, totals: np.ndarray, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of positions in one cell whose totals are at most ``max_bits`` apart. Rows are sorted by cell, then total."""
     n = len(cell)
-    forest = Forest(n)
-    totals = np.bitwise_count(prints).sum(axis=1, dtype=np.int64)
-    left = np.arange(n - 1) if n > 1 else np.zeros(0, np.int64)
+    left = np.arange(max(n - 1, 0))
     step = 1
     while len(left):
-        right = left + step
-        left = left[right < n]
-        right = left + step
-        # Sorted by cell and total: once out of the cell or out of range, further steps are too.
-        near = (cell[left] == cell[right]) & (totals[right] - totals[left] <= max_bits)
+        left = left[left + step < n]
+        # Once out of the cell or out of range, further steps are too.
+        near = (cell[left] == cell[left + step]) & (totals[left + step] - totals[left] <= max_bits)
         left = left[near]
-        right = left + step
-        open_ = forest.label[left] != forest.label[right]
-        a, b = left[open_], right[open_]
-        if len(a) and popcount_width:
+        yield left, left + step
+        step += 1
+
+
+def compare_cells(cell: np.ndarray, prints: np.ndarray, max_bits: int, embed: bool) -> Forest:
+    """Spanning forest of all pairs in one cell with at most ``max_bits`` differing bits.
+
+    Rows are sorted by cell, then total count. ``prints`` holds 64-bit lanes."""
+    forest = Forest(np.arange(len(cell)))
+    totals = np.bitwise_count(prints).sum(axis=1, dtype=np.int64)
+    for a, b in _steps(cell, totals, max_bits):
+        open_ = forest.label[a] != forest.label[b]
+        a, b = a[open_], b[open_]
+        if len(a) and embed:
             x, y = (np.unpackbits(prints[i].view(np.uint8), axis=1, bitorder="little") for i in (a, b))
             bound = np.abs(segment_counts(x).astype(np.int16) - segment_counts(y)).sum(axis=1)
             a, b = a[bound <= max_bits], b[bound <= max_bits]
         if len(a):
             close = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1) <= max_bits
             forest.join(a[close], b[close])
-        step += 1
-    return forest.links
+    return forest
 
 
-def _compare(lanes: int, max_bits: int, embed: bool):
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+def unsure_links(cell: np.ndarray, prints: np.ndarray, max_bits: int, label: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs with at most ``max_bits`` differing bits as edge-disjoint spanning forests over the classes ``label``: where a check
+    refuses some of them, others still tie the same classes. At most ``FORESTS`` links a row, whatever the number of pairs."""
+    forests = [Forest(label.copy()) for _ in range(FORESTS)]
+    totals = np.bitwise_count(prints).sum(axis=1, dtype=np.int64)
+    for a, b in _steps(cell, totals, max_bits):
+        open_ = forests[-1].label[a] != forests[-1].label[b]
+        a, b = a[open_], b[open_]
+        if not len(a):
+            continue
+        differing = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1)
+        order = np.argsort(differing, kind="stable")[: np.count_nonzero(differing <= max_bits)]
+        a, b = a[order], b[order]
+        for forest in forests:
+            taken = forest.join(a, b)
+            a, b = a[~taken], b[~taken]
+    return [link for forest in forests for link in forest.links]
+
+
+def _compare(lanes: int, max_bits: int, embed: bool, unsure_bits: int | None):
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("sure", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by (cell, block). The last cell of a batch is kept until it is complete."""
@@ -201,16 +258,20 @@ def _compare(lanes: int, max_bits: int, embed: bool):
             group = np.concatenate(([0], np.cumsum(change)))
             totals = np.bitwise_count(prints).sum(axis=1, dtype=np.int64)
             order = np.lexsort((totals, group))
-            links = compare_cells(group[order], prints[order], max_bits, 2 if embed else None)
-            if links:
-                a, b = (order[np.array(x)] for x in zip(*links, strict=True))
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(a)), names.take(pa.array(b))], schema=schema)
+            forest = compare_cells(group[order], prints[order], max_bits, embed)
+            found = [(forest.links, True)]
+            if unsure_bits is not None:
+                found.append((unsure_links(group[order], prints[order], unsure_bits, forest.label), False))
+            for links, sure in found:
+                if links:
+                    a, b = (names.take(pa.array(order[np.array(x)])) for x in zip(*links, strict=True))
+                    yield pa.RecordBatch.from_arrays([a, b, pa.array([sure] * len(a))], schema=schema)
 
     return run
 
 
-def _link(prints: DataFrame, cells, lanes: int, max_bits: int, embed: bool) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (binary column ``print``); ``cells`` maps an (n, lanes) array to (n, grids)."""
+def _link(prints: DataFrame, cells, lanes: int, max_bits: int, embed: bool, unsure_bits: int | None = None) -> DataFrame:
+    """Links (a, b, sure) between distinct fingerprints (binary column ``print``); ``cells`` maps an (n, lanes) array to (n, grids)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("cell", pa.int64()), ("print", pa.binary())])
@@ -235,7 +296,8 @@ def _link(prints: DataFrame, cells, lanes: int, max_bits: int, embed: bool) -> D
     return (
         dealt.repartition("cell", "block")
         .sortWithinPartitions("cell", "block")
-        .mapInArrow(_compare(lanes, max_bits, embed), "a binary, b binary")
+        .mapInArrow(_compare(lanes, max_bits, embed, unsure_bits), "a binary, b binary, sure boolean")
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sure")
         .distinct()
     )
 
@@ -303,7 +365,7 @@ def hamming_groups(
     rows = rows.withColumn("print", _little_endian(F.col("fingerprint")))
     prints = durable(rows.select("print").distinct())
     n = prints.count()
-    links = durable(_link(prints, popcount_cells(bands_for(n, max_bits), max_bits), 1, max_bits, True))
+    links = durable(_link(prints, popcount_cells(bands_for(n, max_bits), max_bits), 1, max_bits, True).select("a", "b"))
     return rows.join(_classes(rows, links), "print").select("id", "fingerprint", "component_id")
 
 
@@ -312,7 +374,9 @@ def _little_endian(value: Column) -> Column:
     return F.unhex(F.concat(*[F.substring(digits, 15 - 2 * k, 2) for k in range(8)]))
 
 
-LANES, GRIDS, CELL_BITS = 8, 48, 16
+LANES, CELL_BITS, FORESTS = 8, 16, 3
+GRID_RECALL = 0.975
+MARGIN = 0.1
 
 
 def differing_share(similarity: float) -> float:
@@ -320,14 +384,48 @@ def differing_share(similarity: float) -> float:
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
+def grids_for(bits: int, similarity: float, recall: float = GRID_RECALL) -> int:
+    """Grids needed so that a pair at the threshold shares a cell with this probability."""
+    return int(np.ceil(np.log(1 - recall) / np.log1p(-((1 - differing_share(similarity)) ** bits))))
+
+
+def _similar(docs: DataFrame, rows: DataFrame, links: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
+    """The links (a, b) whose texts have at least this Jaccard similarity. One text stands for each fingerprint. A Bloom filter of
+    their digests lets all other texts stay where they are."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("print")).distinct()
+    needed = durable(ends.join(rows, "print").groupBy("print").agg(F.min("digest").alias("digest")))
+    bits = filter_bits(needed.count())
+    texts = docs.select(F.col(text_col).alias("text"), _text_digest(text_col).alias("digest"))
+    wanted = with_suspicion(texts, "digest", slot_bitmap(needed, bits, 1), bits, "wanted").filter("wanted")
+    sets = wanted.select("digest", "text").dropDuplicates(["digest"]).join(needed, "digest")
+    sets = durable(sets.select("print", shingle_column(F.col("text"), words).alias("shingles")))
+    left, right = (sets.select(F.col("print").alias(x), F.col("shingles").alias(f"{x}_shingles")) for x in "ab")
+    pairs = links.join(left, "a").join(right, "b")
+    return pairs.filter(jaccard_column(F.col("a_shingles"), F.col("b_shingles")) >= similarity).select("a", "b")
+
+
+def _text_digest(text_col: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, lanes: int = LANES
 ) -> DataFrame:
-    """One row per input row: id, print (binary) and component_id, for texts whose shingles are similar by their fingerprints."""
-    rows = durable(docs.select(F.col(id_col).alias("id"), wide_fingerprint_column(F.col(text_col), words, lanes).alias("print")))
+    """One row per input row: id, print (binary) and component_id, for texts whose shingle sets are similar."""
+    rows = durable(
+        docs.select(
+            F.col(id_col).alias("id"),
+            _text_digest(text_col).alias("digest"),
+            wide_fingerprint_column(F.col(text_col), words, lanes).alias("print"),
+        )
+    )
     prints = durable(rows.select("print").distinct())
     n = prints.count()
-    max_bits = int(64 * lanes * differing_share(similarity))
-    bits = max(CELL_BITS, n.bit_length() - 3)
-    links = durable(_link(prints, bit_cells(lanes, bits, GRIDS), lanes, max_bits, False))
+    width, share = 64 * lanes, differing_share(similarity)
+    sure = int(width * share - 4 * np.sqrt(width * share * (1 - share)))
+    bits = max(CELL_BITS, n.bit_length() - 8)  # about 2**8 members a cell by chance
+    cells = bit_cells(lanes, bits, grids_for(bits, similarity))
+    links = durable(_link(prints, cells, lanes, sure, False, int(width * differing_share(similarity - MARGIN))))
+    checked = durable(_similar(docs, rows, links.filter("not sure").select("a", "b"), text_col, words, similarity))
+    links = links.filter("sure").select("a", "b").unionByName(checked)
     return rows.join(_classes(rows, links), "print").select("id", "print", "component_id")
