@@ -17,7 +17,8 @@ For similarity 0.8 on word shingles 64 bits say too little (about 10 of 64 bits
 ``near_duplicates`` uses fingerprints of 512 bits over the distinct shingles and cells of 16 or more chosen bits; the number of
 grids follows from the recall asked for at the threshold. A pair four standard deviations closer than the threshold is a link by
 its distance. What lies between that and an estimate 0.1 below the threshold is linked only if the shingle sets themselves are
-similar enough: cells return three edge-disjoint spanning forests of such pairs, and only texts that occur in them are moved.
+similar enough: cells return a spanning forest of such pairs, the texts tied by these forests are gathered once, and inside such
+a gathered group every pair is checked on the shingle sets, so a refused pair never stands in for another one.
 
 Defined cases: a null text counts as empty; a text without words has fingerprint zero and is linked like any other; fewer words
 than a shingle give one shingle; null ids are ignored when the smallest id of a group is taken; repeated rows share a group.
@@ -42,6 +43,7 @@ from selroute.session import durable
 WORDS, MAX_BITS, SEED = 4, 4, 42
 CELL_ROWS = 4_000
 PIECE = 1 << 16
+GROUP_ROWS, GROUP_BYTES, COLUMNS = 250, 16 << 20, 4096
 
 
 def _salt(k: int) -> np.uint64:
@@ -127,19 +129,25 @@ def shingle_column(text: Column, words: int) -> Column:
     return F.arrow_udf(compute, "binary")(text)
 
 
-def jaccard_column(left: Column, right: Column) -> Column:
-    """Jaccard similarity of two shingle sets; two empty sets are equal."""
-
-    def similarity(a: bytes, b: bytes) -> float:
-        x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
-        shared = len(np.intersect1d(x, y, assume_unique=True))
-        return shared / (len(x) + len(y) - shared) if len(x) + len(y) else 1.0
-
-    def compute(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for a, b in batches:
-            yield pa.array([similarity(x.as_py(), y.as_py()) for x, y in zip(a, b, strict=True)], pa.float64())
-
-    return F.arrow_udf(compute, "double")(left, right)
+def similar_pairs(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of the shingle sets with at least this Jaccard similarity; two empty sets are equal."""
+    n, sizes = len(sets), np.fromiter(map(len, sets), np.int64, count=len(sets))
+    owner = np.repeat(np.arange(n), sizes)
+    _, column, counts = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
+    several = counts > 1  # the others are part of no intersection
+    place = np.cumsum(several) - 1
+    owner, column = owner[several[column]], place[column[several[column]]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    shared = np.zeros((n, n), np.int64)
+    for start in range(0, int(several.sum()), COLUMNS):
+        part = slice(*np.searchsorted(column, [start, start + COLUMNS]))
+        held = np.zeros((n, COLUMNS), np.float32)
+        held[owner[part], column[part] - start] = 1
+        shared += (held @ held.T).astype(np.int64)
+    either = sizes[:, None] + sizes - shared
+    left, right = np.nonzero(np.triu(shared >= similarity * either - 1e-9, 1))
+    return left, right
 
 
 # --- comparison of the members of cells -----------------------------------------------------------------------------------
@@ -215,10 +223,12 @@ def compare_cells(cell: np.ndarray, prints: np.ndarray, max_bits: int, embed: bo
     return forest
 
 
-def unsure_links(cell: np.ndarray, prints: np.ndarray, max_bits: int, label: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs with at most ``max_bits`` differing bits as edge-disjoint spanning forests over the classes ``label``: where a check
-    refuses some of them, others still tie the same classes. At most ``FORESTS`` links a row, whatever the number of pairs."""
-    forests = [Forest(label.copy()) for _ in range(FORESTS)]
+def unsure_links(
+    cell: np.ndarray, prints: np.ndarray, max_bits: int, label: np.ndarray, count: int | None = None
+) -> list[tuple[int, int]]:
+    """Pairs with at most ``max_bits`` differing bits as edge-disjoint spanning forests over the classes ``label``. At most
+    ``count`` (or else ``FORESTS``) links a row, whatever the number of pairs. One forest ties all that any of these pairs tie."""
+    forests = [Forest(label.copy()) for _ in range(count or FORESTS)]
     totals = np.bitwise_count(prints).sum(axis=1, dtype=np.int64)
     for a, b in _steps(cell, totals, max_bits):
         open_ = forests[-1].label[a] != forests[-1].label[b]
@@ -261,7 +271,7 @@ def _compare(lanes: int, max_bits: int, embed: bool, unsure_bits: int | None):
             forest = compare_cells(group[order], prints[order], max_bits, embed)
             found = [(forest.links, True)]
             if unsure_bits is not None:
-                found.append((unsure_links(group[order], prints[order], unsure_bits, forest.label), False))
+                found.append((unsure_links(group[order], prints[order], unsure_bits, forest.label, 1), False))
             for links, sure in found:
                 if links:
                     a, b = (names.take(pa.array(order[np.array(x)])) for x in zip(*links, strict=True))
@@ -287,14 +297,8 @@ def _link(prints: DataFrame, cells, lanes: int, max_bits: int, embed: bool, unsu
     # Large cells are cut into blocks; a member goes to every pair of blocks that its own block is part of.
     counts = rows.groupBy("cell").agg(F.count("*").alias("members")).filter(F.col("members") > CELL_ROWS)
     counts = durable(counts.select("cell", F.ceil(F.col("members") / CELL_ROWS).cast("int").alias("cuts")))
-    dealt = rows.join(counts, "cell", "left") if counts.limit(1).count() else rows.withColumn("cuts", F.lit(None).cast("int"))
-    own = F.pmod(F.xxhash64("print"), F.col("cuts")).cast("int")
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.col("cuts") - 1), lambda j: F.least(own, j) * F.col("cuts") + F.greatest(own, j)
-    )
-    dealt = dealt.select("cell", "print", F.explode(F.when(F.col("cuts").isNull(), F.array(F.lit(0))).otherwise(pairs)).alias("block"))
     return (
-        dealt.repartition("cell", "block")
+        _dealt(rows, "cell", counts).repartition("cell", "block")
         .sortWithinPartitions("cell", "block")
         .mapInArrow(_compare(lanes, max_bits, embed, unsure_bits), "a binary, b binary, sure boolean")
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sure")
@@ -302,6 +306,17 @@ def _link(prints: DataFrame, cells, lanes: int, max_bits: int, embed: bool, unsu
     )
 
 
+def _dealt(rows: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    """Add ``block``: 0, or for a key that ``counts`` (key, cuts) cuts, one row for every pair of blocks the row is part of."""
+    dealt = rows.join(counts, key, "left") if counts.limit(1).count() else rows.withColumn("cuts", F.lit(None).cast("int"))
+    own = F.pmod(F.xxhash64("print"), F.col("cuts")).cast("int")
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.col("cuts") - 1), lambda j: F.least(own, j) * F.col("cuts") + F.greatest(own, j)
+    )
+    blocks_of = F.explode(F.when(F.col("cuts").isNull(), F.array(F.lit(0))).otherwise(pairs))
+    return dealt.select(*rows.columns, blocks_of.alias("block"))
+
+
 def popcount_cells(bands: int, max_bits: int):
     """Cells of the grids: counts of the two-bit segments of every choice of ``bands - max_bits`` bands."""
     deal = np.arange(32) % bands
@@ -389,19 +404,70 @@ def grids_for(bits: int, similarity: float, recall: float = GRID_RECALL) -> int:
     return int(np.ceil(np.log(1 - recall) / np.log1p(-((1 - differing_share(similarity)) ** bits))))
 
 
+def _groups(prints: DataFrame, links: DataFrame) -> DataFrame:
+    """(print, class, group) of the classes of sure links that unsure ones tie to others; the group is all that is tied."""
+    roots = components(links.filter("sure").select("a", "b"))
+    classes = durable(
+        prints.join(roots, F.col("print") == F.col("node"), "left").select("print", F.coalesce("root", "print").alias("class"))
+    )
+    ties = links.filter("not sure").select("a", "b")
+    for x in "ab":
+        ties = ties.join(classes.select(F.col("print").alias(x), F.col("class").alias(f"{x}_class")), x)
+    ties = components(ties.filter("a_class <> b_class").select(F.col("a_class").alias("a"), F.col("b_class").alias("b")).distinct())
+    return durable(classes.join(ties.select(F.col("node").alias("class"), F.col("root").alias("group")).distinct(), "class"))
+
+
+def _check_groups(similarity: float):
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def check(rows: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
+        names, classes, sets = zip(*rows, strict=True)
+        first: dict[bytes, int] = {}
+        label = np.array([first.setdefault(c, i) for i, c in enumerate(classes)])
+        forest = Forest(label)
+        forest.join(*similar_pairs([np.frombuffer(x, "<u8") for x in sets], similarity))
+        a, b = zip(*forest.links, strict=True) if forest.links else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array([names[i] for i in x], pa.binary()) for x in (a, b)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by (group, block)."""
+        key, held = None, []
+        for batch in batches:
+            columns = (batch.column(c) for c in ("group", "block", "print", "class", "shingles"))
+            for group, block, *row in zip(*columns, strict=True):
+                here = (group.as_py(), block.as_py())
+                if here != key and held:
+                    yield check(held)
+                    held = []
+                key = here
+                held.append(tuple(x.as_py() for x in row))
+        if held:
+            yield check(held)
+
+    return run
+
+
 def _similar(docs: DataFrame, rows: DataFrame, links: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
-    """The links (a, b) whose texts have at least this Jaccard similarity. One text stands for each fingerprint. A Bloom filter of
-    their digests lets all other texts stay where they are."""
-    ends = links.select(F.explode(F.array("a", "b")).alias("print")).distinct()
-    needed = durable(ends.join(rows, "print").groupBy("print").agg(F.min("digest").alias("digest")))
+    """Links (a, b) of at least this Jaccard similarity that tie all classes of sure links which any such pair inside a group
+    ties. One text stands for each fingerprint. A Bloom filter of their digests lets all other texts stay where they are."""
+    groups = _groups(rows.select("print").distinct(), links)
+    needed = durable(groups.join(rows, "print").groupBy("print", "class", "group").agg(F.min("digest").alias("digest")))
     bits = filter_bits(needed.count())
     texts = docs.select(F.col(text_col).alias("text"), _text_digest(text_col).alias("digest"))
     wanted = with_suspicion(texts, "digest", slot_bitmap(needed, bits, 1), bits, "wanted").filter("wanted")
     sets = wanted.select("digest", "text").dropDuplicates(["digest"]).join(needed, "digest")
-    sets = durable(sets.select("print", shingle_column(F.col("text"), words).alias("shingles")))
-    left, right = (sets.select(F.col("print").alias(x), F.col("shingles").alias(f"{x}_shingles")) for x in "ab")
-    pairs = links.join(left, "a").join(right, "b")
-    return pairs.filter(jaccard_column(F.col("a_shingles"), F.col("b_shingles")) >= similarity).select("a", "b")
+    sets = durable(sets.select("print", "class", "group", shingle_column(F.col("text"), words).alias("shingles")))
+    # Large groups are cut into blocks of few rows and bytes, and every pair of blocks is compared.
+    cuts = F.ceil(F.greatest(F.count("*") / GROUP_ROWS, F.sum(F.length("shingles")) / GROUP_BYTES)).cast("int")
+    counts = durable(sets.groupBy("group").agg(cuts.alias("cuts")).filter("cuts > 1"))
+    return (
+        _dealt(sets, "group", counts)
+        .repartition("group", "block")
+        .sortWithinPartitions("group", "block")
+        .mapInArrow(_check_groups(similarity), "a binary, b binary")
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .distinct()
+    )
 
 
 def _text_digest(text_col: str) -> Column:
@@ -426,6 +492,6 @@ def near_duplicates(
     bits = max(CELL_BITS, n.bit_length() - 8)  # about 2**8 members a cell by chance
     cells = bit_cells(lanes, bits, grids_for(bits, similarity))
     links = durable(_link(prints, cells, lanes, sure, False, int(width * differing_share(similarity - MARGIN))))
-    checked = durable(_similar(docs, rows, links.filter("not sure").select("a", "b"), text_col, words, similarity))
+    checked = durable(_similar(docs, rows, links, text_col, words, similarity))
     links = links.filter("sure").select("a", "b").unionByName(checked)
     return rows.join(_classes(rows, links), "print").select("id", "print", "component_id")

@@ -180,6 +180,37 @@ def test_unsure_links_survive_refused_ones():
     assert simhash_dedup.unsure_links(np.zeros(40, np.int64), prints, 64, np.zeros(40, np.int64)) == []
 
 
+def test_similar_pairs_equal_brute_force():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 40, int(rng.integers(0, 40)))).astype(np.uint64) for _ in range(120)]
+    want = {
+        (i, j) for i in range(120) for j in range(i + 1, 120)
+        if not (u := set(sets[i]) | set(sets[j])) or len(set(sets[i]) & set(sets[j])) >= 0.8 * len(u)
+    }
+    assert set(zip(*map(np.ndarray.tolist, simhash_dedup.similar_pairs(sets, 0.8)), strict=True)) == want
+
+
+def test_templated_texts_do_not_hide_similar_pairs(spark, monkeypatch):
+    """Texts of one template are refused at 0.72; planted pairs of 0.83 among them are joined, also where groups are cut."""
+    monkeypatch.setattr(simhash_dedup, "GROUP_ROWS", 100)
+    rng = random.Random(9)
+    template = [f"t{rng.randrange(10**6)}" for _ in range(336)]
+    rows = []
+    for i in range(300):
+        words = template + [f"w{rng.randrange(10**6)}" for _ in range(64)]
+        rows.append((i, " ".join(words)))
+        if i % 10 == 0:
+            for k in range(340, 396, 8):
+                words[k] = f"c{rng.randrange(10**6)}"
+            rows.append((1000 + i, " ".join(words)))
+    text = dict(rows)
+    assert 0.65 < jaccard(text[1], text[2]) < 0.78
+    similar = [i for i in range(0, 300, 10) if jaccard(text[i], text[1000 + i]) >= 0.8]
+    got = {r.id: r.component_id for r in simhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(similar) == 30 and all(got[i] == got[1000 + i] for i in similar)
+    assert len(set(got.values())) == 300
+
+
 def test_components_of_chains_stars_and_cycles(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(201, 202), (202, 203), (203, 201), (300, 300)]
     rows = components.components(spark.createDataFrame(links, "a long, b long")).collect()
