@@ -14,11 +14,14 @@ fingerprints are one node, so copies cost nothing. A cell with more than ``CELL_
 of blocks is compared on its own. Links are then closed by ``components``.
 
 For similarity 0.8 on word shingles 64 bits say too little (about 10 of 64 bits differ there, by chance between 4 and 17), so
-``near_duplicates`` uses fingerprints of 512 bits over the distinct shingles and cells of 16 or more chosen bits; the number of
-grids follows from the recall asked for at the threshold. A pair four standard deviations closer than the threshold is a link by
-its distance. What lies between that and an estimate 0.1 below the threshold is linked only if the shingle sets themselves are
-similar enough: cells return a spanning forest of such pairs, the texts tied by these forests are gathered once, and inside such
-a gathered group every pair is checked on the shingle sets, so a refused pair never stands in for another one.
+``near_duplicates`` takes the prefix filter instead of grids: of two sets of the similarity asked for, the first
+``n - ceil(similarity * n) + 1`` shingles in one common order share a member, so each of these shingles is a cell and no pair is
+lost at any length. Shingles that are frequent in a sample come last in the order. Inside a cell, fingerprints of 512 bits over
+the distinct shingles leave out what is six standard deviations further apart than a pair at the threshold; that distance follows
+from the set sizes. A pair of long texts four standard deviations closer than the threshold is a link by its distance. The rest
+is linked only if the shingle sets themselves are similar enough: cells return a spanning forest of such pairs, the texts tied by
+these forests are gathered once, and inside such a gathered group every pair is checked on the shingle sets, so a refused pair
+never stands in for another one.
 
 Defined cases: a null text counts as empty; a text without words has fingerprint zero and is linked like any other; fewer words
 than a shingle give one shingle; null ids are ignored when the smallest id of a group is taken; repeated rows share a group.
@@ -27,12 +30,13 @@ than a shingle give one shingle; null ids are ignored when the smallest id of a
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from selroute.llm.common import blocks, find_words, hash_windows, hash_words, mix, raw_texts
@@ -105,18 +109,49 @@ def shingle_sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
             yield np.unique(part)
 
 
-def wide_fingerprint_column(text: Column, words: int, lanes: int) -> Column:
-    """Fingerprint of ``64 * lanes`` bits over distinct word shingles, hashed in bulk."""
+def head_column(text: Column, words: int, lanes: int, similarity: float, common: np.ndarray) -> Column:
+    """Per text: fingerprint of ``64 * lanes`` bits over distinct word shingles, their number, and the prefix for the filter.
+
+    ``common`` holds the hashes of frequent shingles, the most frequent last; they come last in the order of shingles."""
+    known = np.sort(common)
+    place = np.argsort(common) + 1
 
     def majority(part: np.ndarray) -> bytes:
         sums = [bit_sums(mix(part + _salt(k + 1))) for k in range(lanes)]
         return b"".join(np.packbits(x * 2 > len(part), bitorder="little").tobytes() for x in sums)
 
+    def prefix(part: np.ndarray) -> np.ndarray:
+        late = np.zeros(len(part), np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, part), len(known) - 1)
+            late = np.where(known[at] == part, place[at], 0)
+        kept = len(part) - int(np.ceil(similarity * len(part) - 1e-9)) + 1 if len(part) else 0
+        return part[np.lexsort((part, late))[:kept]].view(np.int64)
+
     def compute(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([majority(part) for part in shingle_sets(raw_texts(batch), words)], pa.binary())
+            rows = [(majority(part), len(part), prefix(part)) for part in shingle_sets(raw_texts(batch), words)]
+            prints, sizes, cells = zip(*rows, strict=True) if rows else ((), (), ())
+            columns = [pa.array(prints, pa.binary()), pa.array(sizes, pa.int32()), pa.array(cells, pa.list_(pa.int64()))]
+            yield pa.StructArray.from_arrays(columns, ["print", "size", "prefix"])
 
-    return F.arrow_udf(compute, "binary")(text)
+    return F.arrow_udf(compute, "struct<print:binary,size:int,prefix:array<bigint>>")(text)
+
+
+def common_shingles(docs: DataFrame, id_col: str, text_col: str, words: int) -> np.ndarray:
+    """Hashes of shingles that are frequent in a sample of about ``SAMPLE_ROWS`` texts, the most frequent last. It only sets the
+    order of shingles: with any other answer the links are the same, at another cost."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in shingle_sets(raw_texts(batch.column(0)), words):
+                yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64))], ["shingle"])
+
+    every = max(1, docs.count() // SAMPLE_ROWS)
+    sample = docs.filter(F.pmod(F.xxhash64(id_col), F.lit(every)) == 0).select(F.col(text_col).cast("string").alias("text"))
+    often = sample.mapInArrow(emit, "shingle long").groupBy("shingle").agg(F.count("*").alias("hits")).filter("hits >= 4")
+    rows = often.orderBy(F.desc("hits"), "shingle").limit(COMMON).collect()
+    return np.array([r.shingle for r in reversed(rows)], np.int64).view(np.uint64)
 
 
 def shingle_column(text: Column, words: int) -> Column:
@@ -204,10 +239,10 @@ def _steps(cell: np.ndarray, totals: np.ndarray, max_bits: int) -> Iterator[tupl
         step += 1
 
 
-def compare_cells(cell: np.ndarray, prints: np.ndarray, max_bits: int, embed: bool) -> Forest:
+def compare_cells(cell: np.ndarray, prints: np.ndarray, max_bits: int, embed: bool, counts: np.ndarray | None = None) -> Forest:
     """Spanning forest of all pairs in one cell with at most ``max_bits`` differing bits.
 
-    Rows are sorted by cell, then total count. ``prints`` holds 64-bit lanes."""
+    Rows are sorted by cell, then total count. ``prints`` holds 64-bit lanes. Of rows with ``counts`` of false only equal ones match."""
     forest = Forest(np.arange(len(cell)))
     totals = np.bitwise_count(prints).sum(axis=1, dtype=np.int64)
     for a, b in _steps(cell, totals, max_bits):
@@ -218,25 +253,29 @@ def compare_cells(cell: np.ndarray, prints: np.ndarray, max_bits: int, embed: bo
             bound = np.abs(segment_counts(x).astype(np.int16) - segment_counts(y)).sum(axis=1)
             a, b = a[bound <= max_bits], b[bound <= max_bits]
         if len(a):
-            close = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1) <= max_bits
+            differing = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1)
+            close = differing <= (max_bits if counts is None else np.where(counts[a] & counts[b], max_bits, 0))
             forest.join(a[close], b[close])
     return forest
 
 
 def unsure_links(
-    cell: np.ndarray, prints: np.ndarray, max_bits: int, label: np.ndarray, count: int | None = None
+    cell: np.ndarray, prints: np.ndarray, max_bits: int | np.ndarray, label: np.ndarray, count: int | None = None
 ) -> list[tuple[int, int]]:
-    """Pairs with at most ``max_bits`` differing bits as edge-disjoint spanning forests over the classes ``label``. At most
-    ``count`` (or else ``FORESTS``) links a row, whatever the number of pairs. One forest ties all that any of these pairs tie."""
+    """Pairs with at most ``max_bits`` differing bits (the larger of two, if given by row) as edge-disjoint spanning forests over
+    the classes ``label``. At most ``count`` (or else ``FORESTS``) links a row, whatever the number of pairs. One forest ties all
+    that any of these pairs tie."""
     forests = [Forest(label.copy()) for _ in range(count or FORESTS)]
     totals = np.bitwise_count(prints).sum(axis=1, dtype=np.int64)
-    for a, b in _steps(cell, totals, max_bits):
+    limit = np.broadcast_to(max_bits, len(cell))
+    for a, b in _steps(cell, totals, limit.max(initial=0)):
         open_ = forests[-1].label[a] != forests[-1].label[b]
         a, b = a[open_], b[open_]
         if not len(a):
             continue
         differing = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1)
-        order = np.argsort(differing, kind="stable")[: np.count_nonzero(differing <= max_bits)]
+        near = differing <= np.maximum(limit[a], limit[b])
+        order = np.argsort(np.where(near, differing, 1 << 30), kind="stable")[: np.count_nonzero(near)]
         a, b = a[order], b[order]
         for forest in forests:
             taken = forest.join(a, b)
@@ -244,7 +283,7 @@ def unsure_links(
     return [link for forest in forests for link in forest.links]
 
 
-def _compare(lanes: int, max_bits: int, embed: bool, unsure_bits: int | None):
+def _compare(lanes: int, max_bits: int, embed: bool, unsure_bits: np.ndarray | None):
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("sure", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,10 +307,13 @@ def _compare(lanes: int, max_bits: int, embed: bool, unsure_bits: int | None):
             group = np.concatenate(([0], np.cumsum(change)))
             totals = np.bitwise_count(prints).sum(axis=1, dtype=np.int64)
             order = np.lexsort((totals, group))
-            forest = compare_cells(group[order], prints[order], max_bits, embed)
-            found = [(forest.links, True)]
-            if unsure_bits is not None:
-                found.append((unsure_links(group[order], prints[order], unsure_bits, forest.label, 1), False))
+            if unsure_bits is None:
+                found = [(compare_cells(group[order], prints[order], max_bits, embed).links, True)]
+            else:
+                size = part["size"].to_numpy()[order]
+                forest = compare_cells(group[order], prints[order], max_bits, embed, size >= len(unsure_bits) - 1)
+                limit = unsure_bits[np.minimum(size, len(unsure_bits) - 1)]
+                found = [(forest.links, True), (unsure_links(group[order], prints[order], limit, forest.label, 1), False)]
             for links, sure in found:
                 if links:
                     a, b = (names.take(pa.array(order[np.array(x)])) for x in zip(*links, strict=True))
@@ -280,7 +322,7 @@ def _compare(lanes: int, max_bits: int, embed: bool, unsure_bits: int | None):
     return run
 
 
-def _link(prints: DataFrame, cells, lanes: int, max_bits: int, embed: bool, unsure_bits: int | None = None) -> DataFrame:
+def _link(prints: DataFrame, cells, lanes: int, max_bits: int, embed: bool) -> DataFrame:
     """Links (a, b, sure) between distinct fingerprints (binary column ``print``); ``cells`` maps an (n, lanes) array to (n, grids)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,18 +336,37 @@ def _link(prints: DataFrame, cells, lanes: int, max_bits: int, embed: bool, unsu
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part.take(pa.array(rows))], schema=schema)
 
     rows = prints.select("print").mapInArrow(emit, "cell long, print binary")
+    return _cell_links(rows, rows, _compare(lanes, max_bits, embed, None))
+
+
+def _cell_links(rows: DataFrame, keys: DataFrame, compare) -> DataFrame:
+    """Links between the members of cells; ``keys`` holds the cell of every row."""
     # Large cells are cut into blocks; a member goes to every pair of blocks that its own block is part of.
-    counts = rows.groupBy("cell").agg(F.count("*").alias("members")).filter(F.col("members") > CELL_ROWS)
+    counts = keys.groupBy("cell").agg(F.count("*").alias("members")).filter(F.col("members") > CELL_ROWS)
     counts = durable(counts.select("cell", F.ceil(F.col("members") / CELL_ROWS).cast("int").alias("cuts")))
     return (
-        _dealt(rows, "cell", counts).repartition("cell", "block")
+        _dealt(rows, "cell", counts)
+        .repartition("cell", "block")
         .sortWithinPartitions("cell", "block")
-        .mapInArrow(_compare(lanes, max_bits, embed, unsure_bits), "a binary, b binary, sure boolean")
+        .mapInArrow(compare, "a binary, b binary, sure boolean")
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sure")
         .distinct()
     )
 
 
+def _prefix_cells(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cell, print, size) of every shingle that the prefixes of several fingerprints hold, and its cells alone. Rows of 16
+    bytes find out which shingles these are; only what is left is joined to the fingerprints."""
+    tokens = rows.select(F.explode("prefix").alias("cell"), F.xxhash64("print").alias("node"))
+    inside = Window.partitionBy("cell").orderBy("node")
+    beside = tokens.repartition("cell").dropDuplicates(["cell", "node"]).select(
+        "cell", "node", F.coalesce(F.lag("node").over(inside), F.lead("node").over(inside)).alias("other")
+    )
+    shared = durable(beside.filter("other IS NOT NULL").select("cell", "node"))
+    prints = durable(rows.groupBy("print").agg(F.min("size").alias("size"))).withColumn("node", F.xxhash64("print"))
+    return shared.join(prints, "node").select("cell", "print", "size"), shared
+
+
 def _dealt(rows: DataFrame, key: str, counts: DataFrame) -> DataFrame:
     """Add ``block``: 0, or for a key that ``counts`` (key, cuts) cuts, one row for every pair of blocks the row is part of."""
     dealt = rows.join(counts, key, "left") if counts.limit(1).count() else rows.withColumn("cuts", F.lit(None).cast("int"))
@@ -342,21 +403,6 @@ def bands_for(rows: int, max_bits: int) -> int:
     return max_bits + (2 if rows < 20_000_000 else 3 if rows < 2_000_000_000 else 4)
 
 
-def bit_cells(lanes: int, bits: int, grids: int):
-    """Cells of ``grids`` fixed choices of single bits (segments of one bit)."""
-    chosen = np.stack([np.argsort(mix(np.arange(64 * lanes, dtype=np.uint64) + np.uint64(1000 * (g + 1))))[:bits] for g in range(grids)])
-
-    def cells(prints: np.ndarray) -> np.ndarray:
-        all_bits = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8), axis=1, bitorder="little")
-        out = np.empty((len(prints), grids), np.int64)
-        powers = np.uint64(1) << np.arange(bits, dtype=np.uint64)
-        for g in range(grids):
-            out[:, g] = mix((all_bits[:, chosen[g]].astype(np.uint64) @ powers) + _salt(g + 1)).view(np.int64)
-        return out
-
-    return cells
-
-
 # --- operators ------------------------------------------------------------------------------------------------------------
 
 
@@ -389,9 +435,9 @@ def _little_endian(value: Column) -> Column:
     return F.unhex(F.concat(*[F.substring(digits, 15 - 2 * k, 2) for k in range(8)]))
 
 
-LANES, CELL_BITS, FORESTS = 8, 16, 3
-GRID_RECALL = 0.975
-MARGIN = 0.1
+LANES, FORESTS = 8, 3
+SAMPLE_ROWS, COMMON = 4_000, 1 << 16
+SMALL = 64
 
 
 def differing_share(similarity: float) -> float:
@@ -399,9 +445,30 @@ def differing_share(similarity: float) -> float:
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
-def grids_for(bits: int, similarity: float, recall: float = GRID_RECALL) -> int:
-    """Grids needed so that a pair at the threshold shares a cell with this probability."""
-    return int(np.ceil(np.log(1 - recall) / np.log1p(-((1 - differing_share(similarity)) ** bits))))
+def _majority_differs(a: int, b: int, shared: int) -> float:
+    """Chance that one fingerprint bit differs between sets of ``a`` and ``b`` shingles, ``shared`` of them common."""
+
+    def chances(n: int) -> np.ndarray:
+        return np.array([math.comb(n, k) for k in range(n + 1)], float) / 2.0**n
+
+    def above(n: int) -> np.ndarray:
+        tail = np.append(np.cumsum(chances(n - shared)[::-1])[::-1], 0)
+        return tail[np.clip(n // 2 + 1 - np.arange(shared + 1), 0, n - shared + 1)]
+
+    x, y = above(a), above(b)
+    return float(chances(shared) @ (x * (1 - y) + y * (1 - x)))
+
+
+def unsure_cuts(similarity: float, width: int) -> np.ndarray:
+    """By set size (the last one for all larger sets): six standard deviations above the most bits in which a set of that size
+    is expected to differ from any set of at least this similarity."""
+    shares = np.full(SMALL + 1, differing_share(similarity))
+    for a in range(1, SMALL + 1):
+        for b in range(math.ceil(similarity * a - 1e-9), math.floor(a / similarity + 1e-9) + 1):
+            shared = math.ceil(similarity * (a + b) / (1 + similarity) - 1e-9)
+            if shared <= min(a, b):
+                shares[a] = max(shares[a], _majority_differs(a, b, shared))
+    return np.ceil(width * shares + 6 * np.sqrt(width * shares * (1 - shares))).astype(np.int64)
 
 
 def _groups(prints: DataFrame, links: DataFrame) -> DataFrame:
@@ -478,20 +545,18 @@ def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, lanes: int = LANES
 ) -> DataFrame:
     """One row per input row: id, print (binary) and component_id, for texts whose shingle sets are similar."""
+    common = common_shingles(docs, id_col, text_col, words)
     rows = durable(
         docs.select(
             F.col(id_col).alias("id"),
             _text_digest(text_col).alias("digest"),
-            wide_fingerprint_column(F.col(text_col), words, lanes).alias("print"),
-        )
+            head_column(F.col(text_col), words, lanes, similarity, common).alias("head"),
+        ).select("id", "digest", "head.*")
     )
-    prints = durable(rows.select("print").distinct())
-    n = prints.count()
     width, share = 64 * lanes, differing_share(similarity)
     sure = int(width * share - 4 * np.sqrt(width * share * (1 - share)))
-    bits = max(CELL_BITS, n.bit_length() - 8)  # about 2**8 members a cell by chance
-    cells = bit_cells(lanes, bits, grids_for(bits, similarity))
-    links = durable(_link(prints, cells, lanes, sure, False, int(width * differing_share(similarity - MARGIN))))
+    members, cells = _prefix_cells(rows)
+    links = durable(_cell_links(members, cells, _compare(lanes, sure, False, unsure_cuts(similarity, width))))
     checked = durable(_similar(docs, rows, links, text_col, words, similarity))
     links = links.filter("sure").select("a", "b").unionByName(checked)
     return rows.join(_classes(rows, links), "print").select("id", "print", "component_id")

@@ -211,6 +211,28 @@ def test_templated_texts_do_not_hide_similar_pairs(spark, monkeypatch):
     assert len(set(got.values())) == 300
 
 
+def test_cuts_follow_the_set_sizes():
+    """Sets of 4 and 5 shingles, similarity 0.8: 96 of 512 bits differ on average."""
+    assert abs(512 * simhash_dedup._majority_differs(5, 4, 4) - 96) < 1e-9
+    cuts = simhash_dedup.unsure_cuts(0.8, 512)
+    assert cuts[4] == cuts[5] > 140 and 120 < cuts[-1] < 140 and cuts.min() >= 120
+
+
+def test_no_similar_pair_is_lost_at_any_length(spark):
+    """Pairs at or just above similarity 0.8, from 4 shingles on: every one is joined."""
+    rng = random.Random(12)
+    text = {}
+    for i in range(600):
+        n = (8, 8, 8, 13, 16, 24, 44, 60, 120, 300)[i % 10]
+        words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        text[2 * i] = " ".join(words)
+        extra = (n - 4) // 4  # shared / (shared + extra) is 0.8 or more
+        text[2 * i + 1] = " ".join([*words, *[f"v{rng.randrange(10**6)}" for _ in range(extra)]])
+    assert all(0.8 <= jaccard(text[2 * i], text[2 * i + 1]) < 0.84 for i in range(600))
+    got = {r.id: r.component_id for r in simhash_dedup.near_duplicates(spark.createDataFrame(list(text.items()), "doc_id long, text string")).collect()}
+    assert all(got[2 * i + 1] == got[2 * i] == 2 * i for i in range(600))
+
+
 def test_components_of_chains_stars_and_cycles(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(201, 202), (202, 203), (203, 201), (300, 300)]
     rows = components.components(spark.createDataFrame(links, "a long, b long")).collect()
