@@ -201,6 +201,14 @@ _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 # Fixed values: "at" in the other languages of the texts, and endings of domains that a bare English "at" may lead to.
 _FOREIGN_AT = "arobase|arroba|klammeraffe"
 _ENDINGS = frozenset("com org net edu gov mil int info biz name dev app test example invalid".split())
+# Words that show ordinary text where a name or a part of a domain would stand, if the ending is not a known one.
+_PROSE = frozenset(
+    """a an the this that these those my your his her its our their some any each every no all both one which what whose another
+    i you he she it we they me him us them who there here then now when where how and or but if so as of to in on at by for from with
+    is are was were be been being am has have had do does did not very just only too also again still
+    look looks looked looking stare stared staring point points pointed pointing aim aimed laugh laughed smile smiled arrive arrived
+    stop stopped start started meet met stay stayed live lives lived work works worked sit sat stand stood""".split()
+)
 _STRONG_AT = rf"[ \t]*{_OPEN}[ \t]*(?:at|@|{_FOREIGN_AT})[ \t]*{_CLOSE}[ \t]*|[ \t]+(?:{_FOREIGN_AT})[ \t]+|[ \t]+@[ \t]*|@[ \t]+|&#64;|&commat;|[ \t]*[_-]at[_-][ \t]*"
 _AT = re.compile(rf"(?P<strong>{_STRONG_AT})|(?P<weak>[ \t]+at[ \t]+)|(?P<plain>@)", re.IGNORECASE)
 _SPELLED_DOT = rf"[ \t]*{_OPEN}[ \t]*(?:dot|point|punkt|punto|\.)[ \t]*{_CLOSE}[ \t]*|[ \t]+dot[ \t]+|[ \t]+\.[ \t]+|&#46;|[_-]dot[_-]"
@@ -218,7 +226,8 @@ _ANY_DOT_BEFORE = re.compile(rf"(?:{_ANY_DOT.pattern})$", re.IGNORECASE)
 
 def read_addresses(text: str) -> list[tuple[int, int, str]]:
     """Written "at" and "dot": an address needs a name, a domain of two or more labels, and letters in the last one. A bare
-    word "at" counts only with a written dot, or with a name that no ordinary word looks like."""
+    word "at" counts only with a written dot, or with a known ending and a name that no ordinary word looks like. A written dot takes
+    any ending, unless a plain name and an unknown ending stand among words of ordinary text."""
     edits: list[tuple[int, int, str]] = []
     done = 0
     words = set(_words(text))
@@ -261,7 +270,11 @@ def read_addresses(text: str) -> list[tuple[int, int, str]]:
         local = text[start : m.start()]
         if m.lastgroup == "weak":
             ending = labels[-1].lower()
-            if len(ending) > 2 and ending not in _ENDINGS or not dots and not re.search(r"[0-9]|[A-Za-z][._%+-][A-Za-z]", local):
+            known = len(ending) == 2 or ending in _ENDINGS
+            shaped = re.search(r"[0-9]|[A-Za-z][._%+-][A-Za-z]", local)
+            if not dots and not (known and shaped):
+                continue
+            if dots and not (known or shaped) and not _PROSE.isdisjoint(x.lower() for x in (local, *labels)):
                 continue
         if m.lastgroup == "plain" and not dots and not before:
             continue

@@ -71,6 +71,18 @@ def test_disguises_map_back_to_the_source(text, kind, found):
     assert not any(added[k] for k in added if k != kind)
 
 
+@pytest.mark.parametrize("ending", ["online", "cloud", "site", "shop", "xyz", "pro", "tech", "agency", "museum", "com", "de"])
+@pytest.mark.parametrize("start", ["jane.doe at mail dot ", "bob at firm dot ", "Bob AT shop.firm DOT "])
+def test_a_written_dot_takes_any_ending(start, ending):
+    text = f"write to {start}{ending} today"
+    assert [text[a:b] for a, b in pii.disguised_spans(text, pii.find_spans(text))["email"]] == [start + ending]
+
+
+@pytest.mark.parametrize("text", ["we stared at the dot there", "look at one dot here", "she pointed at every dot above", "they met at noon dot then left", "bob at firm.cloud", "he laughed at that dot dot dot thing"])
+def test_unknown_endings_in_prose_get_no_spans(text):
+    assert not any(pii.disguised_spans(text, pii.find_spans(text)).values())
+
+
 @pytest.mark.parametrize("text", ["look at the end. Then at two. One", "we met at noon dot", "one of six or two", "plus one", "", "a@b", "at dot com", "look at this dot there", "word at the point of it", "us at www.example.com"])
 def test_ordinary_text_gets_no_spans(text):
     base = pii.find_spans(text)
