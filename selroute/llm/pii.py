@@ -185,7 +185,7 @@ def _spelled(found: str) -> str:
 def read_digits(text: str) -> list[tuple[int, int, str]]:
     """Spelled digits: a run of words becomes a run of digits; also letters that stand between digits for 0 and 1."""
     edits, words = [], _words(text)
-    if sum(map(_DIGIT_BYTES.__contains__, words)) >= 2:
+    if any(map(_DIGIT_BYTES.__contains__, words)):
         for m in _SPELLED.finditer(text):
             near = text[max(0, m.start() - 6) : m.start()] + " " + text[m.end() : m.end() + 6]
             if re.search(r"[\s,-]", m.group()) or re.search(r"[0-9.()\[\]]|dot|punkt|punto|point", near.lower()):

@@ -71,6 +71,12 @@ def test_disguises_map_back_to_the_source(text, kind, found):
     assert not any(added[k] for k in added if k != kind)
 
 
+@pytest.mark.parametrize(("kind", "found"), [("ip", "192.168.0.one"), ("phone", "+49 30 1234 five 678"), ("card", "4387 5130 3523 726 nine")])
+def test_a_single_spelled_digit_counts_beside_digits(kind, found):
+    text = f"see {found} there"
+    assert [text[a:b] for a, b in pii.disguised_spans(text, pii.find_spans(text))[kind]] == [found]
+
+
 @pytest.mark.parametrize("ending", ["online", "cloud", "site", "shop", "xyz", "pro", "tech", "agency", "museum", "com", "de"])
 @pytest.mark.parametrize("start", ["jane.doe at mail dot ", "bob at firm dot ", "Bob AT shop.firm DOT "])
 def test_a_written_dot_takes_any_ending(start, ending):
