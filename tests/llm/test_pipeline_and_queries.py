@@ -1,4 +1,3 @@
-import random
 from collections import Counter
 
 import pytest
@@ -44,16 +43,6 @@ def test_quality_stage_rejects_what_the_classifier_rejects(spark, folder, monkey
     assert {r.doc_id for r in corpus_pipeline.keep_quality(spark, docs, folder).collect()} == {50, 51, 90}
 
 
-def test_quality_stage_drops_planted_bad_documents(spark, tmp_path):
-    rng = random.Random(6)
-    good = [(i, " ".join(rng.choice(["the", "river", "Stone", "over", "glass", "light"]) for _ in range(80)) + ".") for i in range(400)]
-    bad = [(1000 + i, " ".join(rng.choice(["$$$", "BUY!!!", "###", "||", "&&&&", "100%%"]) for _ in range(80))) for i in range(100)]
-    spark.createDataFrame([(i, 1) for i in range(0, 400, 2)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
-    docs = spark.createDataFrame(good + bad, "doc_id long, text string")
-    kept = {r.doc_id for r in corpus_pipeline.keep_quality(spark, docs, str(tmp_path)).collect()}
-    assert not any(i >= 1000 for i in kept) and len(kept) > 360
-
-
 def test_run_chains_the_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = corpus_pipeline.run(spark, SF).collect()
