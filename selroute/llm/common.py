@@ -17,6 +17,13 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, lengthened until no column has it."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def held_out(id_col: str, modulus: int, remainder: int) -> Column:
     """crc32 of the id as text, by remainder. A row without an id counts as held out: nothing is learnt from it."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus == remainder, F.lit(True))

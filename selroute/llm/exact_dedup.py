@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from selroute.llm.common import free_name
 from selroute.session import durable
 
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
@@ -88,7 +89,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows that stay, with all their columns. Rows without a copy are not shuffled; of each group of copies every task
     sends one row at most, so a group of any size meets in a small aggregate."""
     names = docs.columns
-    digest, suspect, row = (_free(x, names) for x in ("digest", "suspect", "row"))
+    digest, suspect, row = (free_name(x, names) for x in ("digest", "suspect", "row"))
     keyed = durable(docs.select(_digest(text_col).alias("digest")))
     bits = filter_bits(keyed.count(), max_bits)
     rows = with_suspicion(docs.withColumn(digest, _digest(text_col)), digest, slot_bitmap(keyed, bits), bits, suspect)
@@ -96,10 +97,3 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = F.struct(F.char_length(_text(text_col)), -F.col(id_col), _text(text_col))
     grouped = rows.filter(F.col(suspect)).groupBy(digest).agg(F.max_by(whole, best).alias(row))
     return rows.filter(~F.col(suspect)).select(*[F.col(f"`{c}`") for c in names]).unionByName(grouped.select(f"{row}.*"))
-
-
-def _free(name: str, taken: list[str]) -> str:
-    """``name``, lengthened until no column has it."""
-    while name.lower() in {c.lower() for c in taken}:
-        name += "_"
-    return name

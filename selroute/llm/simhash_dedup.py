@@ -13,33 +13,23 @@ A task returns the links of a spanning forest of what it compared (never all pai
 fingerprints are one node, so copies cost nothing. A cell with more than ``CELL_ROWS`` members is cut into blocks and each pair
 of blocks is compared on its own. Links are then closed by ``components``.
 
-For similarity 0.8 on word shingles 64 bits say too little (about 10 of 64 bits differ there, by chance between 4 and 17), so
-``near_duplicates`` takes the prefix filter instead of grids: of two sets of the similarity asked for, the first
-``n - ceil(similarity * n) + 1`` shingles in one common order share a member, so each of these shingles is a cell and no pair is
-lost at any length. Shingles that are frequent in a sample come last in the order. Inside a cell, fingerprints of 512 bits over
-the distinct shingles leave out what is six standard deviations further apart than a pair at the threshold; that distance follows
-from the set sizes. A pair of long texts four standard deviations closer than the threshold is a link by its distance. The rest
-is linked only if the shingle sets themselves are similar enough: cells return a spanning forest of such pairs, the texts tied by
-these forests are gathered once, and inside such a gathered group every pair is checked on the shingle sets, so a refused pair
-never stands in for another one.
-
 Defined cases: a null text counts as empty; a text without words has fingerprint zero and is linked like any other; fewer words
-than a shingle give one shingle; null ids are ignored when the smallest id of a group is taken; repeated rows share a group.
+than a shingle give one shingle; null ids are ignored when the smallest id of a group is taken; repeated rows share a group; an
+empty table gives an empty result; only the id and the text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
 import itertools
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from selroute.llm.common import blocks, find_words, hash_windows, hash_words, mix, raw_texts
+from selroute.llm.common import free_name, mix, raw_texts
 from selroute.llm.components import components
 from selroute.llm.exact_dedup import filter_bits, slot_bitmap, with_suspicion
 from selroute.session import durable
@@ -47,12 +37,6 @@ from selroute.session import durable
 WORDS, MAX_BITS, SEED = 4, 4, 42
 CELL_ROWS = 4_000
 PIECE = 1 << 16
-GROUP_ROWS, GROUP_BYTES, COLUMNS = 250, 16 << 20, 4096
-
-
-def _salt(k: int) -> np.uint64:
-    """A different constant for each lane or grid."""
-    return np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
 
 
 def bit_sums(h: np.ndarray) -> np.ndarray:
@@ -92,99 +76,6 @@ def fingerprint_column(text: Column, words: int = WORDS) -> Column:
     return F.arrow_udf(compute, "long")(text)
 
 
-def shingle_sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
-    """Sorted distinct 64-bit hashes of every text's shingles; of a shorter text, the hash of all its words."""
-    for _, run in blocks(texts):
-        low = [t.lower() for t in run]
-        buffer, starts, lengths, owner = find_words(low)
-        w = hash_words(buffer, starts, lengths)
-        h, first = hash_windows(w, owner, words)
-        bounds = np.searchsorted(owner[first], np.arange(len(low) + 1))
-        word_bounds = np.searchsorted(owner, np.arange(len(low) + 1))
-        for i in range(len(low)):
-            part = h[bounds[i] : bounds[i + 1]]
-            few = w[word_bounds[i] : word_bounds[i + 1]]
-            if not len(part) and len(few):
-                part = hash_windows(few, np.zeros(len(few), np.int64), len(few))[0]
-            yield np.unique(part)
-
-
-def head_column(text: Column, words: int, lanes: int, similarity: float, common: np.ndarray) -> Column:
-    """Per text: fingerprint of ``64 * lanes`` bits over distinct word shingles, their number, and the prefix for the filter.
-
-    ``common`` holds the hashes of frequent shingles, the most frequent last; they come last in the order of shingles."""
-    known = np.sort(common)
-    place = np.argsort(common) + 1
-
-    def majority(part: np.ndarray) -> bytes:
-        sums = [bit_sums(mix(part + _salt(k + 1))) for k in range(lanes)]
-        return b"".join(np.packbits(x * 2 > len(part), bitorder="little").tobytes() for x in sums)
-
-    def prefix(part: np.ndarray) -> np.ndarray:
-        late = np.zeros(len(part), np.int64)
-        if len(known):
-            at = np.minimum(np.searchsorted(known, part), len(known) - 1)
-            late = np.where(known[at] == part, place[at], 0)
-        kept = len(part) - int(np.ceil(similarity * len(part) - 1e-9)) + 1 if len(part) else 0
-        return part[np.lexsort((part, late))[:kept]].view(np.int64)
-
-    def compute(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            rows = [(majority(part), len(part), prefix(part)) for part in shingle_sets(raw_texts(batch), words)]
-            prints, sizes, cells = zip(*rows, strict=True) if rows else ((), (), ())
-            columns = [pa.array(prints, pa.binary()), pa.array(sizes, pa.int32()), pa.array(cells, pa.list_(pa.int64()))]
-            yield pa.StructArray.from_arrays(columns, ["print", "size", "prefix"])
-
-    return F.arrow_udf(compute, "struct<print:binary,size:int,prefix:array<bigint>>")(text)
-
-
-def common_shingles(docs: DataFrame, id_col: str, text_col: str, words: int) -> np.ndarray:
-    """Hashes of shingles that are frequent in a sample of about ``SAMPLE_ROWS`` texts, the most frequent last. It only sets the
-    order of shingles: with any other answer the links are the same, at another cost."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in shingle_sets(raw_texts(batch.column(0)), words):
-                yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64))], ["shingle"])
-
-    every = max(1, docs.count() // SAMPLE_ROWS)
-    sample = docs.filter(F.pmod(F.xxhash64(id_col), F.lit(every)) == 0).select(F.col(text_col).cast("string").alias("text"))
-    often = sample.mapInArrow(emit, "shingle long").groupBy("shingle").agg(F.count("*").alias("hits")).filter("hits >= 4")
-    rows = often.orderBy(F.desc("hits"), "shingle").limit(COMMON).collect()
-    return np.array([r.shingle for r in reversed(rows)], np.int64).view(np.uint64)
-
-
-def shingle_column(text: Column, words: int) -> Column:
-    """The shingle set as the bytes of its sorted hashes."""
-
-    def compute(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array([part.astype("<u8").tobytes() for part in shingle_sets(raw_texts(batch), words)], pa.large_binary())
-
-    return F.arrow_udf(compute, "binary")(text)
-
-
-def similar_pairs(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of the shingle sets with at least this Jaccard similarity; two empty sets are equal."""
-    n, sizes = len(sets), np.fromiter(map(len, sets), np.int64, count=len(sets))
-    owner = np.repeat(np.arange(n), sizes)
-    _, column, counts = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
-    several = counts > 1  # the others are part of no intersection
-    place = np.cumsum(several) - 1
-    owner, column = owner[several[column]], place[column[several[column]]]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    shared = np.zeros((n, n), np.int64)
-    for start in range(0, int(several.sum()), COLUMNS):
-        part = slice(*np.searchsorted(column, [start, start + COLUMNS]))
-        held = np.zeros((n, COLUMNS), np.float32)
-        held[owner[part], column[part] - start] = 1
-        shared += (held @ held.T).astype(np.int64)
-    either = sizes[:, None] + sizes - shared
-    left, right = np.nonzero(np.triu(shared >= similarity * either - 1e-9, 1))
-    return left, right
-
-
 # --- comparison of the members of cells -----------------------------------------------------------------------------------
 
 
@@ -239,10 +130,10 @@ def _steps(cell: np.ndarray, totals: np.ndarray, max_bits: int) -> Iterator[tupl
         step += 1
 
 
-def compare_cells(cell: np.ndarray, prints: np.ndarray, max_bits: int, embed: bool, counts: np.ndarray | None = None) -> Forest:
+def compare_cells(cell: np.ndarray, prints: np.ndarray, max_bits: int, embed: bool) -> Forest:
     """Spanning forest of all pairs in one cell with at most ``max_bits`` differing bits.
 
-    Rows are sorted by cell, then total count. ``prints`` holds 64-bit lanes. Of rows with ``counts`` of false only equal ones match."""
+    Rows are sorted by cell, then total count. ``prints`` holds 64-bit lanes."""
     forest = Forest(np.arange(len(cell)))
     totals = np.bitwise_count(prints).sum(axis=1, dtype=np.int64)
     for a, b in _steps(cell, totals, max_bits):
@@ -254,37 +145,13 @@ def compare_cells(cell: np.ndarray, prints: np.ndarray, max_bits: int, embed: bo
             a, b = a[bound <= max_bits], b[bound <= max_bits]
         if len(a):
             differing = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1)
-            close = differing <= (max_bits if counts is None else np.where(counts[a] & counts[b], max_bits, 0))
+            close = differing <= max_bits
             forest.join(a[close], b[close])
     return forest
 
 
-def unsure_links(
-    cell: np.ndarray, prints: np.ndarray, max_bits: int | np.ndarray, label: np.ndarray, count: int | None = None
-) -> list[tuple[int, int]]:
-    """Pairs with at most ``max_bits`` differing bits (the larger of two, if given by row) as edge-disjoint spanning forests over
-    the classes ``label``. At most ``count`` (or else ``FORESTS``) links a row, whatever the number of pairs. One forest ties all
-    that any of these pairs tie."""
-    forests = [Forest(label.copy()) for _ in range(count or FORESTS)]
-    totals = np.bitwise_count(prints).sum(axis=1, dtype=np.int64)
-    limit = np.broadcast_to(max_bits, len(cell))
-    for a, b in _steps(cell, totals, limit.max(initial=0)):
-        open_ = forests[-1].label[a] != forests[-1].label[b]
-        a, b = a[open_], b[open_]
-        if not len(a):
-            continue
-        differing = np.bitwise_count(prints[a] ^ prints[b]).sum(axis=1)
-        near = differing <= np.maximum(limit[a], limit[b])
-        order = np.argsort(np.where(near, differing, 1 << 30), kind="stable")[: np.count_nonzero(near)]
-        a, b = a[order], b[order]
-        for forest in forests:
-            taken = forest.join(a, b)
-            a, b = a[~taken], b[~taken]
-    return [link for forest in forests for link in forest.links]
-
-
-def _compare(lanes: int, max_bits: int, embed: bool, unsure_bits: np.ndarray | None):
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("sure", pa.bool_())])
+def _compare(lanes: int, max_bits: int, embed: bool):
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by (cell, block). The last cell of a batch is kept until it is complete."""
@@ -307,23 +174,16 @@ def _compare(lanes: int, max_bits: int, embed: bool, unsure_bits: np.ndarray | N
             group = np.concatenate(([0], np.cumsum(change)))
             totals = np.bitwise_count(prints).sum(axis=1, dtype=np.int64)
             order = np.lexsort((totals, group))
-            if unsure_bits is None:
-                found = [(compare_cells(group[order], prints[order], max_bits, embed).links, True)]
-            else:
-                size = part["size"].to_numpy()[order]
-                forest = compare_cells(group[order], prints[order], max_bits, embed, size >= len(unsure_bits) - 1)
-                limit = unsure_bits[np.minimum(size, len(unsure_bits) - 1)]
-                found = [(forest.links, True), (unsure_links(group[order], prints[order], limit, forest.label, 1), False)]
-            for links, sure in found:
-                if links:
-                    a, b = (names.take(pa.array(order[np.array(x)])) for x in zip(*links, strict=True))
-                    yield pa.RecordBatch.from_arrays([a, b, pa.array([sure] * len(a))], schema=schema)
+            links = compare_cells(group[order], prints[order], max_bits, embed).links
+            if links:
+                a, b = (names.take(pa.array(order[np.array(x)])) for x in zip(*links, strict=True))
+                yield pa.RecordBatch.from_arrays([a, b], schema=schema)
 
     return run
 
 
 def _link(prints: DataFrame, cells, lanes: int, max_bits: int, embed: bool) -> DataFrame:
-    """Links (a, b, sure) between distinct fingerprints (binary column ``print``); ``cells`` maps an (n, lanes) array to (n, grids)."""
+    """Links (a, b) between distinct fingerprints (binary column ``print``); ``cells`` maps an (n, lanes) array to (n, grids)."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("cell", pa.int64()), ("print", pa.binary())])
@@ -336,37 +196,24 @@ def _link(prints: DataFrame, cells, lanes: int, max_bits: int, embed: bool) -> D
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part.take(pa.array(rows))], schema=schema)
 
     rows = prints.select("print").mapInArrow(emit, "cell long, print binary")
-    return _cell_links(rows, rows, _compare(lanes, max_bits, embed, None))
+    return _cell_links(rows, _compare(lanes, max_bits, embed))
 
 
-def _cell_links(rows: DataFrame, keys: DataFrame, compare) -> DataFrame:
-    """Links between the members of cells; ``keys`` holds the cell of every row."""
+def _cell_links(rows: DataFrame, compare) -> DataFrame:
+    """Links between the members of cells."""
     # Large cells are cut into blocks; a member goes to every pair of blocks that its own block is part of.
-    counts = keys.groupBy("cell").agg(F.count("*").alias("members")).filter(F.col("members") > CELL_ROWS)
+    counts = rows.groupBy("cell").agg(F.count("*").alias("members")).filter(F.col("members") > CELL_ROWS)
     counts = durable(counts.select("cell", F.ceil(F.col("members") / CELL_ROWS).cast("int").alias("cuts")))
     return (
         _dealt(rows, "cell", counts)
         .repartition("cell", "block")
         .sortWithinPartitions("cell", "block")
-        .mapInArrow(compare, "a binary, b binary, sure boolean")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sure")
+        .mapInArrow(compare, "a binary, b binary")
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
 
 
-def _prefix_cells(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(cell, print, size) of every shingle that the prefixes of several fingerprints hold, and its cells alone. Rows of 16
-    bytes find out which shingles these are; only what is left is joined to the fingerprints."""
-    tokens = rows.select(F.explode("prefix").alias("cell"), F.xxhash64("print").alias("node"))
-    inside = Window.partitionBy("cell").orderBy("node")
-    beside = tokens.repartition("cell").dropDuplicates(["cell", "node"]).select(
-        "cell", "node", F.coalesce(F.lag("node").over(inside), F.lead("node").over(inside)).alias("other")
-    )
-    shared = durable(beside.filter("other IS NOT NULL").select("cell", "node"))
-    prints = durable(rows.groupBy("print").agg(F.min("size").alias("size"))).withColumn("node", F.xxhash64("print"))
-    return shared.join(prints, "node").select("cell", "print", "size"), shared
-
-
 def _dealt(rows: DataFrame, key: str, counts: DataFrame) -> DataFrame:
     """Add ``block``: 0, or for a key that ``counts`` (key, cuts) cuts, one row for every pair of blocks the row is part of."""
     dealt = rows.join(counts, key, "left") if counts.limit(1).count() else rows.withColumn("cuts", F.lit(None).cast("int"))
@@ -426,7 +273,7 @@ def hamming_groups(
     rows = rows.withColumn("print", _little_endian(F.col("fingerprint")))
     prints = durable(rows.select("print").distinct())
     n = prints.count()
-    links = durable(_link(prints, popcount_cells(bands_for(n, max_bits), max_bits), 1, max_bits, True).select("a", "b"))
+    links = durable(_link(prints, popcount_cells(bands_for(n, max_bits), max_bits), 1, max_bits, True))
     return rows.join(_classes(rows, links), "print").select("id", "fingerprint", "component_id")
 
 
@@ -435,128 +282,29 @@ def _little_endian(value: Column) -> Column:
     return F.unhex(F.concat(*[F.substring(digits, 15 - 2 * k, 2) for k in range(8)]))
 
 
-LANES, FORESTS = 8, 3
-SAMPLE_ROWS, COMMON = 4_000, 1 << 16
-SMALL = 64
-
-
-def differing_share(similarity: float) -> float:
-    """Expected share of differing bits between texts of equal length with this Jaccard similarity."""
-    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-
-
-def _majority_differs(a: int, b: int, shared: int) -> float:
-    """Chance that one fingerprint bit differs between sets of ``a`` and ``b`` shingles, ``shared`` of them common."""
-
-    def chances(n: int) -> np.ndarray:
-        return np.array([math.comb(n, k) for k in range(n + 1)], float) / 2.0**n
-
-    def above(n: int) -> np.ndarray:
-        tail = np.append(np.cumsum(chances(n - shared)[::-1])[::-1], 0)
-        return tail[np.clip(n // 2 + 1 - np.arange(shared + 1), 0, n - shared + 1)]
-
-    x, y = above(a), above(b)
-    return float(chances(shared) @ (x * (1 - y) + y * (1 - x)))
-
-
-def unsure_cuts(similarity: float, width: int) -> np.ndarray:
-    """By set size (the last one for all larger sets): six standard deviations above the most bits in which a set of that size
-    is expected to differ from any set of at least this similarity."""
-    shares = np.full(SMALL + 1, differing_share(similarity))
-    for a in range(1, SMALL + 1):
-        for b in range(math.ceil(similarity * a - 1e-9), math.floor(a / similarity + 1e-9) + 1):
-            shared = math.ceil(similarity * (a + b) / (1 + similarity) - 1e-9)
-            if shared <= min(a, b):
-                shares[a] = max(shares[a], _majority_differs(a, b, shared))
-    return np.ceil(width * shares + 6 * np.sqrt(width * shares * (1 - shares))).astype(np.int64)
-
-
-def _groups(prints: DataFrame, links: DataFrame) -> DataFrame:
-    """(print, class, group) of the classes of sure links that unsure ones tie to others; the group is all that is tied."""
-    roots = components(links.filter("sure").select("a", "b"))
-    classes = durable(
-        prints.join(roots, F.col("print") == F.col("node"), "left").select("print", F.coalesce("root", "print").alias("class"))
-    )
-    ties = links.filter("not sure").select("a", "b")
-    for x in "ab":
-        ties = ties.join(classes.select(F.col("print").alias(x), F.col("class").alias(f"{x}_class")), x)
-    ties = components(ties.filter("a_class <> b_class").select(F.col("a_class").alias("a"), F.col("b_class").alias("b")).distinct())
-    return durable(classes.join(ties.select(F.col("node").alias("class"), F.col("root").alias("group")).distinct(), "class"))
-
-
-def _check_groups(similarity: float):
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
-
-    def check(rows: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
-        names, classes, sets = zip(*rows, strict=True)
-        first: dict[bytes, int] = {}
-        label = np.array([first.setdefault(c, i) for i, c in enumerate(classes)])
-        forest = Forest(label)
-        forest.join(*similar_pairs([np.frombuffer(x, "<u8") for x in sets], similarity))
-        a, b = zip(*forest.links, strict=True) if forest.links else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array([names[i] for i in x], pa.binary()) for x in (a, b)], schema=schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by (group, block)."""
-        key, held = None, []
-        for batch in batches:
-            columns = (batch.column(c) for c in ("group", "block", "print", "class", "shingles"))
-            for group, block, *row in zip(*columns, strict=True):
-                here = (group.as_py(), block.as_py())
-                if here != key and held:
-                    yield check(held)
-                    held = []
-                key = here
-                held.append(tuple(x.as_py() for x in row))
-        if held:
-            yield check(held)
-
-    return run
-
-
-def _similar(docs: DataFrame, rows: DataFrame, links: DataFrame, text_col: str, words: int, similarity: float) -> DataFrame:
-    """Links (a, b) of at least this Jaccard similarity that tie all classes of sure links which any such pair inside a group
-    ties. One text stands for each fingerprint. A Bloom filter of their digests lets all other texts stay where they are."""
-    groups = _groups(rows.select("print").distinct(), links)
-    needed = durable(groups.join(rows, "print").groupBy("print", "class", "group").agg(F.min("digest").alias("digest")))
-    bits = filter_bits(needed.count())
-    texts = docs.select(F.col(text_col).alias("text"), _text_digest(text_col).alias("digest"))
-    wanted = with_suspicion(texts, "digest", slot_bitmap(needed, bits, 1), bits, "wanted").filter("wanted")
-    sets = wanted.select("digest", "text").dropDuplicates(["digest"]).join(needed, "digest")
-    sets = durable(sets.select("print", "class", "group", shingle_column(F.col("text"), words).alias("shingles")))
-    # Large groups are cut into blocks of few rows and bytes, and every pair of blocks is compared.
-    cuts = F.ceil(F.greatest(F.count("*") / GROUP_ROWS, F.sum(F.length("shingles")) / GROUP_BYTES)).cast("int")
-    counts = durable(sets.groupBy("group").agg(cuts.alias("cuts")).filter("cuts > 1"))
-    return (
-        _dealt(sets, "group", counts)
-        .repartition("group", "block")
-        .sortWithinPartitions("group", "block")
-        .mapInArrow(_check_groups(similarity), "a binary, b binary")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-    )
-
-
-def _text_digest(text_col: str) -> Column:
-    return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-
-
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, lanes: int = LANES
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, max_bits: int = MAX_BITS
 ) -> DataFrame:
-    """One row per input row: id, print (binary) and component_id, for texts whose shingle sets are similar."""
-    common = common_shingles(docs, id_col, text_col, words)
-    rows = durable(
-        docs.select(
-            F.col(id_col).alias("id"),
-            _text_digest(text_col).alias("digest"),
-            head_column(F.col(text_col), words, lanes, similarity, common).alias("head"),
-        ).select("id", "digest", "head.*")
-    )
-    width, share = 64 * lanes, differing_share(similarity)
-    sure = int(width * share - 4 * np.sqrt(width * share * (1 - share)))
-    members, cells = _prefix_cells(rows)
-    links = durable(_cell_links(members, cells, _compare(lanes, sure, False, unsure_cuts(similarity, width))))
-    checked = durable(_similar(docs, rows, links, text_col, words, similarity))
-    links = links.filter("sure").select("a", "b").unionByName(checked)
-    return rows.join(_classes(rows, links), "print").select("id", "print", "component_id")
+    """The rows that stay, with all their columns: of every group of ``hamming_groups`` the document with the smallest id.
+
+    A document is an id with its text: an id that occurs with two texts is two documents, of which one may go, and rows that
+    repeat both stay or go together. Rows without an id stay. Only rows that a Bloom filter cannot tell from the documents that
+    go are shuffled with their texts."""
+    key, suspect = free_name("key", docs.columns), free_name("suspect", docs.columns)
+    digest = F.md5(F.coalesce(F.col(text_col), F.lit("")))
+    document = F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("id"), digest.alias("digest")))
+    groups = hamming_groups(docs.select(document.alias("document"), F.col(text_col).alias("text")), "document", "text", words, max_bits)
+    gone = groups.filter("id <> component_id").select(_document_key(F.col("id.id"), F.col("id.digest")).alias("digest"))
+    gone = durable(gone.distinct())
+    bits = filter_bits(gone.count())
+    rows = docs.withColumn(key, _document_key(F.col(id_col), digest))
+    rows = with_suspicion(rows, key, slot_bitmap(gone, bits, 1), bits, suspect)
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    passed = rows.filter(~F.col(suspect)).select(*names)
+    met = rows.filter(F.col(suspect)).join(gone.select(F.col("digest").alias(key)), key, "left_anti")
+    return passed.unionByName(met.select(*names))
+
+
+def _document_key(id_: Column, digest: Column) -> Column:
+    """The id with its text's digest, in 16 bytes. A row without an id has a key that no document which goes has."""
+    return F.unhex(F.md5(F.concat(F.coalesce(id_.cast("string"), F.lit("none")), F.lit(":"), digest)))

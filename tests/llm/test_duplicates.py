@@ -1,4 +1,3 @@
-import random
 import hashlib
 import re
 from collections import Counter, defaultdict
@@ -123,114 +122,24 @@ def test_popcount_distance_is_a_lower_bound():
     assert (bound <= (a != b).sum(1)).all()
 
 
-def jaccard(a, b):
-    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
-    return len(x & y) / len(x | y)
-
-
-def test_near_duplicates_by_similarity(spark):
-    rng = random.Random(2)
-    base = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(400)) for _ in range(150)]
-    rows, close, far = [], [], []
-    for i, text in enumerate(base):
-        rows.append((2 * i, text))
-        words = text.split()
-        for k in rng.sample(range(0, 400, 8), 4 if i % 2 else 20):
-            words[k] = "new"
-        rows.append((2 * i + 1, " ".join(words)))
-        (close if i % 2 else far).append((2 * i, 2 * i + 1))
-    text = dict(rows)
-    assert min(jaccard(text[a], text[b]) for a, b in close) > 0.85 and max(jaccard(text[a], text[b]) for a, b in far) < 0.65
-    got = {r.id: r.component_id for r in simhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert np.mean([got[a] == got[b] for a, b in close]) >= 0.98
-    assert not any(got[a] == got[b] for a, b in far)
-
-
-def test_near_duplicates_around_the_threshold(spark):
-    """Pairs between 0.6 and 1: what is joined is as similar as asked for, and nearly all such pairs are joined."""
-    rng = random.Random(5)
-    text = {}
-    for i in range(300):
-        words = [f"w{rng.randrange(10**6)}" for _ in range(300)]
-        text[2 * i] = " ".join(words)
-        for k in rng.sample(range(0, 300, 6), 1 + i % 15):
-            words[k] = "new"
-        text[2 * i + 1] = " ".join(words)
-    rows = [*text.items(), *[(1000 + k, t.upper()) for k, t in text.items()]]  # a copy of each, of the same fingerprint
-    got = {r.id: r.component_id for r in simhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    similar = [i for i in range(300) if jaccard(text[2 * i], text[2 * i + 1]) >= 0.8]
-    joined = {i for i in range(300) if got[2 * i] == got[2 * i + 1]}
-    assert 80 < len(similar) < 220 and joined <= set(similar) and len(joined) >= 0.96 * len(similar)
-    assert all(got[1000 + k] == got[k] for k in text)
-
-
-def test_messy_rows_have_near_duplicate_classes(crowded, messy_rows, nothing):
-    got = simhash_dedup.near_duplicates(crowded).collect()
-    assert Counter(r.id for r in got) == Counter(d for d, *_ in messy_rows)
-    assert {r.component_id for r in got if r.id in (301, 302, 303)} == {301}
-    assert simhash_dedup.near_duplicates(nothing).count() == 0
-
-
-def test_unsure_links_survive_refused_ones():
-    """Every class keeps as many disjoint ties to the others as there are forests, and no more than that a row."""
-    prints = np.arange(40, dtype=np.uint64).reshape(-1, 1)
-    prints = prints[np.argsort(np.bitwise_count(prints[:, 0]), kind="stable")]
-    links = simhash_dedup.unsure_links(np.zeros(40, np.int64), prints, 64, np.arange(40))
-    assert len(links) == len({frozenset(x) for x in links}) and 2 * 39 < len(links) <= simhash_dedup.FORESTS * 39
-    assert simhash_dedup.unsure_links(np.zeros(40, np.int64), prints, 64, np.zeros(40, np.int64)) == []
-
-
-def test_similar_pairs_equal_brute_force():
-    rng = np.random.default_rng(4)
-    sets = [np.unique(rng.integers(0, 40, int(rng.integers(0, 40)))).astype(np.uint64) for _ in range(120)]
-    want = {
-        (i, j) for i in range(120) for j in range(i + 1, 120)
-        if not (u := set(sets[i]) | set(sets[j])) or len(set(sets[i]) & set(sets[j])) >= 0.8 * len(u)
-    }
-    assert set(zip(*map(np.ndarray.tolist, simhash_dedup.similar_pairs(sets, 0.8)), strict=True)) == want
-
-
-def test_templated_texts_do_not_hide_similar_pairs(spark, monkeypatch):
-    """Texts of one template are refused at 0.72; planted pairs of 0.83 among them are joined, also where groups are cut."""
-    monkeypatch.setattr(simhash_dedup, "GROUP_ROWS", 100)
-    rng = random.Random(9)
-    template = [f"t{rng.randrange(10**6)}" for _ in range(336)]
-    rows = []
-    for i in range(300):
-        words = template + [f"w{rng.randrange(10**6)}" for _ in range(64)]
-        rows.append((i, " ".join(words)))
-        if i % 10 == 0:
-            for k in range(340, 396, 8):
-                words[k] = f"c{rng.randrange(10**6)}"
-            rows.append((1000 + i, " ".join(words)))
-    text = dict(rows)
-    assert 0.65 < jaccard(text[1], text[2]) < 0.78
-    similar = [i for i in range(0, 300, 10) if jaccard(text[i], text[1000 + i]) >= 0.8]
-    got = {r.id: r.component_id for r in simhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert len(similar) == 30 and all(got[i] == got[1000 + i] for i in similar)
-    assert len(set(got.values())) == 300
-
-
-def test_cuts_follow_the_set_sizes():
-    """Sets of 4 and 5 shingles, similarity 0.8: 96 of 512 bits differ on average."""
-    assert abs(512 * simhash_dedup._majority_differs(5, 4, 4) - 96) < 1e-9
-    cuts = simhash_dedup.unsure_cuts(0.8, 512)
-    assert cuts[4] == cuts[5] > 140 and 120 < cuts[-1] < 140 and cuts.min() >= 120
-
-
-def test_no_similar_pair_is_lost_at_any_length(spark):
-    """Pairs at or just above similarity 0.8, from 4 shingles on: every one is joined."""
-    rng = random.Random(12)
-    text = {}
-    for i in range(600):
-        n = (8, 8, 8, 13, 16, 24, 44, 60, 120, 300)[i % 10]
-        words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
-        text[2 * i] = " ".join(words)
-        extra = (n - 4) // 4  # shared / (shared + extra) is 0.8 or more
-        text[2 * i + 1] = " ".join([*words, *[f"v{rng.randrange(10**6)}" for _ in range(extra)]])
-    assert all(0.8 <= jaccard(text[2 * i], text[2 * i + 1]) < 0.84 for i in range(600))
-    got = {r.id: r.component_id for r in simhash_dedup.near_duplicates(spark.createDataFrame(list(text.items()), "doc_id long, text string")).collect()}
-    assert all(got[2 * i + 1] == got[2 * i] == 2 * i for i in range(600))
+def test_keep_one_of_each_group_in_whole_rows(crowded, messy_rows, nothing):
+    """The smallest id of every brute-force group stays, with all columns of the row; rows without an id stay."""
+    prints = [(d, slow_fingerprint(t)) for d, t, *_ in messy_rows]
+    groups = closure(prints, 4)
+    out = simhash_dedup.keep_one(crowded)
+    assert out.columns == crowded.columns
+    rows = out.collect()
+    assert Counter(r.doc_id for r in rows) == Counter(d for d, p in prints if d is None or groups[p] == d)
+    assert all(r.digest == "own digest" and r.key == "own key" for r in rows)
+    assert simhash_dedup.keep_one(nothing).count() == 0
+
+
+def test_an_id_with_two_texts_loses_only_the_copy(spark):
+    text = " ".join(f"w{i}" for i in range(300))
+    other = " ".join(f"v{i}" for i in range(300))
+    rows = [(5, text.upper()), (5, other), (3, text), (7, text), (7, text)]
+    out = simhash_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.text) for r in out) == Counter([(5, other), (3, text)])
 
 
 def test_components_of_chains_stars_and_cycles(spark):
