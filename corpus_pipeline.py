@@ -26,11 +26,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group linked by similarity 0.8 of five-word shingles: the one with the smallest id. Rows without
-    an id stay."""
-    groups = simhash_dedup.near_duplicates(docs)
-    dropped = groups.filter("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """One document of every group whose SimHash fingerprints (four-word shingles, four bits at most) are linked: the one with
+    the smallest id. Rows without an id stay."""
+    return simhash_dedup.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
