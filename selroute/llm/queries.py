@@ -13,6 +13,7 @@ from selroute.llm import (
     exact_dedup,
     ngram_trie,
     packing,
+    periodic_runs,
     pii,
     pu_quality,
     simhash_dedup,
@@ -156,3 +157,23 @@ def _op9(spark, sf_dir):
 @_register("op10_token_counts")
 def _op10(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op11_rows(docs: DataFrame) -> DataFrame:
+    """The runs of all documents, of which one in ten turns periodic."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    planted = docs.select("doc_id", periodic_runs.plant_periods(text, F.col("doc_id")).alias("text"))
+    found = periodic_runs.find_runs(planted).withColumn("longest", periodic_runs.longest_run(F.col("runs")))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        "longest.*",
+        F.floor(1000 * F.col("longest.length") / F.col("longest.period")).alias("exponent_milli"),
+        periodic_runs.runs_digest(F.col("runs")).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@_register("op11_periodic_runs")
+def _op11(spark, sf_dir):
+    return op11_rows(table(spark, sf_dir, "documents"))
