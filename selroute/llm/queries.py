@@ -15,6 +15,7 @@ from selroute.llm import (
     packing,
     periodic_runs,
     pii,
+    pivot_index,
     pu_quality,
     simhash_dedup,
     token_counts,
@@ -177,3 +178,8 @@ def op11_rows(docs: DataFrame) -> DataFrame:
 @_register("op11_periodic_runs")
 def _op11(spark, sf_dir):
     return op11_rows(table(spark, sf_dir, "documents"))
+
+
+@_register("op12_pivot_near_dedup")
+def _op12(spark, sf_dir):
+    return pivot_index.near_vectors(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
