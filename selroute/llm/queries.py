@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from selroute.llm import (
     bpe_chunks,
+    conversation_repair,
     decontaminate,
     exact_dedup,
     ngram_trie,
@@ -183,3 +184,19 @@ def _op11(spark, sf_dir):
 @_register("op12_pivot_near_dedup")
 def _op12(spark, sf_dir):
     return pivot_index.near_vectors(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op13_rows(conversations: DataFrame) -> DataFrame:
+    """Faults and cheapest repair of the damaged conversations."""
+    judged, repaired = conversation_repair.repair(conversation_repair.damage(conversation_repair.plain_rows(conversations)))
+    digests = conversation_repair.repaired_digests(repaired).withColumnRenamed("conv", "own")
+    empty = F.sha2(F.lit(""), 256)
+    return judged.join(digests, F.col("conv").eqNullSafe(F.col("own")), "left").select(
+        F.col("conv").alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit",
+        F.coalesce("sha256", empty).alias("repaired_sha256"),
+    )
+
+
+@_register("op13_conversation_repair")
+def _op13(spark, sf_dir):
+    return op13_rows(table(spark, sf_dir, "conversations"))

@@ -51,5 +51,5 @@ def test_run_chains_the_stages(spark):
 
 def test_registration():
     names = spark_entry.queries()
-    assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
+    assert "pipeline" in names and all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14))
     assert {"op2_exact_dedup", "op3_url_rules", "op5_benchmark_decontamination"} <= set(spark_entry.oracle_sql())
