@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +14,6 @@ from selroute.session import durable
 
 TAU_STEPS = 100
 SEARCH_ROUNDS = 20
-PARALLEL_FITS = 4
 
 
 def best_scored(scores: DataFrame, sample: Sequence[str], score: str = "logit", tie: Column | None = None) -> DataFrame:
@@ -143,40 +139,6 @@ def oracle_accuracy(correct: DataFrame, sample: Sequence[str], group: Sequence[s
     return per_sample.groupBy(*group).agg(F.avg("__best").alias("accuracy"))
 
 
-def calibrated_scores(
-    scores: DataFrame, bank: DataFrame, models: Sequence[str], score: str = "logit", label: str = "correct"
-) -> DataFrame:
-    """Replace each model's scores by its isotonic fit on the bank; raw scores where the bank has no labels.
-
-    ``bank`` holds (model, score, label). Equal scores are pooled before the fit, edges are clipped and values
-    between knots interpolated.
-    """
-    pooled = (
-        bank.where(F.col(label).isNotNull() & F.col(score).isNotNull())
-        .groupBy("model", score)
-        .agg(F.avg(F.col(label).cast("double")).alias("__y"), F.count(F.lit(1)).cast("double").alias("__w"))
-    ).persist()
-    have = {r[0] for r in pooled.select("model").distinct().collect()}  # as many rows as models
-    assembler = VectorAssembler(inputCols=["__score"], outputCol="__x")
-
-    def fit(model: str):
-        train = assembler.transform(pooled.where(F.col("model") == model).withColumn("__score", F.col(score).cast("double")))
-        return IsotonicRegression(featuresCol="__x", labelCol="__y", weightCol="__w", predictionCol="__p").fit(train)
-
-    known = [m for m in models if m in have]
-    with ThreadPoolExecutor(max_workers=PARALLEL_FITS) as pool:
-        fits = dict(zip(known, pool.map(fit, known), strict=True))
-    pooled.unpersist()
-    out = None
-    for model in models:
-        part = scores.where(F.col("model") == model)
-        if model in fits:
-            ready = assembler.transform(part.withColumn("__score", F.col(score).cast("double")))
-            part = fits[model].transform(ready).withColumn(score, F.col("__p")).drop("__p", "__x", "__score")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def strategy_summary(results: DataFrame, by: str = "strategy") -> DataFrame:
     """Mean accuracy per strategy over the runs, lowest first."""
     return results.groupBy(by).agg(F.avg("accuracy").alias("mean_accuracy")).orderBy("mean_accuracy", by)

@@ -8,6 +8,7 @@ from selroute.operators import neighbours as K
 from selroute.operators import routing as R
 from selroute.operators import selection as G
 from selroute.operators import transfer as X
+from selroute.operators.calibration import calibrated_scores
 from selroute.operators.metrics import auroc
 from selroute.operators.reshape import to_wide
 from selroute.plans.registry import query, r6, rounded
@@ -352,12 +353,8 @@ _CALIBRATED = """pooled AS (SELECT *, row_number() OVER (PARTITION BY model ORDE
 
 def _calibrated(v):
     data = v.routing
-    keyed = F.concat_ws(":", "run", "model")
-    scores = data.test_scores.select("sample_id", keyed.alias("model"), "logit")
-    bank = data.bank_scores.join(data.bank_correct, ["sample_id", "model"]).withColumn("model", keyed)
-    fitted = R.calibrated_scores(scores, bank, [f"{run}:{m}" for run in range(3) for m in MODELS])
-    parts = F.split("model", ":")
-    return fitted.select("sample_id", F.get(parts, 0).cast("int").alias("run"), F.get(parts, 1).alias("model"), F.round("logit", 9).alias("logit"))
+    bank = data.bank_scores.join(data.bank_correct, ["sample_id", "model"])
+    return calibrated_scores(data.test_scores, bank, ["run", "model"]).withColumn("logit", F.round("logit", 9))
 
 
 @query("l9_isotonic_calibration", f"WITH {_CALIBRATED} SELECT run, sample_id, model, round(logit, 6) AS score FROM cal")

@@ -1,4 +1,4 @@
-"""Transfer matrices, model selection, routing, neighbours and calibration against brute force."""
+"""Transfer matrices, model selection, routing and neighbours against brute force."""
 
 import random
 
@@ -139,16 +139,6 @@ def test_bounds(spark):
     assert R.oracle_accuracy(correct, ["sample_id"]).first().accuracy == pytest.approx(2 / 3)
 
 
-def test_isotonic_ties_clip_and_fallback(spark):
-    bank = spark.createDataFrame(
-        [("m", x, y) for x, y in ((1.0, 0), (1.0, 1), (2.0, 0), (3.0, 1), (4.0, 1))] + [("n", 1.0, None)], "model string, logit double, correct int"
-    )
-    scores = spark.createDataFrame([(i, m, x) for m in ("m", "n") for i, x in enumerate((0.0, 1.0, 2.5, 9.0))], "sample_id int, model string, logit double")
-    got = {(r.model, r.sample_id): r.logit for r in R.calibrated_scores(scores, bank, ["m", "n"]).collect()}
-    assert [got["m", i] for i in range(4)] == pytest.approx([1 / 3, 1 / 3, 2 / 3, 1.0])
-    assert [got["n", i] for i in range(4)] == [0.0, 1.0, 2.5, 9.0]
-
-
 @pytest.mark.parametrize("block_rows,pivots", [(6, 4), (8192, 32)])
 def test_neighbours_match_brute_force(spark, block_rows, pivots):
     rng = np.random.default_rng(2)
