@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from selroute.operators import learn as T
 from selroute.operators import routing as R
 from selroute.operators import transfer as X
-from selroute.operators.metrics import auroc, eval_metrics
+from selroute.operators.metrics import eval_metrics
 from selroute.operators.splits import bank_split
 from selroute.plans.registry import query
 from selroute.plans.views import MODELS
@@ -101,7 +101,7 @@ def _(v):
     labels = v.eval_long.select("row_id", "model", "correct")
     rejectors = T.train_rejectors(features.where("part = 'train'").join(labels, "row_id"), MODELS, max_iter=10)
     scores = durable(T.score_rejectors(features.where("part = 'test'"), rejectors, ["row_id"]))
-    rated = auroc(X.aligned(scores, v.truth, ["row_id"]), ["source", "target"], "logit")
+    rated = X.transfer_metrics(scores, v.truth, ["row_id"])
     return rated.select("source", "target", "n_pos", "n_neg", F.col("auroc").between(0, 1).alias("rated"))
 
 

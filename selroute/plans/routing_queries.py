@@ -9,7 +9,6 @@ from selroute.operators import routing as R
 from selroute.operators import selection as G
 from selroute.operators import transfer as X
 from selroute.operators.calibration import calibrated_scores
-from selroute.operators.metrics import auroc
 from selroute.operators.reshape import to_wide
 from selroute.plans.registry import query, r6, rounded
 from selroute.plans.views import MODELS
@@ -18,7 +17,7 @@ from selroute.plans.views import MODELS
 
 
 def _transfer(v):
-    return auroc(X.aligned(v.scores, v.truth, ["row_id"]), ["source", "target"], "logit").select("source", "target", "auroc")
+    return X.transfer_metrics(v.scores, v.truth, ["row_id"]).select("source", "target", "auroc")
 
 
 def _holed(v):
@@ -38,21 +37,20 @@ _RK = """rk AS (SELECT *, rank() OVER (PARTITION BY {k} ORDER BY p) + (count(*)
     FROM (SELECT *, 1 / (1 + exp(-logit)) AS p FROM {t}))"""
 
 
-@query("c6_aligned_rows", "SELECT target, count(*) AS n, CAST(sum(label) AS BIGINT) AS n_pos FROM transfer_pairs WHERE source = 'model_0' GROUP BY 1")
+@query("c6_aligned_rows", "SELECT source, target, count(*) AS n, CAST(sum(label) AS BIGINT) AS n_pos FROM transfer_pairs GROUP BY ALL")
 def _(v):
-    pairs = X.aligned(v.scores.where("source = 'model_0'"), v.truth, ["row_id"])
-    return pairs.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("n_pos"))
+    pairs = X.aligned(v.scores, v.truth, ["row_id"])
+    return pairs.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("n_pos"))
 
 
-@query("c7_source_target_pairs", "SELECT source, target, count(*) AS n, round(avg(logit), 6) AS mean_logit FROM transfer_pairs GROUP BY ALL")
+@query("c7_source_target_pairs", "SELECT source, target, count(*) AS n, CAST(sum(label) AS BIGINT) AS n_pos, round(avg(logit), 6) AS mean_logit FROM transfer_pairs GROUP BY ALL")
 def _(v):
-    pairs = X.aligned(v.scores, v.truth, ["row_id"])
-    return pairs.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("logit")).alias("mean_logit"))
+    return rounded(X.pair_means(v.scores, v.truth, ["row_id"]), "mean_logit")
 
 
-@query("q19_misaligned_rows", "SELECT doc_id AS row_id, 'model_0' AS source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("q19_misaligned_rows", "SELECT row_id, model AS source FROM eval_long WHERE row_id NOT IN (SELECT doc_id FROM labels)")
 def _(v):
-    scores = v.scores.where("source = 'model_0'").select("row_id", "source")
+    scores = v.scores.select("row_id", "source")
     return X.misaligned_rows(scores, v.table("labels").select(F.col("doc_id").alias("row_id")), ["row_id"])
 
 
@@ -71,6 +69,12 @@ def _(v):
     return rounded(X.transfer_metrics(v.scores, v.truth, ["row_id"]), "auroc", "aupr", "brier", "accuracy")
 
 
+@query("k1_transfer_distinct_scores", _pair_sql("source, target", "distinct_pairs"))
+def _(v):
+    """The same with a score of its own for every row, so that no two rows combine."""
+    return rounded(X.transfer_metrics(v.distinct_scores, v.truth, ["row_id"]), "auroc", "aupr", "brier", "accuracy")
+
+
 @query("k2_bank_matrix", _pair_sql("run, source, target", "bank_pairs"))
 def _(v):
     return rounded(v.routing.bank_matrix, "auroc", "aupr", "brier", "accuracy")

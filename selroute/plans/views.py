@@ -72,6 +72,13 @@ class Views:
     def scores(self) -> DataFrame:
         return self.eval_long.select("row_id", F.col("model").alias("source"), "logit")
 
+    @cached_property
+    def distinct_scores(self) -> DataFrame:
+        """Scores that no two documents share (up to 100,003 documents a model)."""
+        return self.per_model.selectExpr("doc_id", "d", "m", "model", f"{_H} AS h").selectExpr(
+            "doc_id AS row_id", "model AS source", "CAST(h * 100003 + d AS DOUBLE) / 25000750 AS logit"
+        )
+
     @cached_property
     def truth(self) -> DataFrame:
         return self.eval_long.select("row_id", F.col("model").alias("target"), F.col("correct").alias("label"))
@@ -385,6 +392,8 @@ CTES: dict[str, str] = {
     # Full transfer matrix over all documents; one cell is taken out to have a hole.
     "transfer_pairs": """SELECT s.model AS source, t.model AS target, s.row_id, s.logit, t.correct AS label
         FROM eval_long s JOIN eval_long t USING (row_id) WHERE t.correct IS NOT NULL""",
+    "distinct_pairs": """SELECT s.model AS source, t.model AS target, s.doc_id AS row_id, CAST(s.h * 100003 + s.d AS DOUBLE) / 25000750 AS logit, t.correct AS label
+        FROM hashed s JOIN eval_long t ON t.row_id = s.doc_id WHERE t.correct IS NOT NULL""",
     "transfer": """SELECT source, target, (sum(rk * label) - sum(label) * (sum(label) + 1) / 2.0)
         / nullif(sum(label) * sum(1 - label), 0) AS auroc FROM (SELECT *, rank() OVER (PARTITION BY source, target ORDER BY logit)
         + (count(*) OVER (PARTITION BY source, target, logit) - 1) / 2.0 AS rk FROM transfer_pairs) GROUP BY ALL""",
