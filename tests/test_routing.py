@@ -174,3 +174,41 @@ def test_name_normalisation_and_wide_cells(spark):
     cells = spark.createDataFrame([(1, "a", 1), (1, "a", 0)], "id int, model string, correct int")
     with pytest.raises(Exception, match="more than one value"):
         S.to_wide(cells, ["id"], "model", "correct", ["a"]).collect()
+
+
+def slow_cover(covers, targets, rounds):
+    """Round by round on sets: (source, gain) and the share covered."""
+    left, picks, shares = set(targets), [], []
+    for _ in range(rounds):
+        best = min(covers, key=lambda s: (-len(covers[s] & left), s), default=None)
+        if best is not None and covers[best] & left:
+            picks.append((best, len(covers[best] & left)))
+            left -= covers[best]
+        shares.append(1 - len(left) / len(targets))
+    return picks, shares
+
+
+@pytest.mark.parametrize("n", [1, 5, 63, 64, 65, 130])
+def test_cover_equals_set_search_for_catalogues_of_any_width(spark, n):
+    rng = random.Random(n)
+    names = [f"t{i:03}" for i in range(n)]
+    covers = {(g, f"s{i:03}"): set(rng.sample(names, rng.randrange(0, max(2, n // 3)) if n > 2 else 1)) for g in range(4) for i in range(n // 2 + 3)}
+    edges = [(g, s, t) for (g, s), ts in covers.items() for t in ts if g != 3]  # nothing is covered in the last group
+    df = spark.createDataFrame(edges, "g int, source string, target string")
+    universe = spark.createDataFrame([(g, t) for g in range(4) for t in names], "g int, target string")
+    picks, coverage = G.greedy_coverage(df, universe, ["g"], 9)
+    for g in range(4):
+        own = {s: ts for (h, s), ts in covers.items() if h == g} if g != 3 else {}
+        want, shares = slow_cover(own, names, 9)
+        got = [(r.source, r.gain) for r in picks.where(f"g = {g}").orderBy("step").collect()]
+        assert got == want
+        assert [r.covered for r in coverage.where(f"g = {g}").orderBy("step").collect()] == pytest.approx(shares)
+
+
+def test_cover_is_one_job_without_written_rounds(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(G, "durable", lambda df: written.append(df) or df)
+    edges = spark.createDataFrame([(s, t) for s in "abc" for t in "xyz"], "source string, target string")
+    picks, coverage = G.greedy_coverage(edges, edges.select("target").distinct(), [], 50)
+    assert len(written) == 1 and [(r.step, r.source, r.gain) for r in picks.collect()] == [(1, "a", 3)]
+    assert coverage.count() == 50 and coverage.where("covered = 1.0").count() == 50
