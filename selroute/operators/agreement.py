@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from selroute.functions.scores import histogram_slot
-from selroute.operators.metrics import best_threshold, ranking_pair, threshold_sweep
+from selroute.operators.metrics import ranking_pair
 from selroute.operators.ordering import ROWS_PER_BUCKET, attach, exact_quantiles, first_per_group, seeded_rank, value_running
-from selroute.operators.splits import balanced_samples
-from selroute.session import durable
+from selroute.operators.repeats import balanced_sweeps
 
 
 def metric_rows(df: DataFrame, ids: Sequence[str], metrics: Sequence[str]) -> DataFrame:
@@ -67,16 +66,6 @@ def rule_accuracy(rows: DataFrame, keys: Sequence[str], value: str = "value", la
     return rows.groupBy(*keys).agg(F.avg((F.col(label) == F.col(value)).cast("int")).alias("accuracy"))
 
 
-def balanced_sweeps(
-    rows: DataFrame, keys: Sequence[str], ids: Sequence[str], seeds: Sequence[int], value: str = "value", label: str = "label", **kw
-) -> DataFrame:
-    """Best threshold and accuracy on the balanced sample of every seed."""
-    # Drawing repeats the rows per seed, and the sweep reads its input three times: draw once.
-    drawn = durable(balanced_samples(rows, keys, ids, seeds, label).select(*keys, "seed", value, label))
-    per_seed = [*keys, "seed"]
-    return best_threshold(threshold_sweep(drawn, per_seed, value, label, **kw), per_seed)
-
-
 def balanced_accuracy(
     rows: DataFrame, keys: Sequence[str], ids: Sequence[str], repeats: int, value: str = "value", label: str = "label", **kw
 ) -> DataFrame:
