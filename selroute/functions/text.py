@@ -11,7 +11,8 @@ ARTICLES = ("a", "an", "the")
 
 # Every character that counts as white space when a text is split.
 WHITE_SPACE = (
-    r"[\t\n\x0b\f\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+    "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
 
 # The published mteval-v13a tokeniser, as pattern and replacement in the order of use.
@@ -29,28 +30,37 @@ BOXED = r"\\boxed\{((?:[^{}]|\{[^{}]*\})*)\}"
 REFERENCE_SEPARATOR = "\n---\n"
 
 
-def words(text: Column) -> Column:
-    """Split on white space, without empty pieces."""
-    return F.filter(F.split(text, WHITE_SPACE), lambda w: w != "")
+def _blanks(text: Column, drop: str = "") -> Column:
+    """Every white-space character as a blank, and the characters of ``drop`` left out, in one pass over the text."""
+    return F.translate(text, WHITE_SPACE + drop, " " * len(WHITE_SPACE))
 
 
-def answer_tokens(text: Column) -> Column:
-    """Lower case, drop ASCII punctuation, drop the articles, split on white space.
+def words(line: Column) -> Column:
+    """Split at blanks, without empty pieces."""
+    return F.filter(F.split(line, " "), lambda w: w != "")
+
+
+def answer_line(text: Column) -> Column:
+    """Lower case, drop ASCII punctuation, drop the articles; what is left stands between blanks (one or more).
 
     An article is dropped where it stands between characters that are neither letters nor digits, so it
     also goes next to non-ASCII marks such as a dash or a curly quote, and never from inside a word.
     """
-    bare = F.translate(F.lower(text), ASCII_PUNCTUATION, "")
+    bare = _blanks(F.lower(text), ASCII_PUNCTUATION)
     article = r"(?<![\p{L}\p{N}_])(?:" + "|".join(ARTICLES) + r")(?![\p{L}\p{N}_])"
-    return words(F.regexp_replace(bare, article, " "))
+    return F.regexp_replace(bare, article, " ")
+
+
+def answer_tokens(text: Column) -> Column:
+    return words(answer_line(text))
 
 
 def normalise_answer(text: Column) -> Column:
     return F.array_join(answer_tokens(text), " ")
 
 
-def mteval_tokens(text: Column) -> Column:
-    """Tokens by the mteval-v13a rules; case is kept."""
+def mteval_line(text: Column) -> Column:
+    """The text by the mteval-v13a rules, its tokens between blanks (one or more); case is kept."""
     line = F.replace(text, F.lit("<skipped>"), F.lit(""))
     line = F.replace(line, F.lit("-\n"), F.lit(""))
     line = F.replace(line, F.lit("\n"), F.lit(" "))
@@ -59,7 +69,11 @@ def mteval_tokens(text: Column) -> Column:
     line = F.concat(F.lit(" "), line, F.lit(" "))
     for pattern, replacement in MTEVAL_13A:
         line = F.regexp_replace(line, pattern, replacement)
-    return words(line)
+    return _blanks(line)
+
+
+def mteval_tokens(text: Column) -> Column:
+    return words(mteval_line(text))
 
 
 def boxed_answer(text: Column) -> Column:
