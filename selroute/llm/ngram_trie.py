@@ -13,11 +13,14 @@ of its own word and one shuffle carries counts and questions alike:
    than a quarter of a shard's share (at most four per shard), the only thing that reaches the driver.
 2. Blocks send their distinct (word, context) pairs with references to their documents. The shard of a pair is a hash of the word,
    for the frequent words of step 1 a hash of the pair, so no word fills a task. A shard counts what comes from training documents,
-   builds its trie, asks it for every pair and adds up per document.
-3. Sums are added per block and joined by position to the block's document ids.
+   builds its trie, asks it for every pair and adds up per document it was asked about.
+3. A row per shard and document it met, with the document's sums there, goes through a DataFrame sum by (block, position), which
+   adds up within a task before anything moves. A shard gives no row for documents it has no word of, so rows stay below the number
+   of tokens whatever the number of shards is.
 
-The number of shards follows the corpus (``SHARD_TOKENS`` tokens each). Nothing is pruned or sampled. Pairs are told apart by 64
-bits of the word and ``CONTEXT_BITS`` bits of the context; word counts rest on all 64 bits.
+The number of shards follows the corpus (``SHARD_TOKENS`` tokens each) without a limit. Nothing is pruned or sampled. Pairs are told
+apart by 64 bits of the word and ``CONTEXT_BITS`` bits of the context: of a word with c different contexts about c / 2 ** 32 share
+their count with another one; word counts rest on all 64 bits.
 
 Defined cases: null and empty texts are a single end token; a row without an id is held out; repeated rows count each time; with
 no training text every count is zero.
@@ -38,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from selroute.llm.common import blocks, find_words, hash_words, mix, raw_texts
-
+from selroute.session import durable
 
 BLOCK_BYTES = 8 << 20
 BLOCK_DOCS = 60_000
@@ -204,7 +207,7 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[list[bytes], list, np.ndarr
 
 
 def _shard_of(h: np.ndarray, shards: int) -> np.ndarray:
-    return (((mix(h) >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.uint16)
+    return (((mix(h) >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int32)
 
 
 # --- step 1: totals and frequent words ------------------------------------------------------------------------------------
@@ -222,10 +225,11 @@ def _send_counts(shards: int):
                 order = np.argsort(shard, kind="stable")
                 bounds = np.searchsorted(shard[order], np.arange(shards + 1))
                 rows = []
-                for s in range(shards):
+                for s in np.unique(shard).tolist():
                     mine = order[bounds[s] : bounds[s + 1]]
                     rows.append((s, words[mine].tobytes(), counts[mine].astype("<u4").tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _COUNTS, strict=True)], schema=_COUNTS)
+                columns = zip(*rows, strict=True) if rows else [()] * len(_COUNTS)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _COUNTS, strict=True)], schema=_COUNTS)
 
     return run
 
@@ -240,8 +244,8 @@ def _count_shard(table: pa.Table) -> pa.Table:
         {
             "n": pa.array([int(total.sum())], pa.int64()),
             "v": pa.array([len(distinct)], pa.int64()),
-            "words": pa.array([distinct[frequent].astype("<u8").tobytes()], pa.binary()),
-            "counts": pa.array([total[frequent].astype("<i8").tobytes()], pa.binary()),
+            "words": pa.array([distinct[frequent].view(np.int64)], pa.list_(pa.int64())),
+            "counts": pa.array([total[frequent]], pa.list_(pa.int64())),
         }
     )
 
@@ -285,10 +289,8 @@ def _send_pairs(shards: int, frequent: np.ndarray):
                 block += 1
                 flags = np.packbits(train, bitorder="little").tobytes()
                 rows = []
-                for s in range(shards):
+                for s in np.unique(shard).tolist():
                     mine = pairs[bounds[s] : bounds[s + 1]]
-                    if not len(mine):
-                        continue
                     r = pair_rank[mine]
                     starts = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
                     sizes = n_docs[mine]
@@ -306,10 +308,21 @@ def _send_pairs(shards: int, frequent: np.ndarray):
 
 
 _SUMS = pa.schema(
-    [("block", pa.int64()), ("score", pa.binary()), ("base", pa.binary()), ("known", pa.binary()), ("train", pa.binary()),
-     ("ids", pa.list_(pa.int64())), ("n_tokens", pa.binary())]
+    [("block", pa.int64()), ("position", pa.int32()), ("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
+     ("score", pa.float64()), ("base", pa.float64()), ("known", pa.int64())]
 )
-_SUMS_DDL = "block long, score binary, base binary, known binary, train binary, ids array<long>, n_tokens binary"
+_SUMS_DDL = "block long, position int, id long, held_out boolean, n_tokens long, score double, base double, known long"
+
+
+def _headers(table: pa.Table) -> list[pa.RecordBatch]:
+    """One row per document of a block, with what is known without any count."""
+    out = []
+    for block, train, ids, n_tokens in zip(*(table[c].to_pylist() for c in ("block", "train", "ids", "n_tokens")), strict=True):
+        n = len(ids)
+        held_out = np.unpackbits(np.frombuffer(train, np.uint8), bitorder="little")[:n] == 0
+        columns = [np.full(n, block), np.arange(n, dtype=np.int32), ids, held_out, np.frombuffer(n_tokens, "<i8"), np.zeros(n), np.zeros(n), np.zeros(n, np.int64)]
+        out.append(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SUMS, strict=True)], schema=_SUMS))
+    return out
 
 
 def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
@@ -322,10 +335,7 @@ def _score_shard(n: int, v: int, frequent: np.ndarray, frequent_counts: np.ndarr
     def run(table: pa.Table) -> pa.Table:
         is_ids = pa.compute.is_valid(table["n_tokens"])
         headers, sent = table.filter(is_ids), table.filter(pa.compute.invert(is_ids))
-        out = [
-            {"block": b, "train": t, "ids": i, "n_tokens": k}
-            for b, t, i, k in zip(*(headers[c].to_pylist() for c in ("block", "train", "ids", "n_tokens")), strict=True)
-        ]
+        out = _headers(headers)
         if sent.num_rows:
             flags = [np.unpackbits(np.frombuffer(x, np.uint8), bitorder="little") for x in sent["train"].to_pylist()]
             base_of = np.concatenate(([0], np.cumsum([len(x) for x in flags])))
@@ -376,41 +386,34 @@ def _score_shard(n: int, v: int, frequent: np.ndarray, frequent_counts: np.ndarr
             score = np.bincount(doc, weights=value[of_pair], minlength=m)
             word_of = pair_rank[of_pair]
             base = np.bincount(doc, weights=np.log10(count + 1)[word_of], minlength=m)
-            known = np.bincount(doc, weights=(count > 0)[word_of], minlength=m).astype("<u4")
-            for b, a, e in zip(sent["block"].to_pylist(), base_of, base_of[1:], strict=False):
-                out.append({"block": b, "score": score[a:e].tobytes(), "base": base[a:e].tobytes(), "known": known[a:e].tobytes()})
-        return pa.Table.from_pylist(out, schema=_SUMS)
+            known = np.bincount(doc, weights=(count > 0)[word_of], minlength=m).astype(np.int64)
+            met = np.flatnonzero(np.bincount(doc, minlength=m))
+            row = np.searchsorted(base_of, met, side="right") - 1
+            missing = [pa.nulls(len(met), _SUMS.field(c).type) for c in ("id", "held_out", "n_tokens")]
+            where = [pa.array(sent["block"].to_numpy()[row]), pa.array((met - base_of[row]).astype(np.int32))]
+            out.append(pa.RecordBatch.from_arrays([*where, *missing, pa.array(score[met]), pa.array(base[met]), pa.array(known[met])], schema=_SUMS))
+        return pa.Table.from_batches(out, _SUMS)
 
     return run
 
 
-# --- step 3: documents ----------------------------------------------------------------------------------------------------
-
+# --- all steps ------------------------------------------------------------------------------------------------------------
 
-def _finish(n: int, v: int):
-    z = np.log10(n + v + 1)
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        head = next(r for r in rows if r["n_tokens"] is not None)
-        d = len(head["ids"])
-        n_tokens = np.frombuffer(head["n_tokens"], "<i8")
-        score, base, known = np.zeros(d), np.zeros(d), np.zeros(d, np.int64)
-        for r in rows:
-            if r["score"] is not None:
-                score += np.frombuffer(r["score"])[:d]
-                base += np.frombuffer(r["base"])[:d]
-                known += np.frombuffer(r["known"], "<u4")[:d]
-        train = np.unpackbits(np.frombuffer(head["train"], np.uint8), bitorder="little")[:d].astype(bool)
-        return pa.table(
-            {
-                "id": pa.array(head["ids"], pa.int64()), "held_out": pa.array(~train), "n_tokens": pa.array(n_tokens),
-                "n_known": pa.array(known), "train_tokens": pa.array(np.full(d, n, np.int64)), "base_score": pa.array(base - n_tokens * z),
-                "score": pa.array(score),
-            }
-        )
-
-    return run
+def shard_sums(rows: DataFrame, shard_tokens: int = SHARD_TOKENS) -> tuple[DataFrame, int, int]:
+    """Sums per shard and document of ``rows`` (id, text, held_out), and number and distinct number of training tokens."""
+    size = rows.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(2, round(size / 6.4 / shard_tokens))  # about one token in 6.4 bytes; any number is right
+    sent = rows.mapInArrow(_send_counts(shards), "shard int, words binary, counts binary")
+    totals = durable(sent.groupBy("shard").applyInArrow(_count_shard, "n long, v long, words array<long>, counts array<long>"))
+    n, v = (x or 0 for x in totals.agg(F.sum("n"), F.sum("v")).first())
+    often = totals.select(F.inline(F.arrays_zip("words", "counts"))).where(F.col("counts") * (4 * shards) >= n).collect()
+    words = np.array([r["words"] for r in often], np.int64).view(np.uint64)  # four a shard at most
+    counts = np.array([r["counts"] for r in often], np.int64)
+    order = np.argsort(words)
+    words, counts = words[order], counts[order]
+    pairs = rows.mapInArrow(_send_pairs(shards, words), _PAIRS_DDL)
+    return pairs.groupBy("shard").applyInArrow(_score_shard(n, v, words, counts), _SUMS_DDL), n, v
 
 
 def score_texts(
@@ -419,17 +422,11 @@ def score_texts(
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score (add-one unigram) and score (log10
     probability under the bigram model). Rows whose ``held_out_col`` expression is true are scored but not learnt from."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), held_out_col.alias("held_out"))
-    size = docs.select(F.sum(F.octet_length(text_col))).first()[0] or 0
-    shards = max(2, min(60_000, round(size / 6.4 / shard_tokens)))  # about one token in 6.4 bytes; any number is right
-    sent = rows.mapInArrow(_send_counts(shards), "shard int, words binary, counts binary")
-    totals = sent.groupBy("shard").applyInArrow(_count_shard, "n long, v long, words binary, counts binary").collect()
-    n, v = sum(r["n"] for r in totals), sum(r["v"] for r in totals)
-    words = np.frombuffer(b"".join(r["words"] for r in totals), "<u8")
-    counts = np.frombuffer(b"".join(r["counts"] for r in totals), "<i8")
-    order = np.argsort(words)
-    order = order[counts[order] * 4 * shards >= n]
-    words, counts = words[order], counts[order]
-    sums = rows.mapInArrow(_send_pairs(shards, words), _PAIRS_DDL).groupBy("shard").applyInArrow(_score_shard(n, v, words, counts), _SUMS_DDL)
-    return sums.groupBy("block").applyInArrow(
-        _finish(n, v), "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    sums, n, v = shard_sums(rows, shard_tokens)
+    documents = sums.groupBy("block", "position").agg(
+        *[F.max(c).alias(c) for c in ("id", "held_out", "n_tokens")], *[F.sum(c).alias(c) for c in ("score", "base", "known")]
     )
+    return documents.select(
+        "id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))).alias("base_score"), "score",
+    )
