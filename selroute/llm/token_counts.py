@@ -1,14 +1,17 @@
 """Token counts: batch encoding in Arrow functions that return lengths only.
 
-Long texts are split at positions no token reaches over, the pieces of a batch are grouped to batches of about equal bytes, and
-the lengths of pieces are added up per text. Nothing is shuffled and no ids leave the Python worker.
+Long texts are split at positions no token reaches over, the pieces of a batch are grouped to runs of about equal UTF-8 bytes, each
+run is one batch call of the library, and the lengths of pieces are added up per text. Nothing is shuffled and no ids leave the
+Python worker. A text without any safe position (one endless word) stays in one piece; so do all texts of models whose
+normaliser needs them whole.
 
-Defined cases: a null text counts as empty and has no bytes and no tokens; rows that repeat are counted like any others.
+Defined cases: a null text counts as empty and has no bytes and no tokens; rows that repeat are counted like any others; an empty
+table gives an empty result; only id and text are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +24,16 @@ PIECE_CHARS = 1 << 16
 BATCH_BYTES = 1 << 20
 
 
-def balanced(pieces: list[tuple[int, str]], limit: int) -> Iterator[list[tuple[int, str]]]:
-    """Runs of pieces of about ``limit`` characters each."""
+def utf8_length(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode())
+
+
+def balanced(pieces: Iterable[tuple[int, str]], limit: int) -> Iterator[list[tuple[int, str]]]:
+    """Runs of pieces of about ``limit`` bytes each."""
     held, run = 0, []
     for piece in pieces:
         run.append(piece)
-        held += len(piece[1])
+        held += utf8_length(piece[1]) + 1
         if held >= limit:
             yield run
             held, run = 0, []
@@ -40,13 +47,14 @@ def token_lengths(text: Column, name: str = BYTE_BPE, batch_bytes: int = BATCH_B
     @F.arrow_udf("long")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         t = tokenizer(name)
+        split = isinstance(t, ByteBpe)
         for batch in batches:
-            texts = batch.to_pylist()
-            totals = np.zeros(len(texts), np.int64)
-            split = isinstance(t, ByteBpe)
-            pieces = [(i, p) for i, x in enumerate(texts) for p in (split_safely(x or "", PIECE_CHARS) if split else [x or ""])]
+            totals = np.zeros(len(batch), np.int64)
+            pieces = (
+                (i, p) for i, x in enumerate(batch) for p in (split_safely(x.as_py() or "", PIECE_CHARS) if split else [x.as_py() or ""])
+            )
             for run in balanced(pieces, batch_bytes):
-                np.add.at(totals, [i for i, _ in run], [len(t.encode(p)) for _, p in run])
+                np.add.at(totals, [i for i, _ in run], t.lengths([p for _, p in run]))
             yield pa.array(totals, pa.int64())
 
     return count(text)

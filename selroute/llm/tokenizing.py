@@ -23,8 +23,10 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 BYTE_BPE = "byte_bpe_50k.json"
 _UNCOMMON = re.compile("[^\x00-ɏ]")
-# A white space character right after a visible ASCII character always starts a new pre-token, and no token reaches over it.
-_SAFE_CUT = re.compile(r"(?<=[!-~])[ \n\t]")
+# A white space character right after a visible ASCII character always starts a new pre-token, and no token reaches over it. The same
+# holds for white space and full-width marks right after a letter of a script that writes long lines without blanks (kana, Han,
+# Hangul): a run of letters ends there, and the special strings, which are ASCII, can't lie across.
+_SAFE_CUT = re.compile("(?<=[!-~])[ \n\t]|(?<=[\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3])[ \n\t\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f]")
 
 
 class ByteBpe:
@@ -56,6 +58,23 @@ class ByteBpe:
             ids.extend([self.special[part]] if part in self.special else self.ranks.encode_ordinary(part))
         return ids
 
+    def lengths(self, texts: list[str]) -> list[int]:
+        """Number of tokens of each text, by one batch call for all common texts and one for all others."""
+        out = [0] * len(texts)
+        common, other = [], []
+        for i, text in enumerate(texts):
+            if not text.isascii() and _UNCOMMON.search(text):
+                other.append(i)
+            elif self._split is not None and any(s in text for s in self.special):
+                out[i] = len(self.encode(text))
+            else:
+                common.append(i)
+        for i, ids in zip(common, self.ranks.encode_ordinary_batch([texts[i] for i in common], num_threads=1), strict=True):
+            out[i] = len(ids)
+        for i, found in zip(other, self.library.encode_batch([texts[i] for i in other], add_special_tokens=False), strict=True):
+            out[i] = len(found)
+        return out
+
     def decode(self, ids) -> bytes:
         return b"".join(map(self.pieces.__getitem__, ids))
 
@@ -69,6 +88,9 @@ class Pieces:
     def encode(self, text: str) -> list[int]:
         return self.model.encode(text, num_threads=1)
 
+    def lengths(self, texts: list[str]) -> list[int]:
+        return [len(ids) for ids in self.model.encode(texts, num_threads=1)]
+
     def decode(self, ids) -> bytes:
         return self.model.decode([int(i) for i in ids]).encode()
 
@@ -82,6 +104,9 @@ class Library:
     def encode(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
+    def lengths(self, texts: list[str]) -> list[int]:
+        return [len(found) for found in self.library.encode_batch(texts, add_special_tokens=False)]
+
     def decode(self, ids) -> bytes:
         return self.library.decode([int(i) for i in ids], skip_special_tokens=False).encode()
 

@@ -88,6 +88,34 @@ def test_safe_splits_keep_counts():
             assert "".join(parts) == text and sum(len(expected(p)) for p in parts) == len(expected(text))
 
 
+def test_lines_without_blanks_are_split_safely():
+    rng = random.Random(9)
+    for letters in ("日本語漢字仮名かなカナ", "한국어문장", "かなab漢"):
+        text = "".join(rng.choice(letters * 4 + "、。！？，；: \n'x") for _ in range(4000)) + "<|endoftext|>" + letters
+        parts = split_safely(text, 100)
+        assert "".join(parts) == text and len(parts) > 20 and sum(len(expected(p)) for p in parts) == len(expected(text))
+
+
+def test_lengths_come_from_batch_calls_on_runs_of_equal_bytes(messy, monkeypatch):
+    t = tokenizer(BYTE_BPE)
+    texts = [o * k for o in ODD for k in (1, 7)]
+    assert t.lengths(texts) == [len(expected(x)) for x in texts] and t.lengths([]) == []
+    for name in ("word_bpe_49k.json", "piece_bpe_32k.model"):
+        other = tokenizer(name)
+        assert other.lengths(texts) == [len(other.encode(x)) for x in texts]
+    pieces = [(i, x) for i, x in enumerate(["é" * 30, "a" * 60, "日" * 20, "b"] * 50)]
+    runs = list(token_counts.balanced(pieces, 600))
+    sizes = [sum(len(p.encode()) + 1 for _, p in run) for run in runs]
+    assert [p for run in runs for p in run] == pieces and all(600 <= n < 661 for n in sizes[:-1])
+
+
+def test_counts_with_clashing_names_and_small_batches(crowded, messy_rows, monkeypatch):
+    monkeypatch.setattr(token_counts, "PIECE_CHARS", 50)
+    counted = crowded.select("doc_id", "text", "n_tokens", token_counts.token_lengths(F.col("text"), batch_bytes=300).alias("found")).collect()
+    assert Counter((r.doc_id, r.found) for r in counted) == Counter((d, len(expected(t))) for d, t, *_ in messy_rows)
+    assert Counter(r.n_tokens for r in token_counts.count_tokens(crowded).collect()) == Counter(len(expected(t)) for _, t, *_ in messy_rows)
+
+
 def slow_best_fit(lengths, capacity):
     free = []
     for n in sorted(lengths, reverse=True):
