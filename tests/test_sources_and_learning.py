@@ -5,9 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from selroute.operators import learn as T
 from selroute.operators import splits as S
-from selroute.operators.metrics import auroc
 from selroute.session import shared_dir
 from selroute.sources import leaderboard as B
 from selroute.sources import runs as H
@@ -93,37 +91,6 @@ def test_shared_split_and_fraction(spark):
     assert {r.part: r["count"] for r in parts} == {"test": 4, "train": 7}
 
 
-def toy_prompts(spark):
-    rows = [(i, "m", f"{'red apple' if i % 2 else 'blue stone'} number{i % 7}", i % 2) for i in range(120)]
-    return spark.createDataFrame(rows, "row_id long, model string, prompt string, correct int")
-
-
-def test_rejector_separates_and_repeats(spark):
-    df = toy_prompts(spark)
-    first = T.run_rejector(df, "m", runs=1, epochs=(5,), train_rows=80, test_rows=40, features=256)
-    again = T.run_rejector(df, "m", runs=1, epochs=(5,), train_rows=80, test_rows=40, features=256)
-    assert first.count() == 40 and first.columns == ["model", "run", "epoch", "row_id", "logit", "label"]
-    assert auroc(first, ["model"], "logit").first().auroc > 0.95
-    a = {r.row_id: r.logit for r in first.collect()}
-    b = {r.row_id: r.logit for r in again.collect()}
-    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
-
-
-def test_one_class_model_has_no_rejector(spark):
-    df = toy_prompts(spark).withColumn("correct", F.lit(1))
-    features = T.text_features(df, features=64)
-    assert T.train_rejectors(T.featurise(df, features), ["m"]) == []
-
-
-def test_network_scores_are_probabilities(spark):
-    rows = [(i, [float(i % 2), 1.0 - i % 2], "m", i % 2) for i in range(60)]
-    df = spark.createDataFrame(rows, "sample_id long, embedding array<float>, model string, correct int")
-    networks = T.train_networks(df, ["m"], seed=1, hidden=(3,), max_iter=50)
-    got = T.score_networks(df, networks, ["sample_id"]).collect()
-    assert all(0.0 <= r.logit <= 1.0 for r in got)
-    assert all((r.logit > 0.5) == bool(r.sample_id % 2) for r in got)
-
-
 def test_registry_names_and_contract():
     import __spark_entry__ as entry
 
