@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from selroute.functions.scores import sigmoid
-from selroute.operators.ordering import ROWS_PER_BUCKET, digest_running, seeded_digest, value_running
+from selroute.operators.ordering import ROWS_PER_BUCKET, row_running, seeded_digest, value_running
 
 
 def threshold_counts(
@@ -133,32 +133,20 @@ def coverage_curve(
 ) -> DataFrame:
     """Accuracy of the most confident share of the rows, one output row per input row.
 
-    The rank is the number of rows with a better score plus the rank inside the run of equal scores.
-    Equal scores are ordered by the digest of the row id, so even one huge run of ties splits evenly.
+    Equal scores are ordered by the digest of the row id, so even one huge run of ties splits evenly. Every row is placed by
+    running totals in one pass; there is no join on the score.
     """
     known = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
-    base = threshold_counts(known, keys, score, label, rows_per_bucket).select(
-        *keys,
-        score,
-        (F.col("tp") - F.col("pos") + F.col("fp") - F.col("neg")).alias("__rows_ahead"),
-        (F.col("tp") - F.col("pos")).alias("__hits_ahead"),
-        (F.col("n_pos") + F.col("n_neg")).alias("__n"),
-    )
-    tied = digest_running(
-        known.select(*keys, score, row_id, label).withColumn("__digest", seeded_digest("tie", row_id)),
-        [*keys, score],
-        "__digest",
-        [row_id],
-        {"__row": F.lit(1), "__hit": (F.col(label) == 1).cast("long")},
-        rows_per_bucket,
-    )
-    rank = F.col("__rows_ahead") + F.col("__row_upto")
-    return tied.join(base, [*keys, score]).select(
+    rows = known.select(*keys, score, row_id, label).withColumn("__digest", seeded_digest("tie", row_id))
+    measures = {"__row": F.lit(1), "__hit": (F.col(label) == 1).cast("long")}
+    ranked = row_running(rows, keys, score, "__digest", [row_id], measures, rows_per_bucket)
+    rank = F.col("__row_upto")
+    return ranked.select(
         *keys,
         row_id,
         rank.cast("long").alias("rank"),
-        (rank / F.col("__n")).alias("coverage"),
-        ((F.col("__hits_ahead") + F.col("__hit_upto")) / rank).alias("accuracy"),
+        (rank / F.col("__row_total")).alias("coverage"),
+        (F.col("__hit_upto") / rank).alias("accuracy"),
     )
 
 

@@ -126,6 +126,44 @@ def with_value_bucket(
     return placed.withColumn(_BUCKET, bucket).drop("__edges", "__coarse")
 
 
+def heavy_values(df: DataFrame, keys: Sequence[str], value: str, large: DataFrame, rows_per_bucket: int) -> DataFrame | None:
+    """(keys, value, __cuts) of the values that hold more rows of a large group than one task should take, or nothing.
+
+    Only values with a good part of their group count (others fit into its buckets): such a value is an edge of the sketch for
+    certain, so it is the largest value of its own bucket."""
+    times = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__times"))
+    often = attach(times.where(F.col("__times") > rows_per_bucket), large, keys, [value]).where(F.col("__times") * 1024 > F.col("__rows"))
+    heavy = durable(often.select(*keys, value, F.ceil(F.col("__times") / rows_per_bucket).cast("long").alias("__cuts")))
+    return None if heavy.isEmpty() else heavy
+
+
+def row_running(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    digest: str,
+    tie: Sequence[str],
+    measures: Mapping[str, Column],
+    rows_per_bucket: int = ROWS_PER_BUCKET,
+) -> DataFrame:
+    """Running totals row by row, the greatest value first and equal values in digest order, without a join on the value.
+
+    Buckets follow the values; a value that holds too many rows for one bucket is cut further by its digests, which are even."""
+    df = _with_keys(df, keys)
+    order = [F.col(value).desc(), F.col(digest), *[F.col(t) for t in tie]]
+    large = large_groups(df, keys, rows_per_bucket)
+    if large is None:
+        return running_totals(df, keys, order, measures)
+    placed = with_value_bucket(df, keys, value, True, large, rows_per_bucket)
+    heavy = heavy_values(df, keys, value, large, rows_per_bucket)
+    if heavy is not None:
+        # The heavy value is the greatest of its bucket, so its cuts come before all else in there.
+        prefix = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+        cut = F.coalesce(F.shiftrightunsigned(prefix * F.col("__cuts"), 32), F.lit((1 << 31) - 1).cast("long"))
+        placed = attach(placed, heavy, [*keys, value], [digest], "left").withColumn(_BUCKET, F.col(_BUCKET) * (1 << 31) + cut).drop("__cuts")
+    return running_totals(placed, keys, order, measures, bucket=_BUCKET).drop(_BUCKET)
+
+
 def value_running(
     df: DataFrame,
     keys: Sequence[str],
@@ -136,11 +174,12 @@ def value_running(
 ) -> DataFrame:
     """One row per distinct (keys, value): each measure summed, its running sum and its group total.
 
-    The first step collapses equal values before anything is shuffled, so tied scores cost one row.
+    The first step collapses equal values before anything is shuffled, so tied scores cost one row. These counts are written
+    once; sizes of groups, edges of buckets, offsets and the result are all read from them, so ``df`` is read a single time.
     Groups are sized by their distinct values.
     """
     names = list(measures)
-    counted = _with_keys(df, keys).groupBy(*keys, value).agg(*[F.sum(c).alias(n) for n, c in measures.items()])
+    counted = durable(_with_keys(df, keys).groupBy(*keys, value).agg(*[F.sum(c).alias(n) for n, c in measures.items()]))
     direction = F.col(value).desc() if descending else F.col(value).asc()
     totals = {n: F.col(n) for n in names}
     large = large_groups(counted, keys, rows_per_bucket)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from selroute.operators.ordering import EDGE_FAN, ROWS_PER_BUCKET, attach, large_groups, with_value_bucket
+from selroute.operators.ordering import EDGE_FAN, ROWS_PER_BUCKET, attach, heavy_values, large_groups, with_value_bucket
 from selroute.session import durable
 
 MARGIN = 8.0  # standard deviations on each side of the expected place of the k-th digest
@@ -239,12 +239,8 @@ def _placed(rows: DataFrame, keys: Sequence[str], rows_per_bucket: int) -> DataF
     wanted = F.least(F.ceil(F.col("__rows") / rows_per_bucket), F.lit(EDGE_FAN**2))
     joined = F.floor(F.col("__bucket") / F.ceil(EDGE_FAN**2 / wanted)).cast("long")
     placed = attach(placed, large, keys, ["__id"], "left").withColumn("__bucket", F.coalesce(joined, "__bucket")).drop("__rows")
-    often = rows.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__times")).join(large, list(keys)) if keys else (
-        rows.groupBy("__v").agg(F.count(F.lit(1)).alias("__times")).crossJoin(F.broadcast(large))
-    )
-    # At this share of the rows a value is an edge between buckets for certain, hence the largest value of its own.
-    heavy = durable(often.where((F.col("__times") > rows_per_bucket) & (F.col("__times") * 1024 > F.col("__rows"))).select(*keys, "__v", F.ceil(F.col("__times") / rows_per_bucket).cast("int").alias("__cuts")))
-    if heavy.isEmpty():
+    heavy = heavy_values(rows, keys, "__v", large, rows_per_bucket)
+    if heavy is None:
         return placed.withColumns({k: none[k] for k in ("__heavy", "__salt")})
     marked = attach(placed, heavy, [*keys, "__v"], ["__id"], "left")
     salt = F.coalesce(F.pmod(F.xxhash64("__id"), F.col("__cuts")).cast("int"), F.lit(0))

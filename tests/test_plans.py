@@ -1,5 +1,6 @@
 """Plans: large groups must not meet in one task, and no join runs on a constant."""
 
+import hashlib
 import re
 
 import pytest
@@ -80,6 +81,44 @@ def test_outliers_and_packed_values(spark, per_bucket):
     assert quantiles.mid == sorted(s for i, s, _ in rows if i < 2000)[498]
 
 
+@pytest.mark.parametrize("per_bucket", [1 << 20, 100])
+def test_one_score_for_all_rows_is_cut_by_digests(spark, joins, per_bucket):
+    """A group of one score, and one whose commonest score holds half of the rows: ranks are right, no join on the score."""
+    rows = spark.range(1500).selectExpr("CASE WHEN id % 3 = 0 THEN 'same' ELSE 'half' END AS g", "id AS row_id", "CASE WHEN id % 3 = 0 OR id % 2 = 0 THEN 0.5D ELSE CAST(id % 11 AS DOUBLE) / 10 END AS score", "CAST(id % 7 < 3 AS INT) AS label")
+    curve = M.coverage_curve(rows, ["g"], "row_id", rows_per_bucket=per_bucket)
+    got = sorted((r.g, r.rank, r.row_id, round(r.accuracy, 9)) for r in curve.collect())
+    want = []
+    for g in ("half", "same"):
+        own = sorted((r for r in rows.collect() if r.g == g), key=lambda r: (-r.score, hashlib.md5(f"tie-{r.row_id}".encode()).hexdigest()))
+        hits = 0
+        for k, r in enumerate(own, 1):
+            hits += r.label
+            want.append((g, k, r.row_id, round(hits / k, 9)))
+    assert got == want
+    if per_bucket == 100:
+        text = plan(curve)
+        windows = re.findall(r"Window \[.*?\], \[([^\]]*)\]", text)
+        assert any("__bucket" in w for w in windows)
+        assert not re.search(r"Join \[g#\d+, score#", text)
+
+
+def test_the_input_of_running_totals_is_read_once(spark, tmp_path):
+    spark.range(3000).selectExpr("CAST(id % 2 AS STRING) AS g", "CAST(id * 7919 % 2003 AS DOUBLE) AS score", "CAST(id % 3 = 0 AS INT) AS label").write.parquet(str(tmp_path / "in"))
+    seen = spark.sparkContext.accumulator(0)
+    import pyarrow as pa  # counts the rows that pass
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield pa.RecordBatch.from_arrays(batch.columns, batch.schema.names)
+
+    rows = spark.read.parquet(str(tmp_path / "in")).mapInArrow(count, "g string, score double, label int")
+    for per_bucket in (1 << 20, 200):
+        before = seen.value
+        M.threshold_counts(rows, ["g"], rows_per_bucket=per_bucket).collect()
+        assert seen.value - before == 3000
+
+
 def test_text_scores_stay_in_their_rows(spark):
     df = spark.createDataFrame([(1, "a cat sat", "a cat sat"), (1, "dog", "cat"), (2, "", ""), (3, None, "x")], "row_id long, pred string, ref string")
     for scored in (score_token_f1(df, "row_id"), score_bleu4(df, "row_id")):
