@@ -138,26 +138,28 @@ def _text_sql(expr: str) -> str:
     return f"""CASE WHEN json_type({expr}) = 'ARRAY' THEN array_to_string(from_json({expr}, '["VARCHAR"]'), ' | ') ELSE coalesce({expr} ->> '$', '') END"""
 
 
+def _signature(keys: list[str]) -> str:
+    return ",".join(sorted(keys)).replace("'", "''")
+
+
 def _prompt_case() -> str:
     arms = []
     for keys, fields, _ in D.DOCUMENT_RULES:
-        if len(keys) > 30:
-            continue
         def path(f):
             return "doc -> '$." + f + "'"
 
         chunks = " || ' ' || ".join(f"'{f}: ' || {_text_sql('(' + path(f) + ')')}" for f in fields)
-        arms.append(f"WHEN '{','.join(sorted(keys))}' THEN {chunks}")
+        arms.append(f"WHEN '{_signature(keys)}' THEN {chunks}")
     return "CASE replace(signature, chr(31), ',') " + " ".join(arms) + " END"
 
 
 def _metric_case() -> str:
-    arms = [f"WHEN '{','.join(sorted(k))}' THEN {m}" for k, _, m in D.DOCUMENT_RULES if len(k) <= 30]
+    arms = [f"WHEN '{_signature(k)}' THEN {m}" for k, _, m in D.DOCUMENT_RULES]
     return "CASE replace(signature, chr(31), ',') " + " ".join(arms) + " END"
 
 
 def _name_case() -> str:
-    arms = [f"WHEN '{','.join(sorted(k))}' THEN '{m}'" for k, _, m in D.DOCUMENT_RULES if len(k) <= 30]
+    arms = [f"WHEN '{_signature(k)}' THEN '{m}'" for k, _, m in D.DOCUMENT_RULES]
     return "CASE replace(signature, chr(31), ',') " + " ".join(arms) + " END"
 
 

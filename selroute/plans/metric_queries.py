@@ -10,6 +10,7 @@ from selroute.operators import metrics as M
 from selroute.operators import transfer as X
 from selroute.operators.ordering import first_per_group, value_running
 from selroute.operators.reshape import pivot_mean
+from selroute.operators.labels import BLEU_GRID
 from selroute.plans.registry import query, r6, rounded
 
 _BUNDLE = """round((sum(rk * label) - sum(label) * (sum(label) + 1) / 2.0) / nullif(sum(label) * sum(1 - label), 0), 6) AS auroc,
@@ -214,12 +215,11 @@ def _(v):
 
 @query(
     "b14_pivot_mean",
-    """SELECT f1, round(avg(auroc) FILTER (bleu = 0.1), 6) AS "0.1", round(avg(auroc) FILTER (bleu = 0.4), 6) AS "0.4"
-      FROM results WHERE f1 IS NOT NULL GROUP BY 1""",
+    "SELECT f1, " + ", ".join(f'round(avg(auroc) FILTER (bleu = {b}), 6) AS "{b}"' for b in BLEU_GRID) + " FROM results WHERE f1 IS NOT NULL GROUP BY 1",
 )
 def _(v):
-    wide = pivot_mean(v.results.where("f1 IS NOT NULL"), "f1", "bleu", "auroc", [0.1, 0.4])
-    return wide.select("f1", *[r6(F.col(f"`{c}`")).alias(c) for c in ("0.1", "0.4")])
+    wide = pivot_mean(v.results.where("f1 IS NOT NULL"), "f1", "bleu", "auroc", list(BLEU_GRID))
+    return wide.select("f1", *[r6(F.col(f"`{b}`")).alias(str(b)) for b in BLEU_GRID])
 
 
 @query(
@@ -334,6 +334,11 @@ def _(v):
     return rounded(A.label_auroc(_human(v, "task"), ["task", "metric"]), "auroc", "aupr")
 
 
+@query("i14_sliced_rule_accuracy", "SELECT task, metric, round(avg(CAST(label = value AS INT)), 6) AS accuracy FROM human_long GROUP BY ALL")
+def _(v):
+    return rounded(A.rule_accuracy(_human(v, "task"), ["task", "metric"]), "accuracy")
+
+
 @query("i14_sliced_balanced", f"WITH {_repeated('task, metric', _MANY_SEEDS)} SELECT * FROM bal")
 def _(v):
     out = A.balanced_accuracy(_human(v, "task"), ["task", "metric"], ["doc_id"], 1000)
@@ -343,14 +348,13 @@ def _(v):
 @query(
     "i15_agreement_report",
     f"""WITH {_repeated('metric', _HUNDRED_SEEDS)}, sp AS ({_SPEARMAN.format(k='metric,', p='metric')}),
-    rk2 AS (SELECT metric, label, value, rank() OVER (PARTITION BY metric ORDER BY value) + (count(*) OVER (PARTITION BY metric, value) - 1) / 2.0 AS rk FROM human_long),
-    au AS (SELECT metric, round((sum(rk * label) - sum(label) * (sum(label) + 1) / 2.0) / nullif(sum(label) * sum(1 - label), 0), 6) AS auroc FROM rk2 GROUP BY 1),
+    au AS ({_AUC.format(k='metric')}),
     un AS (SELECT metric, round(avg(CAST(label = value AS INT)), 6) AS unbal_acc FROM human_long GROUP BY 1)
     SELECT * FROM sp FULL JOIN au USING (metric) FULL JOIN un USING (metric) FULL JOIN bal USING (metric)""",
 )
 def _(v):
-    out = A.agreement_report(_human(v), ["metric"], ["doc_id"], 100).drop("aupr")
-    names = ("spearman", "auroc", "unbal_acc", "bal_acc", "bal_acc_std", "threshold", "threshold_std")
+    out = A.agreement_report(_human(v), ["metric"], ["doc_id"], 100)
+    names = ("spearman", "auroc", "aupr", "unbal_acc", "bal_acc", "bal_acc_std", "threshold", "threshold_std")
     return rounded(out, *names).orderBy(F.desc("spearman"))
 
 
@@ -408,14 +412,15 @@ def _(v):
 
 @query(
     "c3_full_outer_reports",
-    """SELECT metric, c.n, round(a.mean, 6) AS mean FROM (SELECT metric, count(*) AS n FROM human_long WHERE label = 1 AND value > 600 GROUP BY 1) c
-    FULL JOIN (SELECT metric, avg(value) AS mean FROM human_long WHERE value < 500 GROUP BY 1) a USING (metric)""",
+    f"""WITH own AS (SELECT * FROM human_long WHERE metric <> 'm1' OR task <> 'src0'), sp AS ({_SPEARMAN.format(k='task, metric,', p='task, metric').replace(
+        "corr(rx, ry)", "CASE WHEN stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 THEN corr(rx, ry) END").replace("human_long", "own")}),
+    au AS ({_AUC.format(k='task, metric')}) SELECT task, metric, spearman, auroc, aupr FROM sp FULL JOIN au USING (task, metric)""",
 )
 def _(v):
-    rows = _human(v)
-    n = rows.where("label = 1 AND value > 600").groupBy("metric").agg(F.count(F.lit(1)).alias("n"))
-    mean = rows.where("value < 500").groupBy("metric").agg(r6(F.avg("value")).alias("mean"))
-    return n.join(mean, "metric", "full")
+    """Correlations of all slices but one beside the areas of the slices whose metric varies; a slice of either report stays."""
+    rows = _human(v, "task")
+    correlated = A.spearman(rows.where("metric <> 'm1' OR task <> 'src0'"), ["task", "metric"])
+    return rounded(correlated.join(A.label_auroc(rows, ["task", "metric"]), ["task", "metric"], "full"), "spearman", "auroc", "aupr")
 
 
 @query(

@@ -9,6 +9,8 @@ from selroute.operators import routing as R
 from selroute.operators import selection as G
 from selroute.operators import transfer as X
 from selroute.operators.calibration import calibrated_scores
+from selroute.operators.fits import score_networks
+from selroute.operators.learn import train_networks
 from selroute.operators.reshape import to_wide
 from selroute.plans.registry import query, r6, rounded
 from selroute.plans.views import MODELS
@@ -417,7 +419,10 @@ _ALL = f"""{_KNEE}, {_TAUS}, {_CALIBRATED},
       UNION ALL SELECT 'calibrated', run, sample_id, model FROM (
         SELECT *, row_number() OVER (PARTITION BY run, sample_id ORDER BY logit DESC, model) AS r FROM cal) WHERE r = 1),
     accs AS (SELECT strategy, run, avg(CAST(coalesce(correct, 0) AS DOUBLE)) AS accuracy FROM routed LEFT JOIN test_correct USING (sample_id, model) GROUP BY ALL),
-    {_BOUNDS}, everything AS (SELECT strategy, accuracy FROM accs UNION ALL FROM bounds)"""
+    {_BOUNDS}, pvotes AS (SELECT test_id AS sample_id, model, round(avg(CAST(correct AS DOUBLE)), 9) AS logit FROM prompt_knn JOIN correct ON sample_id = train_id GROUP BY ALL),
+    proute AS (SELECT sample_id, model FROM (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY logit DESC, model) AS r FROM pvotes WHERE logit IS NOT NULL) WHERE r = 1),
+    everything AS (SELECT strategy, accuracy FROM accs UNION ALL FROM bounds UNION ALL
+      SELECT 'knn', avg(CAST(coalesce(correct, 0) AS DOUBLE)) FROM proute LEFT JOIN test_correct USING (sample_id, model))"""
 
 
 def _all_routes(v):
@@ -440,11 +445,47 @@ def _all_routes(v):
     return out
 
 
+def _vectors_of(v, ids):
+    return v.prompt_vectors.join(ids.withColumnRenamed("sample_id", "vec_id"), "vec_id")
+
+
+def _rated(v, routes, strategy):
+    accuracy = R.chosen_accuracy(routes, v.routing.test_correct, ["sample_id"], missing="zero")
+    return accuracy.select(F.lit(strategy).alias("strategy"), "accuracy")
+
+
+def _knn_strategy(v):
+    """Neighbours among the training prompts vote for the models that answered them."""
+    data = v.routing
+    found = K.nearest_neighbours(_vectors_of(v, data.test_ids), _vectors_of(v, data.train_ids), 40)
+    votes = K.neighbour_scores(found, v.correct).withColumn("logit", F.round("logit", 9)).withColumnRenamed("test_id", "sample_id")
+    return _rated(v, R.best_scored(votes, ["sample_id"]), "knn")
+
+
+def _network_strategy(v, hidden):
+    """A network per model on the vectors of the training prompts; the most confident model answers."""
+    data = v.routing
+    labels = v.correct.join(data.train_ids, "sample_id", "left_semi").withColumnRenamed("sample_id", "vec_id")
+    networks = train_networks(_vectors_of(v, data.train_ids).join(labels, "vec_id"), MODELS, seed=0, hidden=hidden)
+    scores = score_networks(_vectors_of(v, data.test_ids), networks, MODELS, ["vec_id"]).withColumnRenamed("vec_id", "sample_id")
+    return _rated(v, R.best_scored(scores, ["sample_id"]), "mlp_" + "_".join(map(str, hidden)))
+
+
+def _all_strategies(v):
+    per_run = R.chosen_accuracy(_all_routes(v), v.routing.test_correct, ["sample_id"], ["strategy", "run"], missing="zero")
+    return per_run.select("strategy", "accuracy").unionByName(_bounds(v)).unionByName(_knn_strategy(v))
+
+
 @query("m12_strategy_summary", f"WITH {_ALL} SELECT strategy, round(avg(accuracy), 6) AS mean_accuracy FROM everything GROUP BY 1")
 def _(v):
-    per_run = R.chosen_accuracy(_all_routes(v), v.routing.test_correct, ["sample_id"], ["strategy", "run"], missing="zero")
-    everything = per_run.select("strategy", "accuracy").unionByName(_bounds(v))
-    return rounded(R.strategy_summary(everything), "mean_accuracy")
+    return rounded(R.strategy_summary(_all_strategies(v)), "mean_accuracy")
+
+
+@query("m12_nine_strategies")
+def _(v):
+    """The same table with both networks, whose fitted values SQL can't state."""
+    networks = _network_strategy(v, (1,)).unionByName(_network_strategy(v, (100, 100)))
+    return rounded(R.strategy_summary(_all_strategies(v).unionByName(networks)), "mean_accuracy")
 
 
 @query("d13_mean_by_group", f"WITH {_ROUTE}, a AS ({_ACC0.format(t='raw')}) SELECT run % 2 AS layers, round(avg(accuracy), 6) AS mean_accuracy FROM a GROUP BY 1")

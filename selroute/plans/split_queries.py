@@ -79,10 +79,15 @@ def _(v):
 
 @query(
     "e6_position_split",
-    """SELECT doc_id, CASE WHEN r <= 600 THEN 'train' ELSE 'test' END AS part FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('42-' || doc_id), doc_id) AS r FROM documents) WHERE r <= 800""",
+    """SELECT doc_id, CASE WHEN r <= (10 * n + 11) // 12 THEN 'train' ELSE 'test' END AS part FROM (
+      SELECT doc_id, row_number() OVER (ORDER BY md5('42-' || doc_id), doc_id) AS r, count(*) OVER () AS n FROM documents)""",
 )
 def _(v):
-    return S.position_split(v.table("documents").select("doc_id"), 42, ["doc_id"], 600, 200)
+    """Ten parts of twelve train, two test: the proportion of the original positions, over all documents."""
+    docs = v.table("documents").select("doc_id")
+    n = docs.count()
+    train = (10 * n + 11) // 12
+    return S.position_split(docs, 42, ["doc_id"], train, n - train)
 
 
 _BANK_SQL = """SELECT sample_id, CASE WHEN r <= floor(n * 0.05) THEN 'bank' ELSE 'train' END AS part FROM (
@@ -125,7 +130,7 @@ def _(v):
 
 
 _TRANSLATED = """tr AS (SELECT *, array_to_string(list_transform(refs, lambda r: r.output.text), chr(10) || '---' || chr(10)) AS reference_text FROM run_rows),
-    common AS (SELECT reference_text FROM tr WHERE task = 'wmt_14' GROUP BY 1 HAVING count(DISTINCT model) = 3)"""
+    common AS (SELECT reference_text FROM tr WHERE task = 'wmt_14' GROUP BY 1 HAVING count(DISTINCT model) = 10)"""
 
 
 @query("g3_shared_reference_texts", f"WITH {_TRANSLATED} SELECT row_id, reference_text FROM tr WHERE task = 'wmt_14' AND reference_text IN (FROM common)")
@@ -154,7 +159,7 @@ def _(v):
     f"""WITH {_TRANSLATED}, once AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model, instance_id ORDER BY row_order) AS r
         FROM tr WHERE task IN ('narrative_qa', 'natural_qa')) WHERE r = 1),
     ids AS (SELECT task, instance_id, row_number() OVER (PARTITION BY task ORDER BY md5('1-' || instance_id), instance_id) AS k
-        FROM (SELECT task, instance_id FROM once GROUP BY ALL HAVING count(DISTINCT model) = 3)),
+        FROM (SELECT task, instance_id FROM once GROUP BY ALL HAVING count(DISTINCT model) = 10)),
     texts AS (SELECT reference_text, row_number() OVER (ORDER BY md5('1-' || reference_text), reference_text) AS k FROM common)
     SELECT row_id, model, task, instance_id, reference_text FROM once WHERE instance_id IN (SELECT instance_id FROM ids WHERE k <= 30)
     UNION ALL SELECT row_id, model, task, instance_id, reference_text FROM tr WHERE task = 'wmt_14' AND reference_text IN (SELECT reference_text FROM texts WHERE k <= 30)""",

@@ -12,9 +12,15 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from selroute.functions.documents import DOCUMENT_RULES
+from selroute.operators.labels import BLEU_GRID, F1_GRID
+
 MODELS = tuple(f"model_{m}" for m in range(10))
 TASKS = ("legalbench", "mmlu", "narrative_qa", "commonsense", "wmt_14", "gsm", "math", "med_qa", "natural_qa")
-RULE_KEYS = ((0.1, 0.1, None), (0.1, 0.4, None), (0.9, 0.1, None), (0.9, 0.4, None), (None, None, "Een"), (None, None, "Vee"))
+# Every cell of the threshold grid and two similarity rules.
+RULE_KEYS = (*((f, b, None) for f in F1_GRID for b in BLEU_GRID), (None, None, "Een"), (None, None, "Vee"))
+# A run stores the predictions of its own test rows, a sixth of all.
+_TESTED = "(d * 31 + run * 17) % 6 = 0"
 
 # Expressions that both engines read alike. d is the document number (kept small enough to square), m the
 # model number, h a number in -1000..1000.
@@ -24,6 +30,13 @@ _GAP = "(d * 13 + m * 7) % 23 = 0"
 _CORRECT = f"CASE WHEN {_GAP} THEN NULL WHEN {_HIT} THEN 1 ELSE 0 END"
 
 _P = "event_type, ' ', CAST(user_id AS STRING)"
+# The document with the most keys: each has a short value, the question one of its own. Its one apostrophe is written as a tilde.
+_EXPERT_KEYS = max((keys for keys, _, _ in DOCUMENT_RULES), key=len)
+_EXPERT = (
+    "concat(replace('{"
+    + ", ".join(f'"{k}":"v{i % 7}"' for i, k in enumerate(_EXPERT_KEYS) if k != "Question").replace("'", "~")
+    + f"""', '~', chr(39)), ', "Question":"', {_P}, '"}}')"""
+)
 _DOC = f"""CASE event_id % 10
  WHEN 0 THEN concat('{{"level":"L1","type":"t","problem":"', {_P}, '","solution":"s","answer":"a"}}')
  WHEN 1 THEN concat('{{"input":"', {_P}, '","target":"x"}}')
@@ -34,7 +47,7 @@ _DOC = f"""CASE event_id % 10
  WHEN 6 THEN concat('{{"section_id":"s","passage":"', {_P}, '","question":"how many?","query_id":"z","id":"i","answers":["1"],"answer":{{"number":"","date":{{"day":"","month":"","year":""}},"spans":[],"worker_id":"","hit_id":""}},"validated_answers":{{"number":[],"date":[],"spans":[],"worker_id":[],"hit_id":[]}}}}')
  WHEN 7 THEN concat('{{"id":"i","question":"', {_P}, '","answerKey":"A","choices":{{"text":["left","right"],"label":["A","B"]}}}}')
  WHEN 8 THEN '{{"question":null,"answer":"x"}}'
- ELSE CASE WHEN event_id % 20 = 9 THEN '{{"zzz":1}}' ELSE '{{"a":{{"b":{{"c":{{"d":{{"e":{{"f":1,"g":"}}"}}}}}}}}}}}}' END END"""
+ ELSE CASE WHEN event_id % 60 = 9 THEN {_EXPERT} WHEN event_id % 20 = 9 THEN '{{"zzz":1}}' ELSE '{{"a":{{"b":{{"c":{{"d":{{"e":{{"f":1,"g":"}}"}}}}}}}}}}}}' END END"""
 _METRIC_TEXT = "CASE (event_id + {k}) % 5 WHEN 0 THEN 'True' WHEN 1 THEN 'False' WHEN 2 THEN '1.0' WHEN 3 THEN '0.0' ELSE NULL END"
 
 _STAT = "(d * 31 + m * 17 + d * m * 7) % 101"
@@ -154,9 +167,9 @@ class Views:
             ]
         )
         three = F.array(*[F.lit(i) for i in range(3)])
-        base = self.per_model.where("m < 3").select("doc_id", "d", "m", "model", F.inline(rules))
+        base = self.per_model.withColumn("run", F.explode(three)).where(_TESTED)
         return (
-            base.withColumn("run", F.explode(three))
+            base.select("doc_id", "d", "m", "model", "run", F.inline(rules))
             .withColumn("epoch", F.explode(three))
             .selectExpr("*", f"{_H} AS h")
             .selectExpr(
@@ -202,7 +215,7 @@ class Views:
     @cached_property
     def run_rows(self) -> DataFrame:
         """Answers with reference lists: (row_id, model, instance_id, task, row_order, predicted_text, references, stats_*)."""
-        base = self.per_model.where("m < 3").join(self.table("documents").select("doc_id", "source", "lang", "n_chars"), "doc_id")
+        base = self.per_model.join(self.table("documents").select("doc_id", "source", "lang", "n_chars"), "doc_id")
         task = "element_at(array('narrative_qa', 'natural_qa', 'wmt_14', 'math', 'commonsense'), CAST(d % 5 AS INT) + 1)"
         rows = base.where("(d * 13 + m * 7) % 23 <> 0").selectExpr("*", f"{task} AS task", f"{_STAT} AS s").withColumn(
             "copy", F.explode(F.when(F.expr("(d + m) % 17 = 0"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
@@ -253,6 +266,13 @@ class Views:
             "vec_id AS sample_id", "concat('model_', CAST(m AS STRING)) AS model", "CAST(abs(label - m) <= 2 AS INT) AS correct"
         )
 
+    @cached_property
+    def prompt_vectors(self) -> DataFrame:
+        """(vec_id, embedding): a vector for every document, the table of vectors taken round and round."""
+        vectors = self.table("embeddings").select(F.col("vec_id").alias("at"), "embedding")
+        docs = self.table("documents").select(F.col("doc_id").alias("vec_id"))
+        return docs.withColumn("at", F.col("vec_id") % F.lit(max(1, vectors.count()))).join(vectors, "at").select("vec_id", "embedding")
+
     @cached_property
     def routing(self) -> "RoutingData":
         return RoutingData(self)
@@ -270,6 +290,7 @@ class RoutingData:
         # The splits are read many times; they hold one id per prompt and are written once.
         split = durable(fraction_split(samples, 42, ["sample_id"], 0.3))
         self.test_ids = split.where("part = 'test'").select("sample_id")
+        self.train_ids = split.where("part = 'train'").select("sample_id")
         train = correct.join(split.where("part = 'train'").select("sample_id"), "sample_id", "left_semi")
         parts = durable(bank_split(train, 0.05))
         self.bank_ids = parts.where("part = 'bank'").select("sample_id")
@@ -327,7 +348,8 @@ CTES: dict[str, str] = {
     "predictions": """SELECT model, f1, bleu, similarity, run, epoch, doc_id AS row_id,
         CAST(h + (d * 433 + run * 6007 + epoch * 991 + u * 77) % (1201 - epoch * 200) AS DOUBLE) / 250 AS logit,
         CASE WHEN h + ((d * 613 + m * 977 + u * 131) % 2001 - 1000) > 0 THEN 1 ELSE 0 END AS label
-        FROM hashed, rule_keys, (VALUES (0), (1), (2)) r(run), (VALUES (0), (1), (2)) e(epoch) WHERE m < 3""",
+        FROM hashed, rule_keys, (VALUES (0), (1), (2)) r(run), (VALUES (0), (1), (2)) e(epoch) WHERE """
+    + f"{_TESTED}",
     "ranked_predictions": """SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY model, f1, bleu, similarity, run, epoch, logit) - 1) / 2.0 AS rk
         FROM predictions WINDOW w AS (PARTITION BY model, f1, bleu, similarity, run, epoch ORDER BY logit)""",
     "results": """SELECT model, f1, bleu, similarity, run, epoch,
@@ -357,7 +379,7 @@ CTES: dict[str, str] = {
         CAST((s + m) % 2 AS DOUBLE) AS stats_math_equiv_chain_of_thought
         FROM (SELECT p.*, t.source, t.lang, t.n_chars, {_STAT} AS s,
                 ['narrative_qa', 'natural_qa', 'wmt_14', 'math', 'commonsense'][d % 5 + 1] AS task
-              FROM per_model p JOIN documents t USING (doc_id) WHERE m < 3 AND (d * 13 + m * 7) % 23 <> 0) q,
+              FROM per_model p JOIN documents t USING (doc_id) WHERE (d * 13 + m * 7) % 23 <> 0) q,
              (VALUES (0), (1)) c(copy) WHERE copy = 0 OR (d + m) % 17 = 0""",
     "class_scores": """SELECT conv_id * 1000 + turn AS row_id, ref_pos, direction,
         [CAST((conv_id * 7 + turn * 3 + ref_pos * 5 + direction * conv_id) % 11 AS DOUBLE),
@@ -373,10 +395,15 @@ CTES: dict[str, str] = {
         WHERE rank <= 40""",
     "embedded_correct": f"""SELECT vec_id AS sample_id, 'model_' || m AS model, CAST(abs(label - m) <= 2 AS INT) AS correct
         FROM embeddings, {_MODEL_RANGE}""",
+    "prompt_vectors": """SELECT doc_id AS sample_id, CAST(embedding AS DOUBLE[]) AS embedding FROM documents
+        JOIN embeddings ON vec_id = doc_id % (SELECT count(*) FROM embeddings)""",
     # Routing experiment: 30 % test by digest, bank of the most complete 5 % of the rest.
     "split_ids": """SELECT doc_id AS sample_id, CASE WHEN row_number() OVER (ORDER BY md5('42-' || doc_id), doc_id)
         <= ceil(count(*) OVER () * 0.3) THEN 'test' ELSE 'train' END AS part FROM documents""",
     "test_ids": "SELECT sample_id FROM split_ids WHERE part = 'test'",
+    "prompt_knn": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY test_id ORDER BY similarity DESC, train_id) AS rank FROM (
+        SELECT t.sample_id AS test_id, n.sample_id AS train_id, round(list_cosine_similarity(t.embedding, n.embedding), 9) AS similarity
+        FROM prompt_vectors t, prompt_vectors n WHERE t.sample_id IN (FROM test_ids) AND n.sample_id NOT IN (FROM test_ids))) WHERE rank <= 40""",
     "bank_ids": """SELECT sample_id FROM (SELECT sample_id, row_number() OVER (ORDER BY gaps, md5('bank-' || sample_id), sample_id) AS r,
         count(*) OVER () AS n FROM (SELECT sample_id, count(*) FILTER (correct IS NULL) AS gaps FROM correct
         WHERE sample_id IN (SELECT sample_id FROM split_ids WHERE part = 'train') GROUP BY 1)) WHERE r <= floor(n * 0.05)""",
