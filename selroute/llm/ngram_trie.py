@@ -14,9 +14,8 @@ of its own word and one shuffle carries counts and questions alike:
 2. Blocks send their distinct (word, context) pairs with references to their documents. The shard of a pair is a hash of the word,
    for the frequent words of step 1 a hash of the pair, so no word fills a task. A shard counts what comes from training documents,
    builds its trie, asks it for every pair and adds up per document it was asked about.
-3. A row per shard and document it met, with the document's sums there, goes through a DataFrame sum by (block, position), which
-   adds up within a task before anything moves. A shard gives no row for documents it has no word of, so rows stay below the number
-   of tokens whatever the number of shards is.
+3. A shard answers a block with the sums of the documents it met there, and with nothing for the others. So all answers to a
+   block hold no more entries than the block has tokens, whatever the number of shards is; they are added up by block.
 
 The number of shards follows the corpus (``SHARD_TOKENS`` tokens each) without a limit. Nothing is pruned or sampled. Pairs are told
 apart by 64 bits of the word and ``CONTEXT_BITS`` bits of the context: of a word with c different contexts about c / 2 ** 32 share
@@ -308,21 +307,10 @@ def _send_pairs(shards: int, frequent: np.ndarray):
 
 
 _SUMS = pa.schema(
-    [("block", pa.int64()), ("position", pa.int32()), ("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
-     ("score", pa.float64()), ("base", pa.float64()), ("known", pa.int64())]
+    [("block", pa.int64()), ("docs", pa.binary()), ("score", pa.binary()), ("base", pa.binary()), ("known", pa.binary()),
+     ("train", pa.binary()), ("ids", pa.list_(pa.int64())), ("n_tokens", pa.binary())]
 )
-_SUMS_DDL = "block long, position int, id long, held_out boolean, n_tokens long, score double, base double, known long"
-
-
-def _headers(table: pa.Table) -> list[pa.RecordBatch]:
-    """One row per document of a block, with what is known without any count."""
-    out = []
-    for block, train, ids, n_tokens in zip(*(table[c].to_pylist() for c in ("block", "train", "ids", "n_tokens")), strict=True):
-        n = len(ids)
-        held_out = np.unpackbits(np.frombuffer(train, np.uint8), bitorder="little")[:n] == 0
-        columns = [np.full(n, block), np.arange(n, dtype=np.int32), ids, held_out, np.frombuffer(n_tokens, "<i8"), np.zeros(n), np.zeros(n), np.zeros(n, np.int64)]
-        out.append(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SUMS, strict=True)], schema=_SUMS))
-    return out
+_SUMS_DDL = "block long, docs binary, score binary, base binary, known binary, train binary, ids array<long>, n_tokens binary"
 
 
 def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
@@ -335,7 +323,10 @@ def _score_shard(n: int, v: int, frequent: np.ndarray, frequent_counts: np.ndarr
     def run(table: pa.Table) -> pa.Table:
         is_ids = pa.compute.is_valid(table["n_tokens"])
         headers, sent = table.filter(is_ids), table.filter(pa.compute.invert(is_ids))
-        out = _headers(headers)
+        out = [
+            {"block": b, "train": t, "ids": i, "n_tokens": k}
+            for b, t, i, k in zip(*(headers[c].to_pylist() for c in ("block", "train", "ids", "n_tokens")), strict=True)
+        ]
         if sent.num_rows:
             flags = [np.unpackbits(np.frombuffer(x, np.uint8), bitorder="little") for x in sent["train"].to_pylist()]
             base_of = np.concatenate(([0], np.cumsum([len(x) for x in flags])))
@@ -386,13 +377,41 @@ def _score_shard(n: int, v: int, frequent: np.ndarray, frequent_counts: np.ndarr
             score = np.bincount(doc, weights=value[of_pair], minlength=m)
             word_of = pair_rank[of_pair]
             base = np.bincount(doc, weights=np.log10(count + 1)[word_of], minlength=m)
-            known = np.bincount(doc, weights=(count > 0)[word_of], minlength=m).astype(np.int64)
-            met = np.flatnonzero(np.bincount(doc, minlength=m))
-            row = np.searchsorted(base_of, met, side="right") - 1
-            missing = [pa.nulls(len(met), _SUMS.field(c).type) for c in ("id", "held_out", "n_tokens")]
-            where = [pa.array(sent["block"].to_numpy()[row]), pa.array((met - base_of[row]).astype(np.int32))]
-            out.append(pa.RecordBatch.from_arrays([*where, *missing, pa.array(score[met]), pa.array(base[met]), pa.array(known[met])], schema=_SUMS))
-        return pa.Table.from_batches(out, _SUMS)
+            known = np.bincount(doc, weights=(count > 0)[word_of], minlength=m).astype("<u4")
+            met = np.bincount(doc, minlength=m) > 0
+            for b, a, e in zip(sent["block"].to_pylist(), base_of, base_of[1:], strict=False):
+                here = np.flatnonzero(met[a:e])
+                sums = {n: x[a:e][here].tobytes() for n, x in (("score", score), ("base", base), ("known", known))}
+                out.append({"block": b, "docs": here.astype("<u2").tobytes(), **sums})
+        return pa.Table.from_pylist(out, schema=_SUMS)
+
+    return run
+
+
+# --- step 3: documents ----------------------------------------------------------------------------------------------------
+
+
+def _finish(n: int, v: int):
+    z = np.log10(n + v + 1)
+
+    def run(table: pa.Table) -> pa.Table:
+        head = table.filter(pa.compute.is_valid(table["n_tokens"])).to_pylist()[0]
+        d = len(head["ids"])
+        n_tokens = np.frombuffer(head["n_tokens"], "<i8")
+        score, base, known = np.zeros(d), np.zeros(d), np.zeros(d, np.int64)
+        for docs, *sums in zip(*(table[c] for c in ("docs", "score", "base", "known")), strict=True):
+            if docs.is_valid:
+                at = np.frombuffer(docs.as_py(), "<u2")
+                for total, part, kind in zip((score, base, known), sums, ("<f8", "<f8", "<u4"), strict=True):
+                    total[at] += np.frombuffer(part.as_py(), kind).astype(total.dtype)
+        train = np.unpackbits(np.frombuffer(head["train"], np.uint8), bitorder="little")[:d].astype(bool)
+        return pa.table(
+            {
+                "id": pa.array(head["ids"], pa.int64()), "held_out": pa.array(~train), "n_tokens": pa.array(n_tokens),
+                "n_known": pa.array(known), "train_tokens": pa.array(np.full(d, n, np.int64)), "base_score": pa.array(base - n_tokens * z),
+                "score": pa.array(score),
+            }
+        )
 
     return run
 
@@ -423,10 +442,6 @@ def score_texts(
     probability under the bigram model). Rows whose ``held_out_col`` expression is true are scored but not learnt from."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), held_out_col.alias("held_out"))
     sums, n, v = shard_sums(rows, shard_tokens)
-    documents = sums.groupBy("block", "position").agg(
-        *[F.max(c).alias(c) for c in ("id", "held_out", "n_tokens")], *[F.sum(c).alias(c) for c in ("score", "base", "known")]
+    return sums.groupBy("block").applyInArrow(
+        _finish(n, v), "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
-    return documents.select(
-        "id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))).alias("base_score"), "score",
-    )

@@ -193,17 +193,18 @@ def test_scores_match_brute_force(messy, messy_rows, nothing, monkeypatch):
     assert all(r.train_tokens == 0 and r.n_known == 0 and r.held_out for r in none)
 
 
-def test_rows_out_of_shards_stay_below_the_tokens(messy, messy_rows, monkeypatch):
+def test_answers_of_shards_stay_below_the_tokens(messy, messy_rows, monkeypatch):
     """Hundreds of shards over a few blocks: a shard answers for documents it met only, and the scores stay the same."""
     monkeypatch.setattr(ngram_trie, "BLOCK_BYTES", 60_000)
     rows = messy.select(F.col("doc_id").alias("id"), "text", held_out("doc_id", 7, 2).alias("held_out"))
     sums, n, _ = ngram_trie.shard_sums(rows, shard_tokens=120)
     tokens = sum(len((t or "").split()) + 1 for _, t, *_ in messy_rows)
     found = sums.collect()
-    answers = [r for r in found if r.n_tokens is None]
-    assert len(found) - len(answers) == len(messy_rows) and len(answers) <= tokens
-    blocks = {r.block for r in found}
-    assert len(blocks) < 20 and len(answers) < 0.5 * len(blocks) * 300 * 60 and 0 < n <= tokens
+    heads, answers = [r for r in found if r.n_tokens is not None], [r for r in found if r.n_tokens is None]
+    assert sum(len(r.ids) for r in heads) == len(messy_rows) and len(heads) == len({r.block for r in found}) < 20 < len(answers)
+    entries = [len(r.docs) // 2 for r in answers]
+    assert sum(entries) <= tokens and all(len(r.score) == len(r.base) == 8 * k and len(r.known) == 4 * k for r, k in zip(answers, entries, strict=True))
+    assert min(entries) > 0 and 0 < n <= tokens
     got, want = (
         sorted((tuple(r) for r in ngram_trie.score_texts(messy, held_out("doc_id", 7, 2), shard_tokens=k).collect()), key=repr) for k in (120, 10**6)
     )
