@@ -209,8 +209,25 @@ _PROSE = frozenset(
     look looks looked looking stare stared staring point points pointed pointing aim aimed laugh laughed smile smiled arrive arrived
     stop stopped start started meet met stay stayed live lives lived work works worked sit sat stand stood""".split()
 )
+
+# More words that stand before "at" and the address of a page, or name a part of one.
+_POINTERS = _PROSE | frozenset(
+    """available found find hosted located listed posted published based sold held seen shown offered registered stored kept
+    details online more info information visit read see buy order shop page pages site sites website home news article articles
+    download downloads mail email e-mail write contact reach ask us-based apply join help support questions comments feedback
+    arrives arriving aimed happening happens while until after before during""".split()
+)
+
+
+def _like_address(local: str, labels: list[str], behind: str) -> bool:
+    """A plain name, "at" and a domain with plain dots: is it an address and not a pointer to a page? No word of ordinary text on
+    either side, no host of a web page, no path or port behind."""
+    words = [x.lower() for x in (local, *labels)]
+    return _POINTERS.isdisjoint(words) and words[1] != "www" and len(labels) <= 3 and behind not in ("/", ":", "?") and local[-1].isalnum()
+
+
 _STRONG_AT = rf"[ \t]*{_OPEN}[ \t]*(?:at|@|{_FOREIGN_AT})[ \t]*{_CLOSE}[ \t]*|[ \t]+(?:{_FOREIGN_AT})[ \t]+|[ \t]+@[ \t]*|@[ \t]+|&#64;|&commat;|[ \t]*[_-]at[_-][ \t]*"
-_AT = re.compile(rf"(?P<strong>{_STRONG_AT})|(?P<weak>[ \t]+at[ \t]+)|(?P<plain>@)", re.IGNORECASE)
+_AT = re.compile(rf"(?P<strong>{_STRONG_AT})|(?P<weak>[ \t]+at(?:[ \t]*\r?\n[ \t]*|[ \t]+))|(?P<plain>@)", re.IGNORECASE)
 _SPELLED_DOT = rf"[ \t]*{_OPEN}[ \t]*(?:dot|point|punkt|punto|\.)[ \t]*{_CLOSE}[ \t]*|[ \t]+dot[ \t]+|[ \t]+\.[ \t]+|&#46;|[_-]dot[_-]"
 _DOT = re.compile(_SPELLED_DOT, re.IGNORECASE)
 _ANY_DOT = re.compile(_SPELLED_DOT + r"|[ \t]+(?:point|punkt|punto)[ \t]+", re.IGNORECASE)
@@ -218,7 +235,7 @@ _LABEL = re.compile(r"[A-Za-z0-9-]+")
 _LAST_LABEL = re.compile(r"[A-Za-z]{2,}$")
 _DIGIT_DOT = re.compile(rf"(?<=[0-9])(?:{_SPELLED_DOT}|[ \t]+(?:punkt|punto|point)[ \t]+)(?=[0-9])", re.IGNORECASE)
 # What a disguised address shows at least: a sign, a bracketed "at", or a bare one before a domain with a plain dot.
-_HINT = re.compile(r"[\[({<_-][ \t]*at[ \t]*[\])}>_-]|[ \t]at[ \t]+[a-z0-9-]+\.[a-z0-9]", re.IGNORECASE)
+_HINT = re.compile(r"[\[({<_-][ \t]*at[ \t]*[\])}>_-]|[ \t]at[ \t\r\n]+[a-z0-9-]+\.[a-z0-9]", re.IGNORECASE)
 _FOREIGN = frozenset(w.encode() for w in _FOREIGN_AT.split("|"))
 _DOT_BEFORE = re.compile(rf"(?:{_SPELLED_DOT})$", re.IGNORECASE)
 _ANY_DOT_BEFORE = re.compile(rf"(?:{_ANY_DOT.pattern})$", re.IGNORECASE)
@@ -226,7 +243,8 @@ _ANY_DOT_BEFORE = re.compile(rf"(?:{_ANY_DOT.pattern})$", re.IGNORECASE)
 
 def read_addresses(text: str) -> list[tuple[int, int, str]]:
     """Written "at" and "dot": an address needs a name, a domain of two or more labels, and letters in the last one. A bare
-    word "at" counts only with a written dot, or with a known ending and a name that no ordinary word looks like. A written dot takes
+    word "at" counts only with a written dot, or with a known ending where neither name nor domain look like ordinary text. A line may
+    end behind it. A written dot takes
     any ending, unless a plain name and an unknown ending stand among words of ordinary text."""
     edits: list[tuple[int, int, str]] = []
     done = 0
@@ -272,7 +290,7 @@ def read_addresses(text: str) -> list[tuple[int, int, str]]:
             ending = labels[-1].lower()
             known = len(ending) == 2 or ending in _ENDINGS
             shaped = re.search(r"[0-9]|[A-Za-z][._%+-][A-Za-z]", local)
-            if not dots and not (known and shaped):
+            if not dots and not (known and (shaped or _like_address(local, labels, text[at : at + 1]))):
                 continue
             if dots and not (known or shaped) and not _PROSE.isdisjoint(x.lower() for x in (local, *labels)):
                 continue

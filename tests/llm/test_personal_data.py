@@ -71,6 +71,23 @@ def test_disguises_map_back_to_the_source(text, kind, found):
     assert not any(added[k] for k in added if k != kind)
 
 
+@pytest.mark.parametrize(
+    "found", ["jane at gmail.com", "jane at corp.com", "bob99 at mail.example.org", "jane at\ncorp dot com", "jane.doe at \r\n gmail.com", "Ana AT correo.es"]
+)
+def test_a_bare_at_before_a_plain_domain(found):
+    text = f"write to {found}, please"
+    assert [text[a:b] for a, b in pii.disguised_spans(text, pii.find_spans(text))["email"]] == [found]
+
+
+@pytest.mark.parametrize(
+    "text", ["more at example.com now", "tickets available at shop.org", "look at www.example.com", "prices at example.com/shop today", "hosted at example.net:80",
+             "we met at\nnoon.de", "details at page.one", "found at site.de.", "he arrived at once.it was late"],
+)
+def test_pointers_to_pages_are_no_addresses(text):
+    base = pii.find_spans(text)
+    assert not any(pii.disguised_spans(text, base).values())
+
+
 @pytest.mark.parametrize(("kind", "found"), [("ip", "192.168.0.one"), ("phone", "+49 30 1234 five 678"), ("card", "4387 5130 3523 726 nine")])
 def test_a_single_spelled_digit_counts_beside_digits(kind, found):
     text = f"see {found} there"
@@ -108,6 +125,10 @@ def test_long_runs_take_linear_time():
         pii.disguised_spans(text, pii.find_spans(text))
 
 
+def test_clashing_names_change_nothing(messy, crowded):
+    assert sorted(map(str, pii.find_pii(crowded).collect())) == sorted(map(str, pii.find_pii(messy).collect()))
+
+
 def test_table(spark, messy, nothing):
     rows = pii.find_pii(messy.unionByName(spark.createDataFrame([(900, "é a@b.co 1.2.3.4", "", "", 1)], messy.schema))).collect()
     assert len(rows) == messy.count() + 1
