@@ -1,30 +1,35 @@
 """Host and path rules as a sort-merge range join.
 
-A rule (host, path) covers its host, all subdomains, and every path that starts with its path. With host labels reversed,
-``reversed host + "/" + path`` is a canonical key, and a rule covers the interval of keys that start with its own key. A url
-is looked up once for each of its parent hosts. Rules and look-ups are sorted together; a sweep keeps the stack of rules
-whose intervals are open, so the top of the stack is the longest rule for a look-up.
+A rule (host, path) covers its host, all subdomains, and every path that starts with its path. A host's labels reversed, with a dot
+behind each, are its canonical key: the hosts a rule covers are the keys that start with the rule's own, an interval. Urls and the
+starts of these intervals are sorted together by key, once; a sweep keeps the stack of host rules whose intervals are open (a rule
+ends where a key no longer starts with it), each with its paths, and asks all of them for the longest path the url starts with.
 
-Look-ups are dealt out by (parent host, salt), where the salt is a hash of the url, and rules are repeated per salt: a host
-with any share of all urls spreads over ``salts`` tasks, and no table is broadcast.
+The sort is a range partitioning of its own: a sample of about ``SAMPLE`` keys gives the boundaries, a host that holds several of
+them spreads over the parts between, and the rules of a host are repeated in all parts that its interval meets. So a host with any
+share of all urls is dealt to many tasks, every url moves once whatever its number of labels, and no table is broadcast. Boundaries
+change where work is done, never a result.
 
 Defined cases: a null url, or one without "://", has an empty host and path; a rule's path is matched literally; of equal
 (host, path) rules "block" wins; the longest rule (characters of host and path) wins, then the longer host; repeated rows
-are returned as often as they came; an empty rule table leaves every verdict to ``default``.
+are returned as often as they came; an empty rule table leaves every verdict to ``default``; an empty table gives an empty result;
+a host of any length is one key; only id and url are read, so other columns may have any name.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 32
+SAMPLE = 20_000
+PARTS_PER_PARTITION = 4
 _AFTER_SCHEME = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_SWEPT = "id long, host string, path string, copies long, length int, host_length int, rule string, verdict string"
+_JUDGED = "id long, host string, path string, rule string, verdict string"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -32,70 +37,102 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.translate(F.regexp_extract(url, _AFTER_SCHEME, 1), _UPPER, _LOWER), F.regexp_extract(url, _AFTER_SCHEME, 2)
 
 
-def _reversed(labels: Column) -> Column:
-    return F.array_join(F.reverse(labels), ".")
+def host_key(host: Column) -> Column:
+    """Labels from the last to the first, a dot behind each."""
+    return F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), "."), F.lit("."))
 
 
-def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (salt, key, rules first); the stack is carried from batch to batch."""
-    stack: list[tuple[str, str, str, int]] = []  # key, rule, verdict, length of the host
-    salt = None
-    schema = pa.schema(
-        [("id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("copies", pa.int64()), ("length", pa.int32()),
-         ("host_length", pa.int32()), ("rule", pa.string()), ("verdict", pa.string())]
-    )
-    for batch in batches:
-        out = []
-        for r in batch.to_pylist():
-            if r["salt"] != salt:
-                stack, salt = [], r["salt"]
-            while stack and not r["key"].startswith(stack[-1][0]):
-                stack.pop()
-            if r["is_probe"]:
-                _, rule, verdict, host_length = stack[-1] if stack else ("", None, None, -1)
-                length = len(rule) if rule is not None else -1
-                out.append((r["id"], r["host"], r["path"], r["copies"], length, host_length, rule, verdict))
-            else:
-                stack.append((r["key"], r["rule"], r["verdict"], len(r["host"])))
-        columns = list(zip(*out, strict=True)) if out else [[] for _ in schema]
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+def boundaries(keys: DataFrame, parts: int) -> list[bytes]:
+    """Keys that cut the rows of ``keys`` (id, host, path, key) into about equal parts; a frequent key may occur several times."""
+    every = max(1, keys.count() // SAMPLE)
+    sample = keys.filter(F.pmod(F.xxhash64("id", "host", "path"), F.lit(every)) == 0).groupBy("key").agg(F.count("*").alias("n")).collect()
+    counted = sorted((r["key"].encode(), r["n"]) for r in sample)
+    total, out, seen = sum(n for _, n in counted), [], 0
+    for key, n in counted:
+        seen += n
+        while len(out) < parts - 1 and seen * parts > (len(out) + 1) * total:
+            out.append(key)
+    return out
+
+
+def _places(cuts: list[bytes]):
+    """Arrow function: first and last part that a key, or any key that starts with it, may be in."""
+
+    def place(keys: pa.Array, prefix: pa.Array) -> pa.Array:
+        found = [
+            (bisect_left(cuts, k := key.encode()), bisect_right(cuts, k + b"\xff" if wide else k))
+            for key, wide in zip(keys.to_pylist(), prefix.to_pylist(), strict=True)
+        ]
+        first, last = zip(*found, strict=True) if found else ((), ())
+        return pa.StructArray.from_arrays([pa.array(first, pa.int32()), pa.array(last, pa.int32())], ["first", "last"])
+
+    place.__annotations__ = {"keys": pa.Array, "prefix": pa.Array, "return": pa.Array}
+    return F.arrow_udf(place, "struct<first:int,last:int>")
+
+
+class _HostRules:
+    """The rules of one host: paths by length, longest first."""
+
+    def __init__(self, key: str, host: str, rules: list[dict]):
+        self.key, self.host = key, host
+        self.verdicts = {r["path"]: r["verdict"] for r in rules}
+        self.lengths = sorted({len(p) for p in self.verdicts}, reverse=True)
+
+    def fit(self, path: str) -> tuple[int, int, str, str] | None:
+        for n in self.lengths:
+            if n <= len(path) and (verdict := self.verdicts.get(path[:n])) is not None:
+                return len(self.host) + n, len(self.host), self.host + path[:n], verdict
+        return None
+
+
+def _sweep(default: str):
+    schema = pa.schema([("id", pa.int64()), *[(c, pa.string()) for c in ("host", "path", "rule", "verdict")]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by (part, key, rules first); the stack is carried from batch to batch."""
+        stack: list[_HostRules] = []
+        part = None
+        for batch in batches:
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for here, key, id_, host, path, rules in zip(*(batch.column(c).to_pylist() for c in ("part", "key", "id", "host", "path", "rules")), strict=True):
+                if here != part:
+                    stack, part = [], here
+                while stack and not key.startswith(stack[-1].key):
+                    stack.pop()
+                if rules is not None:
+                    stack.append(_HostRules(key, host, rules))
+                    continue
+                best = max(filter(None, (open_.fit(path) for open_ in stack)), default=(0, 0, None, default))
+                for column, value in zip(out, (id_, host, path, *best[2:]), strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+
+    return run
 
 
 def judge_urls(
-    pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", salts: int = SALTS
+    pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", parts: int | None = None
 ) -> DataFrame:
     """Return id, host, path, rule (null where none fits) and verdict for every row of ``pages``.
 
-    ``rules`` has the columns host, path and verdict.
+    ``rules`` has the columns host, path and verdict. ``parts`` is the number of ranges (by default some per shuffle partition).
     """
+    partitions = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     host, path = host_and_path(F.col(url_col))
-    urls = pages.select(F.col(id_col).cast("long").alias("id"), host.alias("host"), path.alias("path"))
-    urls = urls.groupBy("id", "host", "path").agg(F.count("*").alias("copies"))
-    labels = F.split("host", r"\.", -1)
-    levels = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: _reversed(F.slice(labels, -n, n)))
-    probes = urls.withColumn("parent", F.explode(levels)).select(
-        "parent", F.pmod(F.xxhash64("id", "host", "path"), F.lit(salts)).cast("int").alias("salt"),
-        F.concat("parent", F.lit("/"), "path").alias("key"), F.lit(True).alias("is_probe"), "id", "host", "path", "copies",
-        F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"),
-    )
+    urls = pages.select(F.col(id_col).cast("long").alias("id"), host.alias("host"), path.alias("path")).withColumn("key", host_key(F.col("host")))
+    place = _places(boundaries(urls, parts or PARTS_PER_PARTITION * partitions))
+    shape = "array<struct<path:string,verdict:string>>"
+    spread = F.pmod(F.xxhash64("id", "path"), F.col("at.last") - F.col("at.first") + 1).cast("int")
+    asked = urls.withColumn("at", place("key", F.lit(False))).select(
+        (F.col("at.first") + spread).alias("part"), "key", "id", "host", "path", F.lit(None).cast(shape).alias("rules")
+    )
     known = rules.select(
         F.translate(F.coalesce("host", F.lit("")), _UPPER, _LOWER).alias("host"), F.coalesce("path", F.lit("")).alias("path"), "verdict"
     ).groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
-    marks = known.withColumn("parent", _reversed(F.split("host", r"\.", -1))).select(
-        "parent", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.concat("parent", F.lit("/"), "path").alias("key"),
-        F.lit(False).alias("is_probe"), F.lit(None).cast("long").alias("id"), "host", "path", F.lit(0).cast("long").alias("copies"),
-        F.concat("host", "path").alias("rule"), "verdict",
+    by_host = known.groupBy("host").agg(F.collect_list(F.struct("path", "verdict")).alias("rules")).withColumn("key", host_key(F.col("host")))
+    starts = by_host.withColumn("at", place("key", F.lit(True))).select(
+        F.explode(F.sequence("at.first", "at.last")).alias("part"), "key", F.lit(None).cast("long").alias("id"), "host",
+        F.lit(None).cast("string").alias("path"), "rules",
     )
-    swept = (
-        probes.unionByName(marks)
-        .repartition("parent", "salt")
-        .sortWithinPartitions("salt", "key", "is_probe")
-        .mapInArrow(_sweep, _SWEPT)
-    )
-    best = swept.groupBy("id", "host", "path").agg(
-        F.max("copies").alias("copies"), F.max(F.struct("length", "host_length", "rule", "verdict")).alias("best")
-    )
-    return best.select(
-        "id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
-        F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"),
-    ).drop("copy")
+    ordered = starts.unionByName(asked).repartition(partitions, "part").sortWithinPartitions("part", "key", F.col("rules").isNull())
+    return ordered.mapInArrow(_sweep(default), _JUDGED)

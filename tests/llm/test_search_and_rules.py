@@ -2,6 +2,8 @@ import math
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from selroute.llm import decontaminate, url_filter
 from selroute.llm.queries import URL_RULES
 
@@ -27,12 +29,27 @@ def test_url_rules_match_brute_force(spark):
         for h, p, v in rules:  # of equal rules "block" wins
             known[(h, p)] = max(v, known.get((h, p), ""))
         flat = [(h, p, v) for (h, p), v in known.items()]
-        for salts in (1, 5):
-            got = url_filter.judge_urls(pages, table, salts=salts).collect()
+        for parts in (1, 5, 200):
+            got = url_filter.judge_urls(pages, table, parts=parts).collect()
             assert Counter((r.id, r.host, r.path, r.rule, r.verdict) for r in got) == Counter((i, *slow_verdict(u, flat)) for i, u in rows)
     assert url_filter.judge_urls(pages.limit(0), table).count() == 0
 
 
+def test_boundaries_spread_a_host_and_repeat_its_rules(spark):
+    """A third of all urls on one host: it takes a third of the parts, and nested rules fit in all of them."""
+    rows = [(i, "http://www.hot.example.net/en/" + str(i) if i % 3 == 0 else f"http://h{i}.org/fr/{i}") for i in range(900)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    host, path = url_filter.host_and_path(F.col("url"))
+    keys = pages.select(F.col("page_id").alias("id"), host.alias("host"), path.alias("path")).withColumn("key", url_filter.host_key(F.col("host")))
+    cuts = url_filter.boundaries(keys, 30)
+    assert len(cuts) == 29 and cuts == sorted(cuts) and 9 <= cuts.count(b"net.example.hot.www.") <= 11
+    rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("www.hot.example.net", "/en/1", "block"), ("org", "/fr/1", "block"), ("h7.org", "", "allow")]
+    judged = url_filter.judge_urls(pages, spark.createDataFrame(rules, "host string, path string, verdict string"), parts=30)
+    assert Counter((r.id, r.host, r.path, r.rule, r.verdict) for r in judged.collect()) == Counter((i, *slow_verdict(u, rules)) for i, u in rows)
+    plan = judged._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning(part") == 1  # urls move once
+
+
 def plain(text):
     return re.sub(r"[\x00-\x7f]", lambda m: m.group().lower() if m.group().isalnum() else " ", text or "").split(" ")
 
