@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,46 +86,54 @@ def rule_table(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*rows)))
 
 
-def _entries(value: Column) -> Column:
-    return F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
+class _Invalid(ValueError):
+    """Text that is JSON to a lenient reader only."""
+
 
+def _object(pairs: list[tuple[str, object]]) -> dict:
+    out = dict(pairs)
+    if len(out) < len(pairs):
+        raise _Invalid("a key occurs twice")
+    return out
 
-def document_depth(doc_json: Column) -> Column:
-    """An upper bound of the object levels of a JSON text: its deepest nesting of braces outside strings."""
-    braces = F.regexp_replace(F.regexp_replace(doc_json, r'"(?:\\\\.|[^"\\\\])*"', ""), r"[^{}]", "")
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
 
-    def step(acc: Column, brace: Column) -> Column:
-        now = acc["now"] + F.when(brace == "{", 1).when(brace == "}", -1).otherwise(0)
-        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+def _no_number(name: str) -> None:
+    raise _Invalid(name)
 
-    return F.aggregate(F.split(braces, ""), start, step, lambda acc: acc["most"])
 
+_DECODER = json.JSONDecoder(object_pairs_hook=_object, parse_constant=_no_number)
 
-def deepest(df: DataFrame, doc: str = "doc") -> int:
-    """Levels that ``leaf_keys`` has to walk for every document of a table: one aggregate over the column."""
-    return max(1, df.agg(F.max(document_depth(F.col(doc)))).first()[0] or 1)
 
+def leaf_names(doc: str | None) -> list[str]:
+    """Sorted dotted names of the leaves of a JSON object; lists are leaves, empty objects have none. Levels are walked as the
+    document has them. A text that is no JSON object, or that repeats a key, has no leaves."""
+    try:
+        value = _DECODER.decode(doc.strip(" \t\n\r")) if doc else None
+    except (ValueError, RecursionError):
+        value = None
+    found, todo = [], [("", value)] if isinstance(value, dict) else []
+    while todo:
+        name, node = todo.pop()
+        for key, inner in node.items():
+            if isinstance(inner, dict):
+                todo.append((f"{name}{key}.", inner))
+            else:
+                found.append(name + key)
+    return sorted(found)
 
-def leaf_keys(value: Column, depth: int) -> Column:
-    """Sorted dotted names of the leaves of a parsed document; lists are leaves, empty objects have none."""
 
-    def walk(node: Column, levels: int) -> Column:
-        def one(entry: Column) -> Column:
-            name = entry["key"]
-            if levels == 1:
-                return F.array(name)
-            inner = F.transform(walk(entry["value"], levels - 1), lambda k: F.concat(name, F.lit("."), k))
-            is_object = F.try_variant_get(entry["value"], "$", "map<string,variant>").isNotNull()
-            return F.when(is_object, inner).otherwise(F.array(name))
+def leaf_keys(doc_json: Column) -> Column:
+    """``leaf_names`` of a column of JSON texts: one expression of constant size, whatever the depth of any document."""
 
-        return F.flatten(F.transform(_entries(node), one))
+    @F.arrow_udf("array<string>")
+    def names(docs: pa.Array) -> pa.Array:
+        return pa.array([leaf_names(d) for d in docs.to_pylist()], pa.list_(pa.string()))
 
-    return F.coalesce(F.array_sort(walk(value, depth)), F.array().cast("array<string>"))
+    return names(doc_json)
 
 
-def key_signature(doc_json: Column, depth: int) -> Column:
-    return F.array_join(leaf_keys(F.try_parse_json(doc_json), depth), "\x1f")
+def key_signature(doc_json: Column) -> Column:
+    return F.array_join(leaf_keys(doc_json), "\x1f")
 
 
 def _scalar_text(value: Column, missing: str) -> Column:

@@ -130,7 +130,7 @@ _KEYS = """keyed AS (SELECT event_id, string_agg(name, chr(31) ORDER BY name) AS
 
 @query("b2_key_signature", f"WITH {_KEYS} SELECT event_id, replace(signature, chr(31), ',') AS signature FROM keyed")
 def _(v):
-    keys = D.leaf_keys(F.try_parse_json("doc"), D.deepest(v.docs_json))
+    keys = D.leaf_keys(F.col("doc"))
     return v.docs_json.select("event_id", F.array_join(keys, ",").alias("signature"))
 
 

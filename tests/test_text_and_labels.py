@@ -198,3 +198,16 @@ def test_paths(spark):
 def test_histogram_slot_closes_the_last_bin(spark):
     df = spark.createDataFrame([(0.0,), (0.5,), (1.0,)], "x double")
     assert [r[0] for r in df.select(histogram_slot(F.col("x"), F.lit(0.0), F.lit(1.0), 10)).collect()] == [0, 5, 9]
+
+
+def test_signatures_of_documents_of_any_depth(spark):
+    """A document of 200 levels beside flat ones: names are right and the plan is no larger than without it."""
+    deep = '{"k":' * 200 + "1" + "}" * 200
+    docs = [deep, '{"b":1,"a":{"x":[{"y":1}],"é":{}}}', "{}", "[1]", "no json", None, '{"a":1,"a":2}', ' {"a.b":null} ', '{"a":NaN}']
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "i int, doc string")
+    got = {r.i: r.k for r in df.select("i", D.leaf_keys(F.col("doc")).alias("k")).collect()}
+    assert got[0] == [".".join(["k"] * 200)] and got[1] == ["a.x", "b"] and got[7] == ["a.b"]
+    assert all(got[i] == [] for i in (2, 3, 4, 5, 6, 8))
+    sizes = [len(L.dispatch_documents(part)._jdf.queryExecution().optimizedPlan().toString()) for part in (df, df.where("i > 0"))]
+    assert abs(sizes[0] - sizes[1]) < 200
+    assert D.leaf_names('{"k":' * 100_000) == []
