@@ -2,14 +2,15 @@
 
 A text is cut where a hash of the eight bytes before a word boundary meets a mask, so equal passages give equal chunks wherever
 they stand. A chunk is encoded once and its ids are reused for every later document of the task that has it (a least-recently-used store
-of ``STORE_BYTES``). At each join the last word before and the first word after it are encoded together; where this differs from
-the chunk's own ids, the window grows until both agree, at worst to the two whole chunks, which are then encoded as one.
+of ``STORE_BYTES``). At each join the last word before and the first word after it are encoded together and apart (both whole chunks,
+where a side has no whole word by the join); where that differs, the two chunks are encoded as one, and so on until all joins agree.
 
 Reuse is per task on purpose: a store of all chunks would send texts and ids through shuffles (several times the input), while
 encoding a chunk again costs less than moving it. Copies in other tasks are encoded once there.
 
 Defined cases: a null text counts as empty; an empty text has no ids; special strings inside texts become their special id, as
-the library's default has it.
+the library's default has it; repeated rows are encoded like any others; an empty table gives an empty result; columns that are
+added take the place of columns of the same name, all others are passed on.
 """
 
 from __future__ import annotations
@@ -24,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from selroute.llm.common import mix
+from selroute.llm.common import mix, slices
 from selroute.llm.tokenizing import BYTE_BPE, ByteBpe, safe_cuts, tokenizer
 
 MEAN_CUTS = 128  # one of so many word boundaries is a chunk's end: about 800 bytes
-STORE_BYTES = 48 << 20
+STORE_BYTES = 24 << 20
 _LAST_WORD = re.compile(r"(?<=[!-~])\s+\S+$")
 _FIRST_WORD = re.compile(r"\s+\S+")
 
@@ -127,9 +128,9 @@ def token_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     @F.arrow_udf("struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>")
     def digest(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = ChunkEncoder(name)
-        for batch in batches:
+        for part in (part for batch in batches for part in slices(batch)):
             counts, ids_sha, text_sha = [], [], []
-            for text in batch:
+            for text in part:
                 ids = encoder.encode(text.as_py() or "")
                 counts.append(len(ids))
                 ids_sha.append(hashlib.sha256(ids.tobytes()).hexdigest())
@@ -148,8 +149,8 @@ def encode_checked(docs: DataFrame, text_col: str = "text", name: str = BYTE_BPE
     @F.arrow_udf("struct<n_tokens:bigint,ids:array<int>,round_trip:boolean>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = ChunkEncoder(name)
-        for batch in batches:
-            texts = [x or "" for x in batch.to_pylist()]
+        for part in (part for batch in batches for part in slices(batch)):
+            texts = [x or "" for x in part.to_pylist()]
             ids = [encoder.encode(x) for x in texts]
             offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in ids]))), pa.int32())
             values = pa.array(np.concatenate(ids).view(np.int32) if ids else [], pa.int32())

@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 LONG_WORD = 256
 _MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 _SPACE = np.zeros(256, dtype=bool)
@@ -46,6 +48,15 @@ def blocks(texts: list[bytes], limit: int = BLOCK_BYTES) -> Iterator[tuple[int,
         yield start, texts[start:]
 
 
+def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """Runs of rows of about ``limit`` bytes of text, for results that are worked out and passed on piece by piece."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    edges = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes + 1) // limit)) + 1).tolist(), len(column)]
+    for a, b in zip(edges, edges[1:], strict=False):
+        if b > a or len(column) == 0:
+            yield column[a:b]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over the 64 output bits."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
