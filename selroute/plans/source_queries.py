@@ -328,10 +328,15 @@ def _(v):
     return v.docs_json.select("event_id", F.col("acc").try_cast("double").alias("acc"), F.col("event_id").cast("int").alias("epoch"))
 
 
-@query("b11_model_columns", "SELECT DISTINCT model FROM correct")
+@query(
+    "b11_model_columns",
+    "SELECT model, count(correct) AS n, CAST(sum(correct) AS BIGINT) AS n_right, round(avg(correct), 6) AS accuracy FROM correct GROUP BY 1",
+)
 def _(v):
+    """The columns of a wide table that are models, each with its own cells."""
     wide = R.merge_model_tables(v.correct, ["sample_id"], MODELS)
-    return R.to_long(wide, ["sample_id"]).select("model").distinct()
+    cells = R.to_long(wide, ["sample_id"]).groupBy("model")
+    return cells.agg(F.count("correct").alias("n"), F.sum("correct").alias("n_right"), F.round(F.avg("correct"), 6).alias("accuracy"))
 
 
 @query(
