@@ -462,11 +462,11 @@ def _knn_strategy(v):
     return _rated(v, R.best_scored(votes, ["sample_id"]), "knn")
 
 
-def _network_strategy(v, hidden):
+def _network_strategy(v, hidden, max_steps):
     """A network per model on the vectors of the training prompts; the most confident model answers."""
     data = v.routing
     labels = v.correct.join(data.train_ids, "sample_id", "left_semi").withColumnRenamed("sample_id", "vec_id")
-    networks = train_networks(_vectors_of(v, data.train_ids).join(labels, "vec_id"), MODELS, seed=0, hidden=hidden)
+    networks = train_networks(_vectors_of(v, data.train_ids).join(labels, "vec_id"), MODELS, seed=0, hidden=hidden, max_steps=max_steps)
     scores = score_networks(_vectors_of(v, data.test_ids), networks, MODELS, ["vec_id"]).withColumnRenamed("vec_id", "sample_id")
     return _rated(v, R.best_scored(scores, ["sample_id"]), "mlp_" + "_".join(map(str, hidden)))
 
@@ -484,7 +484,7 @@ def _(v):
 @query("m12_nine_strategies")
 def _(v):
     """The same table with both networks, whose fitted values SQL can't state."""
-    networks = _network_strategy(v, (1,)).unionByName(_network_strategy(v, (100, 100)))
+    networks = _network_strategy(v, (1,), 1000).unionByName(_network_strategy(v, (100, 100), 60))
     return rounded(R.strategy_summary(_all_strategies(v).unionByName(networks)), "mean_accuracy")
 
 
