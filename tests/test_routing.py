@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -160,6 +161,25 @@ def test_neighbours_match_brute_force(spark, block_rows, pivots):
         assert [b for _, b in got[q]] == pytest.approx([b for _, b in best])
 
 
+def test_block_search_holds_few_similarities_and_returns_what_reaches_the_floor(monkeypatch):
+    rng = np.random.default_rng(4)
+    units = np.round(rng.normal(size=(300, 3)), 1)
+    units[7] = np.nan
+    tests = pd.DataFrame({"test_id": np.arange(50), "unit": list(units[100:150]), "floor": np.where(np.arange(50) % 2, 0.5, -np.inf)})
+    trains = pd.DataFrame({"train_id": np.arange(300)[::-1], "unit": list(units[::-1])})
+    monkeypatch.setattr(K, "_CELLS", 300 * 4)
+    held, best = [], K._best
+    monkeypatch.setattr(K, "_best", lambda sims, *a: held.append(sims.size) or best(sims, *a))
+    found = K._search(9)[0](tests, trains)
+    assert max(held) == 300 * 4
+    for q in range(50):
+        sims = np.round(units[100 + q] @ units.T, 9)
+        order = sorted((i for i in range(300) if i != 7), key=lambda i: (-sims[i], i))[:9]
+        want = [(i, sims[i]) for i in order if sims[i] >= tests["floor"][q]]
+        mine = found[found["test_id"] == q]
+        assert list(zip(mine["train_id"], mine["similarity"], strict=True)) == want
+
+
 def test_fewer_train_rows_than_neighbours(spark):
     df = spark.createDataFrame([(i, [float(i + 1), 1.0]) for i in range(6)], "vec_id long, embedding array<double>")
     found = K.nearest_neighbours(df.where("vec_id < 2"), df.where("vec_id >= 2"), 40)
