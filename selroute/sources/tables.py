@@ -10,6 +10,9 @@ from selroute.operators.reshape import to_long
 from selroute.schemas import LABELLED_SHEET
 from selroute.session import scratch_path
 
+OPEN_FILES = 16
+ROW_GROUP = 16 << 20
+
 
 def read_sheet(spark: SparkSession, path: str, schema: T.StructType = LABELLED_SHEET) -> DataFrame:
     """Labelled sheet as CSV; quoted texts may span lines."""
@@ -31,8 +34,17 @@ def read_wide_matrix(spark: SparkSession, path: str, id_columns: list[str]) -> D
 
 
 def write_predictions(df: DataFrame, path: str, keys: tuple[str, ...] = ("model",), mode: str = "append") -> None:
-    """Logits and labels with their run keys as columns, partitioned by the leading keys."""
-    df.write.mode(mode).partitionBy(*keys).parquet(path)
+    """Logits and labels with their run keys as columns, partitioned by the leading keys.
+
+    A task keeps a file open for each of its first ``OPEN_FILES`` key values, so rows are written as they come; only rows of further
+    ones are sorted. Row groups are small, as that many are held at a time."""
+    setting = "spark.sql.maxConcurrentOutputFileWriters"
+    before = df.sparkSession.conf.get(setting)
+    df.sparkSession.conf.set(setting, str(OPEN_FILES))
+    try:
+        df.write.mode(mode).option("parquet.block.size", ROW_GROUP).partitionBy(*keys).parquet(path)
+    finally:
+        df.sparkSession.conf.set(setting, before)
 
 
 def prediction_keys(path: Column) -> dict[str, Column]:

@@ -1,7 +1,10 @@
 """The AUROC table of stored predictions, against plain counting."""
 
+from pyspark.sql import DataFrameWriter
+
 from selroute.operators import metrics
 from selroute.plans.views import Views
+from selroute.sources.tables import OPEN_FILES, write_predictions
 
 
 def test_results_group_by_one_number_and_are_written_once(spark, tmp_path, monkeypatch):
@@ -19,3 +22,15 @@ def test_results_group_by_one_number_and_are_written_once(spark, tmp_path, monke
     for key, own in rows.items():
         pairs = [(a > b) + (a == b) / 2 for a, y in own if y for b, z in own if not z]
         assert found[key] is None if not pairs else abs(found[key] - sum(pairs) / len(pairs)) < 1e-9
+
+
+def test_predictions_are_stored_with_their_files_open(spark, tmp_path, monkeypatch):
+    rows = spark.range(3000).selectExpr("id AS row_id", "concat('model_', id % 40) AS model", "id / 7 AS logit")  # more models than open files
+    setting, held = "spark.sql.maxConcurrentOutputFileWriters", []
+    before, write = spark.conf.get(setting), DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path: held.append(int(spark.conf.get(setting))) or write(self, path))
+    write_predictions(rows, f"{tmp_path}/store")
+    assert held == [OPEN_FILES] and OPEN_FILES > 10  # with 0 all rows are sorted before they are written
+    assert spark.conf.get(setting) == before
+    back = spark.read.parquet(f"{tmp_path}/store").select("row_id", "model", "logit")
+    assert back.exceptAll(rows).isEmpty() and back.count() == 3000
