@@ -1,6 +1,7 @@
 """The AUROC table of stored predictions, against plain counting."""
 
 from pyspark.sql import DataFrameWriter
+from pyspark.sql import functions as F
 
 from selroute.operators import metrics
 from selroute.plans.views import Views
@@ -24,6 +25,17 @@ def test_results_group_by_one_number_and_are_written_once(spark, tmp_path, monke
         assert found[key] is None if not pairs else abs(found[key] - sum(pairs) / len(pairs)) < 1e-9
 
 
+def test_scores_of_a_classifier_are_counted_in_one_task(spark, tmp_path, monkeypatch):
+    spark.range(90).selectExpr("id * 7 AS doc_id").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    counted, running = [], metrics.value_running
+    monkeypatch.setattr(metrics, "value_running", lambda df, *a, **kw: counted.append(df) or running(df, *a, **kw))
+    views = Views(spark, str(tmp_path))
+    views.results
+    places = counted[0].select("cell", F.spark_partition_id().alias("task")).distinct()
+    assert places.count() == 10 * 47 * 9 and places.select("task").distinct().count() > 1
+    assert counted[0].count() == views.predictions.count()
+
+
 def test_predictions_are_stored_with_their_files_open(spark, tmp_path, monkeypatch):
     rows = spark.range(3000).selectExpr("id AS row_id", "concat('model_', id % 40) AS model", "id / 7 AS logit")  # more models than open files
     setting, held = "spark.sql.maxConcurrentOutputFileWriters", []
