@@ -18,7 +18,9 @@ rows are dealt to several tasks, whose sums are added.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,19 +31,91 @@ from pyspark.sql import types as T
 from selroute.operators.ordering import EDGE_FAN, ROWS_PER_BUCKET, attach, heavy_values, large_groups, with_value_bucket
 from selroute.session import durable
 
-MARGIN = 8.0  # standard deviations on each side of the expected place of the k-th digest
+MARGIN = 6.0  # standard deviations on each side of the expected place of the k-th digest
 STRETCH_CELLS = 1 << 19  # rows times seeds a stretch of values is meant to have
 _CELLS = 1 << 18  # digests computed at a time
-_BUFFER = 1 << 17  # window digests a task holds before it passes them on
+_ONE_BLOCK = 55  # bytes of a message that md5 digests in one block
+_MD5_CELLS = 1 << 14  # digests computed side by side
+_BUFFER = 1 << 19  # window digests a task holds before it passes them on
 _PART = ("__bucket", "__heavy", "__salt")
 
 
+def _md5_rounds() -> list[tuple[int, int, int, int]]:
+    """(function, word, turn, constant) of the 64 rounds of md5."""
+    turns = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
+    words = (lambda i: i, lambda i: (5 * i + 1) % 16, lambda i: (3 * i + 5) % 16, lambda i: 7 * i % 16)
+    return [(i // 16, words[i // 16](i), turns[i // 16][i % 4], int(abs(math.sin(i + 1)) * 2**32)) for i in range(64)]
+
+
+_ROUNDS = _md5_rounds()
+_START = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+
+
+def _md5_block(words: Sequence[np.ndarray], shape: tuple[int, int]) -> tuple[np.ndarray, ...]:
+    """The four state words of md5 for messages of one block; ``words`` are its 16 words, each of ``shape`` or broadcast to it."""
+    a, b, c, d = (np.full(shape, x, np.uint32) for x in _START)
+    f, g = np.empty(shape, np.uint32), np.empty(shape, np.uint32)
+    for kind, k, turn, constant in _ROUNDS:
+        if kind == 0:
+            np.bitwise_xor(c, d, out=f)
+            np.bitwise_and(f, b, out=f)
+            np.bitwise_xor(f, d, out=f)
+        elif kind == 1:
+            np.bitwise_xor(b, c, out=f)
+            np.bitwise_and(f, d, out=f)
+            np.bitwise_xor(f, c, out=f)
+        elif kind == 2:
+            np.bitwise_xor(b, c, out=f)
+            np.bitwise_xor(f, d, out=f)
+        else:
+            np.invert(d, out=f)
+            np.bitwise_or(f, b, out=f)
+            np.bitwise_xor(f, c, out=f)
+        np.add(f, a, out=f)
+        np.add(f, words[k] + np.uint32(constant), out=f)
+        np.right_shift(f, np.uint32(32 - turn), out=g)
+        np.left_shift(f, np.uint32(turn), out=f)
+        np.bitwise_or(f, g, out=f)
+        np.add(f, b, out=a)
+        a, b, c, d = d, a, b, c
+    return tuple(x + np.uint32(start) for x, start in zip((a, b, c, d), _START, strict=True))
+
+
+@lru_cache(maxsize=8)
+def _heads(seeds: tuple[int, ...]) -> list[tuple[int, np.ndarray, list[bytes], np.ndarray]]:
+    """(length, places, texts, words of a block) of the seeds whose text is equally long."""
+    texts, out = [f"{s}-".encode() for s in seeds], []
+    for length in sorted({len(t) for t in texts}):
+        of = np.array([s for s, t in enumerate(texts) if len(t) == length])
+        own = [texts[s] for s in of]
+        out.append((length, of, own, np.frombuffer(b"".join(t.ljust(64, b"\0") for t in own), "<u4").reshape(-1, 16)))
+    return out
+
+
 def digests(ids: list[str], seeds: Sequence[int]) -> np.ndarray:
-    """md5 of ``seed-id`` as two big-endian words, by id and seed."""
-    md5 = hashlib.md5
-    heads = [f"{s}-".encode() for s in seeds]
-    raw = b"".join([md5(h + i).digest() for i in map(str.encode, ids) for h in heads])
-    return np.frombuffer(raw, ">u8").astype(np.uint64).reshape(len(ids), len(heads), 2)
+    """md5 of ``seed-id`` as two big-endian words, by id and seed.
+
+    Messages of one block, up to 55 bytes, are digested many at a time; longer ones by themselves. Seeds whose text is equally long put the id at the
+    same place, so a message is the words of its seed or-ed with those of its id."""
+    tails = [i.encode() for i in ids]
+    out = np.empty((len(tails), len(seeds), 2), np.uint64)
+    size = np.array([len(t) for t in tails], np.int64)
+    for length, of, heads, front in _heads(tuple(seeds)):
+        short = np.flatnonzero(size + length <= _ONE_BLOCK)
+        shared = -(-length // 4)  # words that the seed takes part in
+        step = max(1, _MD5_CELLS // len(of))
+        for i in range(0, len(short), step):
+            rows = short[i : i + step]
+            back = np.frombuffer(b"".join((b"\0" * length + tails[r] + b"\x80").ljust(64, b"\0") for r in rows), "<u4").reshape(-1, 16).copy()
+            back[:, 14] = (size[rows] + length) * 8
+            words = [back[:, k, None] | front[None, :, k] if k < shared else np.ascontiguousarray(back[:, k, None]) for k in range(16)]
+            a, b, c, d = (x.byteswap().astype(np.uint64) for x in _md5_block(words, (len(rows), len(of))))
+            out[rows[:, None], of[None, :], 0] = (a << np.uint64(32)) | b
+            out[rows[:, None], of[None, :], 1] = (c << np.uint64(32)) | d
+        for r in np.flatnonzero(size + length > _ONE_BLOCK).tolist():
+            raw = b"".join([hashlib.md5(h + tails[r]).digest() for h in heads])
+            out[r, of] = np.frombuffer(raw, ">u8").reshape(-1, 2)
+    return out
 
 
 def _at_most(found: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -64,35 +138,52 @@ def _count_below(keys: Sequence[str], seeds: Sequence[int], margin: float, schem
         waiting = 0
 
         def rows() -> pa.RecordBatch:
-            out = []
+            """A row per class and seed that has something to say."""
+            columns, parts = [[] for _ in schema], []
             for key, counts in below.items():
-                inside: list[list[bytes]] = [[] for _ in seeds]
-                for of, words in held.get(key, ()):
-                    for s, w in zip(of.tolist(), words.astype(">u8"), strict=True):
-                        inside[s].append(w.tobytes())
-                out += [(*key, s, n, d) for s, n, d in zip(seeds, counts.tolist(), inside, strict=True) if n or d]
-            columns = zip(*out, strict=True) if out else [()] * len(schema)
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+                found = held.get(key, [])
+                of = np.concatenate([np.zeros(0, np.int64), *[o for o, _ in found]])
+                words = np.concatenate([np.zeros((0, 2), np.uint64), *[w for _, w in found]])
+                times = np.bincount(of, minlength=len(seeds))
+                said = (counts > 0) | (times > 0)
+                for column, v in zip(columns, key, strict=False):
+                    column += [v] * int(said.sum())
+                columns[-3] += np.array(seeds)[said].tolist()
+                columns[-2] += counts[said].tolist()
+                columns[-1] += times[said].tolist()
+                parts.append(words[np.argsort(of, kind="stable")].astype(">u8").tobytes())
+            raw = b"".join(parts)
+            ends = np.arange(0, len(raw) + 1, 16, dtype=np.int32)
+            inside = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+            bounds = np.concatenate([[0], np.cumsum(columns[-1], dtype=np.int64)]).astype(np.int32)
+            listed = pa.ListArray.from_arrays(pa.array(bounds), inside)
+            plain = [pa.array(c, f.type) for c, f in zip(columns[:-1], list(schema)[:-1], strict=True)]
+            return pa.RecordBatch.from_arrays([*plain, listed], schema=schema)
 
         for batch in batches:
-            names = [*keys, "__class", "__size", "__take"]
-            groups: dict[tuple, list[str]] = {}
-            for key, i in zip(zip(*(batch.column(c).to_pylist() for c in names), strict=True), batch.column("__id").to_pylist(), strict=True):
-                groups.setdefault(key, []).append(i)
-            for (*key, size, take), ids in groups.items():
-                first, last = _window(size, take, margin)
-                counts = below.setdefault(tuple(key), np.zeros(len(seeds), np.int64))
-                for a in range(0, len(ids), step):
-                    found = digests(ids[a : a + step], seeds)
+            encoded = batch.column("__id").dictionary_encode()
+            ids, code = encoded.dictionary.to_pylist(), encoded.indices.to_numpy(zero_copy_only=False)
+            groups: dict[tuple, list[int]] = {}
+            for r, key in enumerate(zip(*(batch.column(c).to_pylist() for c in [*keys, "__class", "__size", "__take"]), strict=True)):
+                groups.setdefault(key, []).append(r)
+            codes = {key: np.sort(code[own]) for key, own in groups.items()}
+            for a in range(0, len(ids), step):
+                digested = digests(ids[a : a + step], seeds)  # once for all groups an id belongs to
+                for (*key, size, take), own in codes.items():
+                    here = own[slice(*np.searchsorted(own, [a, a + step]))] - a
+                    if not len(here):
+                        continue
+                    first, last = _window(size, take, margin)
+                    found = digested[here]
                     lead = found[..., 0]
+                    counts = below.setdefault(tuple(key), np.zeros(len(seeds), np.int64))
                     counts += (lead < np.uint64(first)).sum(axis=0)
                     at, of = np.nonzero((lead >= np.uint64(first)) & (lead <= np.uint64(last)))
                     held.setdefault(tuple(key), []).append((of, found[at, of]))
                     waiting += len(at)
                     if waiting > _BUFFER:
                         yield rows()
-                        counts[:] = 0
-                        below, held, waiting = {tuple(key): counts}, {}, 0
+                        below, held, waiting = {}, {}, 0
         yield rows()
 
     return run
@@ -106,7 +197,7 @@ def _cuts(drawn: DataFrame, keys: Sequence[str], seeds: Sequence[int], margin: f
     schema = pa.schema([*arrow, ("seed", pa.int64()), ("below", pa.int64()), ("inside", pa.list_(pa.binary()))])
     larger = drawn.where("__size > __take")
     sizes = larger.groupBy(*keys, "__class").agg(F.max("__take").alias("__take"))
-    narrow = larger.select(*keys, "__class", "__size", "__take", "__id").repartition(_partitions(drawn), "__id")
+    narrow = larger.select(*keys, "__class", "__size", "__take", "__id").repartition(_partitions(drawn), "__id").sortWithinPartitions("__id")
     counted = narrow.mapInArrow(_count_below(keys, list(seeds), margin, schema), out)
     seen = counted.groupBy(*keys, "__class", "seed").agg(
         F.sum("below").alias("below"), F.array_sort(F.flatten(F.collect_list("inside"))).alias("inside")
@@ -196,12 +287,12 @@ def _scan(part: Sequence[str], seeds: Sequence[int], schema: pa.Schema):
                         taken.append((a, b, c))
                         size += b - a
                     first, last = taken[0][0], taken[-1][1]
-                    kept, sign = np.ones((last - first, len(seeds)), np.int8), np.empty(last - first, np.int8)
-                    for a, b, c in taken:
-                        at = slice(a - first, b - first)
-                        sign[at] = 1 if c == 1 else -1
-                        if c in cuts:
-                            kept[at] = _at_most(digests(ids[a:b].to_pylist(), seeds), *cuts[c])
+                    kept, own = np.ones((last - first, len(seeds)), np.int8), np.repeat([c for _, _, c in taken], [b - a for a, b, _ in taken])
+                    for c, cut in cuts.items():  # the rows of a class are digested together, however they alternate
+                        at = np.flatnonzero(own == c)
+                        if len(at):
+                            kept[at] = _at_most(digests(ids.take(pa.array(at + first)).to_pylist(), seeds), *cut)
+                    sign = np.where(own == 1, 1, -1).astype(np.int8)
                     state.add(values[first:last], sign, kept)
 
             for a, b in zip(starts, starts[1:], strict=False):

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from selroute.operators import agreement as A
@@ -94,3 +95,30 @@ def test_nothing_of_rows_times_seeds_is_written_or_moved(spark, monkeypatch):
     text = out._jdf.queryExecution().executedPlan().toString()
     moved = text[: text.index("MapInArrow")] if "MapInArrow" in text else text
     assert "Generate explode" not in moved
+
+
+def test_digests_of_one_block_are_computed_side_by_side(monkeypatch):
+    md5, alone = hashlib.md5, []
+    monkeypatch.setattr(B.hashlib, "md5", lambda m: alone.append(len(m)) or md5(m))
+    ids, seeds = ["", "7", "12-345", "é" * 20, *["x" * n for n in (49, 50, 51, 52, 53, 54, 55, 64, 200)]], [7, 3, 100, -5, 123456]
+    found = B.digests(ids, seeds)
+    assert alone and min(alone) > 55  # only messages of more than one block
+    want = [[md5(f"{s}-{i}".encode()).digest() for s in seeds] for i in ids]
+    assert [[w.astype(">u8").tobytes() for w in row] for row in found] == want
+
+
+def test_an_id_is_digested_once_for_all_its_groups(monkeypatch):
+    calls, digests = [], B.digests
+    monkeypatch.setattr(B, "digests", lambda ids, seeds: calls.extend(ids) or digests(ids, seeds))
+    ids = [str(i // 3) for i in range(300)]
+    batch = pa.RecordBatch.from_pydict({"metric": ["a", "b", "c"] * 100, "__class": [1] * 300, "__size": [100] * 300, "__take": [40] * 300, "__id": ids})
+    schema = pa.schema([("metric", pa.string()), ("__class", pa.int64()), ("seed", pa.int64()), ("below", pa.int64()), ("inside", pa.list_(pa.binary()))])
+    rows = [r for b in B._count_below(["metric"], [5, 42], 1.0, schema)(iter([batch])) for r in b.to_pylist()]
+    assert sorted(calls) == sorted(set(ids))
+    first, last = B._window(100, 40, 1.0)
+    for r in rows:
+        own = [hashlib.md5(f"{r['seed']}-{i}".encode()).digest() for i in set(ids)]
+        lead = [int.from_bytes(d[:8]) for d in own]
+        assert r["below"] == sum(x < first for x in lead)
+        assert sorted(r["inside"]) == sorted(d for d, x in zip(own, lead, strict=True) if first <= x <= last)
+    assert {(r["metric"], r["seed"]) for r in rows} == {(m, s) for m in "abc" for s in (5, 42)}
