@@ -27,7 +27,7 @@ def _prompts(v):
 
 
 def _labelled(v):
-    return v.eval_long.select("row_id", "model", "correct").join(_prompts(v), "row_id")
+    return v.eval_long.select("row_id", "model", "correct").join(_prompts(v).select("row_id"), "row_id")
 
 
 _SHARE = f"({T.TEST_ROWS}::DOUBLE / {T.TRAIN_ROWS + T.TEST_ROWS})"
@@ -43,7 +43,7 @@ def _drawn(runs: int) -> str:
 
 @query("l1_rejector_predictions", f"{_drawn(RUNS)} SELECT model, run, 10 AS epoch, row_id, correct AS label, true AS scored FROM tested")
 def _(v):
-    stored = T.run_rejectors(_labelled(v), MODELS, runs=RUNS, epochs=(10,), train_rows=None)
+    stored = T.run_rejectors(_labelled(v), MODELS, runs=RUNS, epochs=(10,), train_rows=None, prompts=_prompts(v))
     return stored.select("model", "run", "epoch", "row_id", "label", F.col("logit").isNotNull().alias("scored"))
 
 
@@ -53,7 +53,7 @@ def _(v):
     FROM tested, (VALUES {", ".join(f"({e})" for e in EPOCHS)}) e(epoch) GROUP BY ALL""",
 )
 def _(v):
-    stored = T.run_rejectors(_labelled(v), MODELS, runs=RUNS, epochs=EPOCHS, train_rows=None)
+    stored = T.run_rejectors(_labelled(v), MODELS, runs=RUNS, epochs=EPOCHS, train_rows=None, prompts=_prompts(v))
     bundle = eval_metrics(stored, ["model", "run", "epoch"])
     return bundle.select("model", "run", "epoch", "n_pos", "n_neg", F.col("auroc").between(0, 1).alias("rated"))
 
